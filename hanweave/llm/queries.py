@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanweave.llm import bpe
+from hanweave.llm import bpe, cooccur, normalize
 from hanweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,87 @@ def query(sql: str | None = None):
     return add
 
 
+def _texts(spark, d):
+    """Both text columns of problem 1 in one form: corpus_id, field_name, id, text."""
+    lines = table(spark, d, "corpus_lines").select("corpus_id", F.lit("buf").alias("field_name"), F.col("line_id").alias("id"), F.col("buf").alias("text"))
+    words = table(spark, d, "vocab_entries").select("corpus_id", F.lit("word").alias("field_name"), F.col("entry_id").alias("id"), F.col("word").alias("text"))
+    return lines.unionByName(words)
+
+
+@query()
+def p1_found(spark, d):
+    """Pairs of rows of a corpus that look the same and differ in their characters."""
+    return normalize.same_look_pairs(_texts(spark, d), ["field_name", "corpus_id"]).select("field_name", "id_lo", "id_hi")
+
+
+@query()
+def p1_unified(spark, d):
+    """Every row's text in its consistent form."""
+    return normalize.with_unified(_texts(spark, d), "text", "text").select("field_name", "id", "text")
+
+
+_RECORD = ["corpus_id", "line_no", "pos"]
+
+
+def _pair_tables(spark, d):
+    yield "bigram", table(spark, d, "bigram_records"), "word_left", "word_right"
+    yield "adjacent", table(spark, d, "adjacents"), "left_id", "right_id"
+
+
+def _lift_sql(tab, name, left, right, least, where):
+    return f"""
+      SELECT '{tab}' AS tab, x AS item_x, y AS item_y, n, n_x, n_y, round(n::DOUBLE * big / (n_x::DOUBLE * n_y), 6) AS lift
+      FROM (SELECT least(l, r) AS x, greatest(l, r) AS y, count(*) AS n FROM {tab}_r WHERE l <> r GROUP BY ALL HAVING count(*) >= {least})
+      JOIN (SELECT i AS x, count(*) AS n_x FROM {tab}_i GROUP BY i) USING (x)
+      JOIN (SELECT i AS y, count(*) AS n_y FROM {tab}_i GROUP BY i) USING (y), (SELECT count(*) AS big FROM {tab}_r) {where}"""
+
+
+def _records_sql(tab, name, left, right):
+    return f"""{tab}_r AS (SELECT corpus_id, line_no, pos, min({left})::BIGINT AS l, min({right})::BIGINT AS r FROM {name}
+        WHERE {left} IS NOT NULL AND {right} IS NOT NULL GROUP BY ALL),
+      {tab}_i AS (SELECT l AS i FROM {tab}_r UNION ALL SELECT r FROM {tab}_r WHERE l <> r)"""
+
+
+_PAIR_NAMES = [("bigram", "bigram_records", "word_left", "word_right"), ("adjacent", "adjacents", "left_id", "right_id")]
+_PAIR_RECORDS = "WITH " + ",".join(_records_sql(*x) for x in _PAIR_NAMES)
+
+
+@query(
+    _PAIR_RECORDS
+    + "SELECT tab, item_x AS id_lo, item_y AS id_hi FROM ("
+    + " UNION ALL ".join(_lift_sql(*x, 5, "WHERE n * 20000 >= big AND n::HUGEINT * big >= 6 * n_x::HUGEINT * n_y") for x in _PAIR_NAMES)
+    + ")"
+)
+def p2_found(spark, d):
+    """Pairs of neighbours at least six times as frequent as by chance."""
+    found = [
+        cooccur.pair_lifts(df, _RECORD, a, b, least=5, share=1 / 20000, times=6).select(F.lit(tab).alias("tab"), F.col("item_x").alias("id_lo"), F.col("item_y").alias("id_hi"))
+        for tab, df, a, b in _pair_tables(spark, d)
+    ]
+    return found[0].unionByName(found[1])
+
+
+@query(_PAIR_RECORDS + " UNION ALL ".join(_lift_sql(*x, 1, "") for x in _PAIR_NAMES))
+def p2_lifts(spark, d):
+    """All pairs of different neighbours with their counts and lift."""
+    found = [cooccur.pair_lifts(df, _RECORD, a, b).withColumn("tab", F.lit(tab)) for tab, df, a, b in _pair_tables(spark, d)]
+    return found[0].unionByName(found[1]).select("tab", "item_x", "item_y", "n", "n_x", "n_y", F.round("lift", 6).alias("lift"))
+
+
+@query(
+    """SELECT a.word AS a_word, b.word AS b_word, count(*) AS n FROM
+       (SELECT DISTINCT doc_id, term_id AS word FROM terms JOIN lexicon USING (word) WHERE part_of_speech_tag = 'NN') a JOIN
+       (SELECT DISTINCT doc_id, term_id AS word FROM terms JOIN lexicon USING (word) WHERE part_of_speech_tag = 'NN') b
+       ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL"""
+)
+def p2_baskets(spark, d):
+    """Lexicon words (nouns) that occur in the same document: records of any size."""
+    words = table(spark, d, "terms").where("part_of_speech_tag = 'NN'").select("doc_id", "word")
+    known = words.join(table(spark, d, "lexicon").select("word", "term_id"), "word")
+    pairs = cooccur.gram_of_baskets(known, ["doc_id"], "term_id").where("item_x < item_y")
+    return pairs.select(F.col("item_x").cast("int").alias("a_word"), F.col("item_y").cast("int").alias("b_word"), "n")
+
+
 @query()
 def p7_ids(spark, d):
     """Ids of every document by byte_bpe_50k."""
