@@ -238,7 +238,8 @@ def same_look_pairs(rows: DataFrame, group_cols: list[str], id_col: str = "id",
     digest = lambda c: F.unhex(F.md5(c))
     looks = with_unified(kept, "__text", "__look").select(*group_cols, "__id", digest("__look").alias("__look"), digest("__text").alias("__raw"))
     lists = looks.groupBy(*group_cols, "__look", "__raw", F.pmod(F.xxhash64("__id"), F.lit(chunks)).alias("__chunk")).agg(F.collect_list("__id").alias("__ids"))
-    several = lists.groupBy(*group_cols, "__look").agg(F.min("__raw").alias("__a"), F.max("__raw").alias("__b")).where("__a < __b")
+    several = lists.groupBy(*group_cols, "__look").agg(F.min("__raw").alias("__a"), F.max("__raw").alias("__b"), F.sum(F.size("__ids")).alias("__n"))
+    several = several.where("__a < __b AND __n > 1")  # the number keeps the lists in the plan, so that both uses share one shuffle
     lists = lists.join(several.select(*group_cols, "__look"), [*group_cols, "__look"], "left_semi")
     other = lists.select(*group_cols, "__look", F.col("__raw").alias("__raw2"), F.col("__ids").alias("__ids2"))
     return (

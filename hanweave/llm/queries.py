@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanweave.llm import bpe, cooccur, normalize
+from hanweave.llm import bpe, cooccur, heavy, normalize, termfreq
+from hanweave.operators.rejects import UNIGRAM, parse_counts, valid_rows
 from hanweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +106,52 @@ def p2_baskets(spark, d):
     return pairs.select(F.col("item_x").cast("int").alias("a_word"), F.col("item_y").cast("int").alias("b_word"), "n")
 
 
+def _unigram_rows(spark, d):
+    return valid_rows(parse_counts(table(spark, d, "unigram_raw"), UNIGRAM, keep=("raw_id", "file_name")))
+
+
+def _all_frequencies(spark, d):
+    terms = termfreq.term_frequencies(table(spark, d, "terms").where("word <> ''"), "word", "doc_id")
+    lines = termfreq.term_frequencies(_unigram_rows(spark, d), "word", "file_name", "count")
+    return terms, lines
+
+
+@query()
+def p3_found(spark, d):
+    """Words too rare or too common."""
+    terms, lines = _all_frequencies(spark, d)
+    docs = table(spark, d, "terms").agg(F.count_distinct("doc_id")).first()[0]
+    files = table(spark, d, "unigram_raw").agg(F.count_distinct("file_name")).first()[0]
+    n, w = F.col("records"), F.col("weight")
+    terms = termfreq.mark(terms, n < 3, n * 6 >= docs).withColumn("tab", F.lit("terms"))
+    lines = termfreq.mark(lines, w < 3, n * 5 >= 3 * files).withColumn("tab", F.lit("unigram"))
+    return terms.unionByName(lines).select("tab", "word", "mark")
+
+
+@query("SELECT word, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM terms WHERE word <> '' GROUP BY word")
+def p3_terms(spark, d):
+    """Occurrences and documents of every word."""
+    return termfreq.term_frequencies(table(spark, d, "terms").where("word <> ''"), "word", "doc_id").drop("weight")
+
+
+@query()
+def p3_unigram(spark, d):
+    """Rows, files and total count of every word of the valid unigram lines."""
+    return termfreq.term_frequencies(_unigram_rows(spark, d), "word", "file_name", "count")
+
+
+@query("SELECT word FROM terms WHERE word <> '' GROUP BY word ORDER BY count(*) DESC, word LIMIT 20")
+def p6_found(spark, d):
+    """The 20 words with the most rows."""
+    return heavy.most_frequent(table(spark, d, "terms").where("word <> ''"), "word", 20).select("word")
+
+
+@query("SELECT word, count(*) AS n_rows FROM terms WHERE word <> '' GROUP BY word ORDER BY count(*) DESC, word LIMIT 200")
+def p6_counts(spark, d):
+    """The 200 most frequent words with their exact numbers of rows."""
+    return heavy.most_frequent(table(spark, d, "terms").where("word <> ''"), "word", 200).select("word", "n_rows")
+
+
 @query()
 def p7_ids(spark, d):
     """Ids of every document by byte_bpe_50k."""
