@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanweave.llm import bpe, cooccur, heavy, normalize, termfreq
+from hanweave.llm import bpe, cooccur, heavy, mix, normalize, pieces, termfreq
 from hanweave.operators.rejects import UNIGRAM, parse_counts, valid_rows
-from hanweave.session import table
+from hanweave.session import checkpointed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,26 @@ def p7_ids(spark, d):
 def p7_decoded(spark, d):
     """Every document encoded and decoded again: the texts must come back unchanged, null as empty."""
     return bpe.decode_corpus(bpe.encode_corpus(table(spark, d, "documents")))
+
+
+def _mixed(spark, d):
+    sizes = checkpointed(bpe.count_tokens(table(spark, d, "documents"), ["doc_id", "source"]))
+    return mix.mix(sizes, table(spark, d, "mix_targets"))
+
+
+@query()
+def p8_mix(spark, d):
+    """Documents and their copies in the largest mix that meets the target shares."""
+    return _mixed(spark, d)
+
+
+@query()
+def p8_shares(spark, d):
+    """The shares reached."""
+    return mix.shares(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
+@query()
+def p9_pieces(spark, d):
+    """Pieces of every document above each limit."""
+    return pieces.split_texts(table(spark, d, "documents"), table(spark, d, "piece_limits"))
