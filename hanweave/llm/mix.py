@@ -7,7 +7,12 @@ is moved is size, not count, so the total of a source changes by nothing but its
 record. Blocks of records are rounded in parallel; what each block leaves, at most one record
 a source, meets again in the next level of a reduction tree.
 
-The expected copies of a record are exactly its wanted number. All draws are hashes of the
+That last record can be far off where the records of a source are large against what it is to
+contribute. Such records keep their whole copies, and the fractions of all are given to the
+source's records up to `TOLERANCE` of its contribution, or up to the least power of two by
+which there are enough of them. Where a source is large against its records, as it is with
+much data, that leaves none out and the expected copies of a record are exactly its wanted
+number. All draws are hashes of the
 record's id and a seed, so a lost task comes out the same when run again.
 
 Sources without a target, without records of any size, or with a null name take no part; the
@@ -30,31 +35,44 @@ from hanweave.session import checkpointed
 #: Records of a block, and blocks that meet in one group of the next level.
 BLOCK = 4096
 FAN_IN = 256
+#: Part of a source's contribution up to which a record may decide by chance.
+TOLERANCE = 0.01
 _EPS = 1e-9
 
 
 @dataclass
 class Need:
-    """Wanted copies of each record of a source."""
+    """What a source is to contribute: whole copies of all records, a fraction of a copy of those of size up to `up_to`."""
 
-    share: float
-    copies: float
-    size: int
+    whole: int
+    fraction: float
+    up_to: int
+    blocks: int
 
 
-def wanted_copies(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, Need]:
-    """Per source its share among the sources present and the copies that reach it.
+def wanted_copies(sizes: dict[str, dict[int, tuple[int, int]]], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, Need]:
+    """Per source that is present what reaches its share. `sizes`: source -> {k: (size, number)} of its records below 2**(k + 1).
 
     Without `total` the mix is the largest that meets all shares; with it, sources that
     cannot fill their share are repeated as often as allowed and fall short.
     """
-    present = {s: (share, cap) for s, (share, cap) in targets.items() if share > 0 and cap > 0 and sizes.get(s)}
-    whole = sum(share for share, _ in present.values())
-    if not present:
-        return {}
-    largest = min(cap * sizes[s] / (share / whole) for s, (share, cap) in present.items())
-    total = largest if total is None else total
-    return {s: Need(share / whole, min(float(cap), total * share / whole / sizes[s]), sizes[s]) for s, (share, cap) in present.items()}
+    size = {s: sum(x for x, _ in parts.values()) for s, parts in sizes.items()}
+    present = {s: (share, cap) for s, (share, cap) in targets.items() if share > 0 and cap > 0 and size.get(s)}
+    shared = sum(share for share, _ in present.values())
+    if total is None:
+        total = min((cap * size[s] / (share / shared) for s, (share, cap) in present.items()), default=0.0)
+    needs = {}
+    for s, (share, cap) in present.items():
+        copies = min(float(cap), total * share / shared / size[s])
+        whole = int(copies + _EPS)
+        loose = max(0.0, copies - whole) * size[s]  # size to come from single further copies
+        fine, up_to = 0, 0
+        for k, (x, _) in sorted(sizes[s].items()):
+            fine, up_to = fine + x, (2 << k) - 1
+            if fine >= 2 * loose and up_to >= TOLERANCE * copies * size[s]:
+                break
+        needs[s] = Need(whole, loose / fine if loose > _EPS * size[s] else 0.0, up_to, -(-sum(n for _, n in sizes[s].values()) // BLOCK))
+    return needs
 
 
 def _draws(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -106,27 +124,29 @@ def mix(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_c
     """`id_col`, `source`, `size_col`, `copies` of every record in the mix (copies >= 1).
 
     `targets`: source, target_share, max_repeats; one row a source, some dozens at most, as is
-    what reaches the driver: its rows and the sizes of its sources.
+    what reaches the driver: its rows and the sizes of its sources by powers of two.
     """
     want = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.collect() if r["source"] is not None}
     rows = records.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("__size"))
     rows = rows.where((F.col("__size") > 0) & F.col("source").isin(list(want)))
-    found = {r["source"]: (r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()}
-    needs = wanted_copies({s: x[0] for s, x in found.items()}, want, total)
+    by_size = rows.groupBy("source", F.floor(F.log2("__size")).cast("int").alias("k")).agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
+    found: dict = {}
+    for r in by_size.collect():  # a source times some dozen sizes
+        found.setdefault(r["source"], {})[r["k"]] = (r["size"], r["n"])
+    needs = wanted_copies(found, want, total)
     out = f"`{id_col}` {dict(records.dtypes)[id_col]}, source string, {size_col} long, copies long"
     if not needs:
         return records.sparkSession.createDataFrame([], out)
 
-    per_source = lambda f: F.create_map(*[F.lit(x) for s, need in needs.items() for x in (s, f(s, need))])[F.col("source")]
-    blocks = {s: -(-found[s][1] // BLOCK) for s in needs}
+    per_source = lambda f: F.create_map(*[F.lit(x) for s, need in needs.items() for x in (s, f(need))])[F.col("source")]
     rows = rows.where(F.col("source").isin(list(needs))).select(
         "__id", "source", "__size",
-        per_source(lambda s, x: int(x.copies + _EPS)).cast("long").alias("__base"),
-        per_source(lambda s, x: max(0.0, x.copies - int(x.copies + _EPS))).alias("__fraction"),
-        F.pmod(F.xxhash64("__id"), per_source(lambda s, x: blocks[s])).cast("long").alias("__block"),
+        per_source(lambda x: x.whole).cast("long").alias("__base"),
+        F.when(F.col("__size") <= per_source(lambda x: x.up_to), per_source(lambda x: x.fraction)).otherwise(0.0).alias("__fraction"),
+        F.pmod(F.xxhash64("__id"), per_source(lambda x: x.blocks)).cast("long").alias("__block"),
     )
     schema = rows.schema.simpleString()[len("struct<") : -1]
-    most, level, result = max(blocks.values()), 0, None
+    most, level, result = max(x.blocks for x in needs.values()), 0, None
     while True:
         done = checkpointed(rows.groupBy("source", "__block").applyInPandas(_rounder(seed, level, most == 1), schema))
         integral = done.where("__fraction IN (0, 1)")
