@@ -15,9 +15,9 @@ much data, that leaves none out and the expected copies of a record are exactly
 number. All draws are hashes of the
 record's id and a seed, so a lost task comes out the same when run again.
 
-Sources without a target, without records of any size, or with a null name take no part; the
-targets of absent sources are reported with an actual share of 0 and the others are scaled up.
-Records of size 0 are left out, as they add nothing to any share.
+The result has every record with its copies, 0 for those not drawn, of a source that is null
+or without a target, or of null size or size 0, as these add nothing to any share. Targets of
+absent sources are reported with an actual share of 0 and the others are scaled up.
 """
 
 from __future__ import annotations
@@ -121,22 +121,26 @@ def _rounder(seed: int, level: int, last: bool):
 
 
 def mix(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens", total: float | None = None, seed: int = 7) -> DataFrame:
-    """`id_col`, `source`, `size_col`, `copies` of every record in the mix (copies >= 1).
+    """`id_col`, `source`, `size_col`, `copies` of every record; it is in the mix if `copies` is over 0.
 
     `targets`: source, target_share, max_repeats; one row a source, some dozens at most, as is
     what reaches the driver: its rows and the sizes of its sources by powers of two.
     """
     want = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.collect() if r["source"] is not None}
     rows = records.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("__size"))
+    all_rows = rows
     rows = rows.where((F.col("__size") > 0) & F.col("source").isin(list(want)))
     by_size = rows.groupBy("source", F.floor(F.log2("__size")).cast("int").alias("k")).agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
     found: dict = {}
     for r in by_size.collect():  # a source times some dozen sizes
         found.setdefault(r["source"], {})[r["k"]] = (r["size"], r["n"])
     needs = wanted_copies(found, want, total)
-    out = f"`{id_col}` {dict(records.dtypes)[id_col]}, source string, {size_col} long, copies long"
+    named = [F.col("__id").alias(id_col), "source", F.col("__size").alias(size_col)]
+    # Records that take no part; a comparison with null counts as no.
+    others = all_rows.where(~F.coalesce((F.col("__size") > 0) & F.col("source").isin(list(needs)), F.lit(False)))
+    others = others.select(*named, F.lit(0).cast("long").alias("copies"))
     if not needs:
-        return records.sparkSession.createDataFrame([], out)
+        return others
 
     per_source = lambda f: F.create_map(*[F.lit(x) for s, need in needs.items() for x in (s, f(need))])[F.col("source")]
     rows = rows.where(F.col("source").isin(list(needs))).select(
@@ -156,12 +160,12 @@ def mix(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_c
         rows = done.where("__fraction NOT IN (0, 1)").withColumn("__block", F.expr(f"__block DIV {FAN_IN}"))
         most, level = -(-most // FAN_IN), level + 1
     copies = (F.col("__base") + F.col("__fraction")).cast("long")
-    return result.select(F.col("__id").alias(id_col), "source", F.col("__size").alias(size_col), copies.alias("copies")).where("copies > 0")
+    return result.select(*named, copies.alias("copies")).unionByName(others)
 
 
 def shares(mixed: DataFrame, targets: DataFrame, size_col: str = "n_tokens") -> DataFrame:
     """`source`, `target_share`, `max_repeats`, `size`, `actual_share`, `most_copies` of every target, also of those without records."""
-    sums = mixed.groupBy("source").agg(F.sum(F.col(size_col) * F.col("copies")).alias("size"), F.max("copies").alias("most_copies"))
+    sums = mixed.where("copies > 0").groupBy("source").agg(F.sum(F.col(size_col) * F.col("copies")).alias("size"), F.max("copies").alias("most_copies"))
     joined = targets.join(F.broadcast(sums), "source", "left").na.fill(0, ["size", "most_copies"])  # sums: a row a target at most
     total = sums.agg(F.sum("size")).scalar()
     share = F.coalesce(F.col("size") / total, F.lit(0.0))

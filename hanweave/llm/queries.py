@@ -171,7 +171,7 @@ def _mixed(spark, d):
 
 @query()
 def p8_mix(spark, d):
-    """Documents and their copies in the largest mix that meets the target shares."""
+    """Every document with its copies in the largest mix that meets the target shares."""
     return _mixed(spark, d)
 
 
