@@ -30,19 +30,25 @@ def local_session(cpus: int = 8, memory: str = "16g", **conf) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder and read back, so that it is computed once and survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share, within the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only a local session that names none
-    gets a temporary one; on a cluster that would not be shared, so it is an error.
+    Only a local session that names none gets a temporary one; on a cluster that would not be
+    shared, so it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="hanweave-")
             atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back, so that it is computed once and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
