@@ -265,9 +265,13 @@ class Utf8Machine:
         self.kept, self.need, self.low, self.high = bytearray(), 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
-        if not self.need and data.isascii():
-            return data.decode("ascii")
         out, k = [], 0
+        if not self.need:
+            try:
+                return data.decode("utf-8")
+            except UnicodeDecodeError as error:  # all before the place is sound
+                out.append(data[: error.start].decode("utf-8"))
+                k = error.start
         while k < len(data):
             byte = data[k]
             if self.need:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hanweave.llm import bpe, cooccur, heavy, mix, normalize, pieces, termfreq
 from hanweave.operators.rejects import UNIGRAM, parse_counts, valid_rows
-from hanweave.session import checkpointed, table
+from hanweave.session import checkpointed, table, wide_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,17 +155,17 @@ def p6_counts(spark, d):
 @query()
 def p7_ids(spark, d):
     """Ids of every document by byte_bpe_50k."""
-    return bpe.encode_corpus(table(spark, d, "documents"))
+    return bpe.encode_corpus(wide_table(spark, d, "documents", "doc_id", "text"))
 
 
 @query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def p7_decoded(spark, d):
     """Every document encoded and decoded again: the texts must come back unchanged, null as empty."""
-    return bpe.decode_corpus(bpe.encode_corpus(table(spark, d, "documents")))
+    return bpe.decode_corpus(bpe.encode_corpus(wide_table(spark, d, "documents", "doc_id", "text")))
 
 
 def _mixed(spark, d):
-    sizes = checkpointed(bpe.count_tokens(table(spark, d, "documents"), ["doc_id", "source"]))
+    sizes = checkpointed(bpe.count_tokens(wide_table(spark, d, "documents", "doc_id", "source", "text"), ["doc_id", "source"]))
     return mix.mix(sizes, table(spark, d, "mix_targets"))
 
 
@@ -184,4 +184,4 @@ def p8_shares(spark, d):
 @query()
 def p9_pieces(spark, d):
     """Pieces of every document above each limit."""
-    return pieces.split_texts(table(spark, d, "documents"), table(spark, d, "piece_limits"))
+    return pieces.split_texts(wide_table(spark, d, "documents", "doc_id", "text"), table(spark, d, "piece_limits"))
