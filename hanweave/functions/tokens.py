@@ -15,6 +15,8 @@ LETTER = "A-Za-zＡ-ＶＹＺａ-ｚ"
 FIGURE = "0-9０-９"
 MARK = r":/\\.?%=&#!~@-"
 TOKEN = rf"[\r\n]+|[ \t]+|(?:[{LETTER}{FIGURE}{MARK}]|ＷＸ)+|(?s:.)"
+#: The same for Java, which would take one stack frame for each turn of a group unless it never gives back what it took.
+JAVA_TOKEN = rf"[\r\n]++|[ \t]++|(?:[{LETTER}{FIGURE}{MARK}]|ＷＸ)++|(?s:.)"
 
 # Token types, word types, and which word type a token type becomes.
 TOKEN_TYPES = {"end": 0, "space": 1, "chinese": 2, "crlf": 3, "period": 4, "number": 5, "english": 6, "punctuation": 7, "symbol": 8, "other": 9}
@@ -44,24 +46,29 @@ NOT_CJK = "-NOT-CJK-"
 
 
 
+def _by_rule(token: Column, value) -> Column:
+    """`value(name, kind)` of the first rule that the token meets. Of the tokens that runs make, those that are none before are symbols."""
+    out = None
+    for name, pattern, kind in RULES:
+        if name == "english":
+            hit = F.replace(token, F.lit("ＷＸ"), F.lit("A")).rlike(f"^[{LETTER}]+$")
+        elif name == "symbol":
+            hit = F.length(token) > 1
+        else:
+            hit = token.rlike(f"^{pattern.removesuffix('+')}" if name in ("crlf", "space") else f"^{pattern}$")
+        out = (out.when if out is not None else F.when)(hit, value(name, kind))
+    return out
+
+
 def token_rule(token: Column) -> Column:
     """Name of the rule that made the token."""
-    out = None
-    for name, pattern, _ in RULES:
-        hit = token.rlike(f"^(?:{pattern})$") if name != "crlf" else token.rlike(r"^[\r\n]")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
     n = F.octet_length(token)
-    return out.when(n == 1, "ascii").when(n == 2, "other2").when(n == 4, "other4").otherwise("cjk")
+    return _by_rule(token, lambda name, _: F.lit(name)).when(n == 1, "ascii").when(n == 2, "other2").when(n == 4, "other4").otherwise("cjk")
 
 
 def token_type(token: Column) -> Column:
     """Token type; a three-byte character outside U+4E00 to U+9FA5 is `other`."""
-    out = None
-    for name, pattern, kind in RULES:
-        hit = token.rlike(f"^(?:{pattern})$") if name != "crlf" else token.rlike(r"^[\r\n]")
-        value = F.lit(TOKEN_TYPES[kind])
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(F.lit(TOKEN_TYPES["other"]))
+    return _by_rule(token, lambda _, kind: F.lit(TOKEN_TYPES[kind])).otherwise(F.lit(TOKEN_TYPES["other"]))
 
 
 def word_type_of(token_type_: Column) -> Column:
@@ -70,7 +77,7 @@ def word_type_of(token_type_: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """array<string>; null for null, empty for empty text."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(JAVA_TOKEN), F.lit(0))
 
 
 def typed_tokens(text: Column) -> Column:

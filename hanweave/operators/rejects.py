@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -212,3 +212,9 @@ def valid_rows(parsed: DataFrame) -> DataFrame:
 
 def rejected_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where("reason IS NOT NULL")
+
+
+def read_counts(spark: SparkSession, path: str, form: LineFormat) -> DataFrame:
+    """`parse_counts` of the lines of text files, with `file_name` of each line."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("file_name"), F.col("value").alias("raw"))
+    return parse_counts(lines, form, keep=("file_name",))

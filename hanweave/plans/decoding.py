@@ -11,7 +11,7 @@ from hanweave.operators import crf as cf
 from hanweave.operators import decode, models as md
 from hanweave.plans.dictionaries import _PLACES, bigram_costs, lexicon, places, user_words
 from hanweave.plans.queries import query
-from hanweave.session import table
+from hanweave.session import table, wide_table
 
 
 def trained_models(spark, d, method="seg", user=None):
@@ -35,7 +35,7 @@ def trained_models(spark, d, method="seg", user=None):
 
 def _analyzed(method):
     def run(spark, d):
-        return an.analyze(table(spark, d, "documents"), trained_models(spark, d, method), method)
+        return an.analyze(wide_table(spark, d, "documents", "doc_id", "text"), trained_models(spark, d, method), method)
 
     return run
 
@@ -53,31 +53,31 @@ def analyze(spark, d):
 @query()
 def backtrace(spark, d):
     """Words of every corpus line by the lattice, in order."""
-    return an.analyze(table(spark, d, "corpus_lines"), trained_models(spark, d, "bigram_seg"), "bigram_seg", "line_id", "buf").select("line_id", "sent_id", "pos", "word", "term_id")
+    return an.analyze(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "bigram_seg"), "bigram_seg", "line_id", "buf").select("line_id", "sent_id", "pos", "word", "term_id")
 
 
 @query()
 def path_cost(spark, d):
     """Cost of the last sentence of every corpus line."""
-    return an.path_costs(table(spark, d, "corpus_lines"), trained_models(spark, d, "bigram_seg"), True, "line_id", "buf")
+    return an.path_costs(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "bigram_seg"), True, "line_id", "buf")
 
 
 @query()
 def set_userdict(spark, d):
     """Corpus lines segmented with the vocabulary as user words."""
-    return an.segment(table(spark, d, "corpus_lines"), trained_models(spark, d, "bigram_seg", user_words(spark, d)), "bigram_seg", "line_id", "buf")
+    return an.segment(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "bigram_seg", user_words(spark, d)), "bigram_seg", "line_id", "buf")
 
 
 @query()
 def segment_text(spark, d):
     """Words of every corpus line, those not Chinese as one mark."""
-    return an.segment(table(spark, d, "corpus_lines"), trained_models(spark, d), "seg", "line_id", "buf")
+    return an.segment(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d), "seg", "line_id", "buf")
 
 
 @query()
 def sink_segmented(spark, d):
     """Lines of words with types and tags, as the command line prints them."""
-    found = an.analyze(table(spark, d, "corpus_lines"), trained_models(spark, d, "hmm_crf"), "hmm_crf", "line_id", "buf")
+    found = an.analyze(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "hmm_crf"), "hmm_crf", "line_id", "buf")
     return an.format_lines(found, "line_id", types=True, tags=True)
 
 
@@ -246,6 +246,6 @@ def pos_bos(spark, d):
 @query()
 def pos_backtrace(spark, d):
     """Tag sequence of each sentence of every corpus line."""
-    found = an.analyze(table(spark, d, "corpus_lines"), trained_models(spark, d, "hmm"), "hmm", "line_id", "buf")
+    found = an.analyze(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "hmm"), "hmm", "line_id", "buf")
     tags = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"])
     return found.groupBy("line_id", "sent_id").agg(tags.alias("tags"))

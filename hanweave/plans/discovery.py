@@ -11,7 +11,7 @@ from hanweave.operators import newwords as nw
 from hanweave.plans.decoding import trained_models
 from hanweave.plans.dictionaries import bigram_costs, lexicon, places, unigram_costs
 from hanweave.plans.queries import ORACLES, query
-from hanweave.session import table
+from hanweave.session import table, wide_table
 
 _WORDS = f"(SELECT doc_id, pos, CASE WHEN word_type = 0 THEN word ELSE '{NOT_CJK}' END AS word FROM terms WHERE word <> '')"
 _VOCAB = f"v AS (SELECT word, count(*) AS n FROM {_WORDS} GROUP BY word)"
@@ -37,14 +37,14 @@ def sink_vocab(spark, d):
 @query()
 def crf_vocab(spark, d):
     """Vocabulary of all texts segmented by the CRF."""
-    words = an.segment(table(spark, d, "documents"), trained_models(spark, d, "crf_seg"), "crf_seg")
+    words = an.segment(wide_table(spark, d, "documents", "doc_id", "text"), trained_models(spark, d, "crf_seg"), "crf_seg")
     return nw.vocabulary(words.select(F.explode("words").alias("word")))
 
 
 @query()
 def vocab(spark, d):
     """Vocabulary of all texts segmented by the lattice."""
-    words = an.segment(table(spark, d, "documents"), trained_models(spark, d, "bigram_seg"), "bigram_seg")
+    words = an.segment(wide_table(spark, d, "documents", "doc_id", "text"), trained_models(spark, d, "bigram_seg"), "bigram_seg")
     return nw.vocabulary(words.select(F.explode("words").alias("word")))
 
 
@@ -122,10 +122,10 @@ def line_neighbours(spark, d):
 @query()
 def bigram_analyze(spark, d):
     """Corpus lines segmented with candidates as user words: the entropy of each candidate's neighbours."""
-    first = an.segment(table(spark, d, "corpus_lines"), trained_models(spark, d, "crf_seg"), "crf_seg", "line_id", "buf")
+    first = an.segment(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "crf_seg"), "crf_seg", "line_id", "buf")
     found = nw.candidates(nw.vocabulary(first.select(F.explode("words").alias("word"))), lexicon(spark, d))
     found = found.select("word", F.round("cost", 5).cast("float").alias("cost"))
-    lines = an.segment(table(spark, d, "corpus_lines"), an.Models(an.load_dictionary(lexicon(spark, d), bigram_costs(spark, d), found)), "bigram_seg", "line_id", "buf")
+    lines = an.segment(wide_table(spark, d, "corpus_lines", "line_id", "buf"), an.Models(an.load_dictionary(lexicon(spark, d), bigram_costs(spark, d), found)), "bigram_seg", "line_id", "buf")
     rows = nw.neighbours(lines).join(found.select("word"), "word", "left_semi")
     return nw.adjacency_entropy(nw.adjacency_counts(rows))
 
@@ -161,7 +161,7 @@ def final_rank(spark, d):
 def new_words(spark, d):
     """The whole pipeline over the corpus lines."""
     models = trained_models(spark, d, "crf_seg")
-    return nw.new_words(table(spark, d, "corpus_lines"), models, lexicon(spark, d), bigram_costs(spark, d), md.name_weights(places(spark, d)), id_col="line_id", text_col="buf")
+    return nw.new_words(wide_table(spark, d, "corpus_lines", "line_id", "buf"), models, lexicon(spark, d), bigram_costs(spark, d), md.name_weights(places(spark, d)), id_col="line_id", text_col="buf")
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hanweave.functions import tokens as tk
 from hanweave.plans.queries import query
-from hanweave.session import table
+from hanweave.session import table, wide_table
 
 _TOKENS = f"(SELECT doc_id, unnest({tk.tokens_sql('text')}) AS token FROM documents)"
 
@@ -14,7 +14,7 @@ _TOKENS = f"(SELECT doc_id, unnest({tk.tokens_sql('text')}) AS token FROM docume
 def _rule_query(rule: str):
     @query(f"SELECT token, count(*) AS n FROM {_TOKENS} WHERE ({tk.rule_sql('token')}) = '{rule}' GROUP BY token", name=f"tok_{rule}")
     def run(spark, d):
-        tokens = table(spark, d, "documents").select(F.explode(tk.tokens(F.col("text"))).alias("token"))
+        tokens = wide_table(spark, d, "documents", "text").select(F.explode(tk.tokens(F.col("text"))).alias("token"))
         return tokens.groupBy("token").agg(F.count("*").alias("n")).where(tk.token_rule(F.col("token")) == rule)
 
 
@@ -34,7 +34,7 @@ def tok_eof(spark, d):
 )
 def tokenize(spark, d):
     """Every token of every text with its type and the type of word it becomes."""
-    df = table(spark, d, "documents").select("doc_id", F.posexplode(tk.tokens(F.col("text"))).alias("pos", "token"))
+    df = wide_table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(tk.tokens(F.col("text"))).alias("pos", "token"))
     typed = df.withColumn("type", tk.token_type(F.col("token")))
     return typed.select("doc_id", F.col("pos").cast("long").alias("pos"), "token", "type", tk.word_type_of(F.col("type")).alias("word_type"))
 
@@ -52,7 +52,7 @@ def tokenize_lines(spark, d):
 )
 def sentence_split(spark, d):
     """Every sentence of every text."""
-    df = table(spark, d, "documents").select("doc_id", F.posexplode(tk.sentences(F.col("text"))).alias("sent_id", "s"))
+    df = wide_table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(tk.sentences(F.col("text"))).alias("sent_id", "s"))
     return df.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), F.size("s").cast("long").alias("n_tokens"), F.array_join("s", "").alias("sentence"))
 
 

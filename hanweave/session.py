@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is long for its bytes, as decoding texts is.
+
+    A table of fewer splits than cores, as of one small file, is dealt out to all cores; a
+    larger one keeps its splits, without a shuffle.
+    """
+    df = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_session(cpus: int = 8, memory: str = "16g", **conf) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
     builder = (

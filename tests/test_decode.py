@@ -3,7 +3,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from hanweave.functions import tokens as tk
 from hanweave.functions.tokens import split_sentences, split_tokens, type_of
 from hanweave.operators import decode
 from hanweave.operators.analyze import Models, analyze, analyze_text, bounded_rows, format_lines, load_dictionary, path_costs, seg, segment, words_of
@@ -194,3 +196,12 @@ def test_words_cover_tokens():
         for tokens, types in split_sentences("这个张三丰，说ab 12的例子。"):
             words, _ = words_of(m, method, tokens, types)
             assert "".join(w for w, _, _, _ in words) == "".join(tokens) and sum(n for *_, n in words) == len(tokens)
+
+
+def test_column_expressions_agree_with_workers(spark):
+    texts = [*CASES, "a" * 200_000, "ＷＸ" * 100_000, "a1" * 50_000, " " * 100_000, "\n" * 100_000, "1" * 100_000 + ".5", "中" * 3000, "好。a! b\n\n？c", "Ｗ" * 1000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    made = df.select("k", F.transform(tk.typed_tokens(F.col("text")), lambda x: F.struct(x["text"], x["type"])).alias("t"), tk.sentences(F.col("text")).alias("s"))
+    for r in made.collect():
+        assert [tuple(x) for x in r.t] == [(t, type_of[t]) for t in split_tokens(texts[r.k])]
+        assert [list(x) for x in r.s] == [t for t, _ in split_sentences(texts[r.k])]

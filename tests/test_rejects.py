@@ -6,7 +6,7 @@ import unicodedata
 import pyarrow as pa
 import pytest
 
-from hanweave.operators.rejects import BIGRAM, UNIGRAM, parse_counts, parse_lines, rejected_rows, valid_rows
+from hanweave.operators.rejects import BIGRAM, UNIGRAM, parse_counts, parse_lines, read_counts, rejected_rows, valid_rows
 
 WS = " \t\r\n"
 
@@ -104,3 +104,9 @@ def test_operator(spark):
     assert parse_counts(df.limit(0), BIGRAM).count() == 0
     with pytest.raises(ValueError):
         parse_counts(df, UNIGRAM, keep=("word",))
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "u.txt").write_text('a 1\n"b c" 2\n"x 1\n\nd 0\n')
+    rows = sorted((r.word or "", r["count"], r.reason) for r in read_counts(spark, str(tmp_path / "u.txt"), UNIGRAM).collect())
+    assert rows == [("", None, "columns"), ("", None, "quoting"), ("", None, "value"), ("a", 1.0, None), ("b c", 2.0, None)]
