@@ -4,8 +4,9 @@ Values are hashed to tasks, so each task sees all of a value. A task keeps a cou
 with conservative update and a bounded set of the values with the largest estimates; as no
 value is in two tasks, the sets are disjoint and merging them is taking the largest. Estimates
 never fall below the true counts, so the smallest kept estimate bounds every value left out:
-the exact count of the few candidates proves the result, and where it does not, the sketch and
-the sets are made larger and the pass repeated.
+the exact count of the few candidates proves the result. Where it does not, the sketch and the
+sets are made larger and the pass repeated, and if very many values are about equally frequent,
+all are counted exactly.
 
 Null values are left out. Ties go to the smaller value. Fewer than k distinct values give fewer rows.
 """
@@ -25,6 +26,8 @@ from hanweave.operators.combine import combine
 DEPTH = 4
 WIDTH = 1 << 17
 CANDIDATES = 1024
+#: Passes of growing sketches before all values are counted exactly.
+ATTEMPTS = 3
 
 
 def sketch_candidates(df: DataFrame, value: str, width: int = WIDTH, depth: int = DEPTH, candidates: int = CANDIDATES, n_tasks: int | None = None) -> DataFrame:
@@ -72,22 +75,25 @@ def sketch_candidates(df: DataFrame, value: str, width: int = WIDTH, depth: int
 def most_frequent(df: DataFrame, value: str, k: int, width: int = WIDTH, candidates: int = CANDIDATES, n_tasks: int | None = None) -> DataFrame:
     """`value`, `estimate` (count-min), `n_rows` (exact) of the k most frequent values, most frequent first.
 
-    The sets of all tasks merge into one of max(`candidates`, 8k) rows, which is what reaches
-    the driver and is broadcast for the exact check.
+    The sets of all tasks merge into one of max(`candidates`, 8k) rows, up to 16 times that in a
+    repeated pass, which is what reaches the driver and is broadcast for the exact check.
     """
     keep = max(candidates, 8 * k)
-    while True:
-        sets = sketch_candidates(df, value, width, candidates=keep, n_tasks=n_tasks)
-        merged = sets.orderBy(F.col("estimate").desc(), F.col(value)).limit(keep + 1).collect()
+    spark, field = df.sparkSession, df.schema[value]
+    out = T.StructType([field, T.StructField("estimate", T.LongType()), T.StructField("n_rows", T.LongType())])
+    first = [F.col("n_rows").desc(), F.col(value)]
+    for _ in range(ATTEMPTS):
+        merged = sketch_candidates(df, value, width, candidates=keep, n_tasks=n_tasks).orderBy(F.col("estimate").desc(), F.col(value)).limit(keep + 1).collect()
         bound = max([r["left_out"] for r in merged], default=0)
         if len(merged) > keep:
             bound = max(bound, merged.pop()["estimate"])
-        spark, schema = df.sparkSession, T.StructType([df.schema[value], T.StructField("estimate", T.LongType())])
-        chosen = spark.createDataFrame([(r[value], r["estimate"]) for r in merged], schema)
+        chosen = spark.createDataFrame([(r[value], r["estimate"]) for r in merged], T.StructType(out.fields[:2]))
         exact = df.select(value).join(F.broadcast(chosen), value).groupBy(value).agg(F.first("estimate").alias("estimate"), F.count("*").alias("n_rows"))
-        rows = exact.orderBy(F.col("n_rows").desc(), F.col(value)).limit(k).collect()
-        # A value of a task none of whose candidates got into the merged set is below that set's smallest estimate too.
-        if not rows or len(rows) == k and rows[-1]["n_rows"] > bound or bound == 0:
-            out = T.StructType([*schema, T.StructField("n_rows", T.LongType())])
+        rows = exact.orderBy(*first).limit(k).collect()
+        # A value in no merged set has at most `bound` rows.
+        if bound == 0 or len(rows) == k and rows[-1]["n_rows"] > bound:
             return spark.createDataFrame([tuple(r) for r in rows], out)
         width, keep = width * 4, keep * 4
+    # Where so many values are about equally frequent that no small set holds the k first, all are counted.
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n_rows"))
+    return counts.orderBy(*first).limit(k).select(value, F.col("n_rows").alias("estimate"), "n_rows")

@@ -76,6 +76,8 @@ def test_most_frequent(spark):
         assert got == want[:20]
     for r in heavy.sketch_candidates(df, "word", 64, candidates=50).collect():
         assert r.estimate >= counts[r.word]
+    flat = spark.range(3000).selectExpr("cast(id AS string) word")  # as frequent all, so that no set can hold the first
+    assert [r.word for r in heavy.most_frequent(flat, "word", 3, 16, 8).collect()] == ["0", "1", "10"]
     few = heavy.most_frequent(df.where("word IN ('hot', 'w1')"), "word", 20).collect()
     assert [r.word for r in few] == ["hot", "w1"]
     assert heavy.most_frequent(df.limit(0), "word", 3).count() == 0
