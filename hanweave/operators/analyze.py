@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,15 @@ class Models:
     crf_seg: Crf | None = None
     crf_pos: Crf | None = None
     hmm: Hmm | None = None
+    _taggers: dict = field(default_factory=dict)
+
+    def tagger(self, name: str) -> Hmm:
+        """The HMM with or without the CRF's emissions for unknown words."""
+        if (self.hmm.crf is not None) == (name == "hmm_crf"):
+            return self.hmm
+        if name not in self._taggers:
+            self._taggers[name] = Hmm(self.hmm.tag_cost, self.hmm.trans, self.hmm.emits, self.crf_pos if name == "hmm_crf" else None)
+        return self._taggers[name]
 
     def need(self, method: str) -> tuple[str, str | None]:
         if method not in METHODS:
@@ -88,43 +98,74 @@ def load_hmm(tags: DataFrame, trans: DataFrame, emits: DataFrame, crf: Crf | Non
     return Hmm(costs, {(r["tag1"], r["tag2"], r["tag3"]): r["cost"] for r in bounded_rows(trans.select("tag1", "tag2", "tag3", "cost"))}, by_term, crf)
 
 
-def words_of(models: Models, segmenter: str, tokens: list[str], types: list[int], parity: bool = False) -> tuple[list[tuple[str, int, int, int]], float | None]:
-    """(word, word type, term id, tokens) of a sentence, and the cost of its lattice path (None for the CRF)."""
-    cost = None
+def words_of(models: Models, segmenter: str, sentences: list[tuple[list[str], list[int]]], parity: bool = False) -> list[list[tuple[str, int, int, int]]]:
+    """Of each sentence (tokens, types) its words: (word, word type, term id, tokens)."""
     if segmenter == "crf":
-        ranges = [(a, b, ID_UNSEARCHED) for a, b in decode.cut_by_crf(models.crf_seg, tokens, types, 0, len(tokens), parity)]
+        cut = decode.cut_by_crf(models.crf_seg, [(decode.segment_rows(t, k), 0, len(t)) for t, k in sentences], parity)
+        found = [[(a, b, ID_UNSEARCHED) for a, b in ranges] for ranges in cut]
     else:
         # The historical name of the unigram method meant the bigram one.
-        ranges, cost = models.dictionary.segment(tokens, bigram=segmenter != "unigram" or parity)
-        if segmenter == "mixed":
-            ranges = decode.recognize(ranges, tokens, types, models.properties, models.crf_seg, parity)
-    return [("".join(tokens[a:b]), WORD_TYPES["chinese"] if b - a > 1 else WORD_TYPE_OF[types[a]], t, b - a) for a, b, t in ranges], cost
+        found = [models.dictionary.segment(t, bigram=segmenter != "unigram" or parity)[0] for t, _ in sentences]
+    if segmenter == "mixed":
+        jobs, where = [], []
+        for s, ((tokens, types), words) in enumerate(zip(sentences, found)):
+            runs = decode.suspicious_runs(words, tokens, types, models.properties)
+            rows = decode.segment_rows(tokens, types) if runs else None
+            for a, b in runs:
+                jobs.append((rows, words[a][0], words[b - 1][1]))
+                where.append((s, a, b))
+        cut = decode.cut_by_crf(models.crf_seg, jobs, parity)
+        for (s, a, b), ranges in zip(reversed(where), reversed(cut)):  # from the end, so that places before stay
+            found[s][a:b] = [(x, y, ID_UNSEARCHED) for x, y in ranges]
+    chinese = WORD_TYPES["chinese"]
+    return [
+        [("".join(tokens[a:b]), chinese, t, b - a) if b - a > 1 else (tokens[a], WORD_TYPE_OF[types[a]], t, 1) for a, b, t in words]
+        for (tokens, types), words in zip(sentences, found)
+    ]
 
 
-def tag_words(models: Models, tagger: str | None, words: list) -> list[str]:
+def tag_words(models: Models, tagger: str | None, sentences: list[list]) -> list[list[str]]:
+    """Tags of the words of each sentence."""
     if tagger is None:
-        return [NO_TAG] * len(words)
+        return [[NO_TAG] * len(words) for words in sentences]
     if tagger == "crf":
-        return [models.crf_pos.tags[t] for t in models.crf_pos.tag([decode.pos_row(w, kind) for w, kind, _, _ in words])]
-    known = models.dictionary.words
-    found = [(w, kind, known[w][0] if t == ID_UNSEARCHED and w in known else t) for w, kind, t, _ in words]
-    hmm = models.hmm
-    if (hmm.crf is not None) != (tagger == "hmm_crf"):
-        hmm = Hmm(hmm.tag_cost, hmm.trans, hmm.emits, models.crf_pos if tagger == "hmm_crf" else None)
-    return hmm.tag(found)
+        jobs = [([decode.pos_row(w, kind) for w, kind, _, _ in words], 0, len(words)) for words in sentences]
+        return [[models.crf_pos.tags[t] for t in tags] for tags in models.crf_pos.tag_many(jobs)]
+    known, hmm = models.dictionary.words, models.tagger(tagger)
+    return [hmm.tag([(w, kind, known[w][0] if t == ID_UNSEARCHED and w in known else t) for w, kind, t, _ in words]) for words in sentences]
 
 
-def analyze_text(models: Models, text: str, method: str = "hmm_crf", parity: bool = False) -> list[tuple]:
-    """(sentence, position, word, word type, term id, tag) of one text."""
+def analyze_texts(models: Models, texts: list[str | None], method: str = "hmm_crf", parity: bool = False) -> list[list[tuple]]:
+    """Of each text (sentence, position, word, word type, term id, tag); null and empty texts have none."""
     segmenter, tagger = models.need(method)
-    out = []
-    for sentence, (tokens, types) in enumerate(split_sentences(text)):
-        words, _ = words_of(models, segmenter, tokens, types, parity)
-        for pos, ((word, kind, term, _), tag) in enumerate(zip(words, tag_words(models, tagger, words))):
-            out.append((sentence, pos, word, kind, term, tag))
+    place, sentences = [], []
+    for k, text in enumerate(texts):
+        for no, sentence in enumerate(split_sentences(text or "")):
+            place.append((k, no))
+            sentences.append(sentence)
+    words = words_of(models, segmenter, sentences, parity)
+    out: list[list[tuple]] = [[] for _ in texts]
+    for (k, no), found, tags in zip(place, words, tag_words(models, tagger, words)):
+        out[k] += [(no, pos, word, kind, term, tag) for pos, ((word, kind, term, _), tag) in enumerate(zip(found, tags))]
     return out
 
 
+def analyze_text(models: Models, text: str, method: str = "hmm_crf", parity: bool = False) -> list[tuple]:
+    return analyze_texts(models, [text], method, parity)[0]
+
+
+def portions(texts: list, most: int = 200_000):
+    """Ranges of texts of some `most` characters together."""
+    start, held = 0, 0
+    for k, text in enumerate(texts):
+        held += len(text or "")
+        if held >= most:
+            yield start, k + 1
+            start, held = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 _RESULT = pa.struct([("sent_id", pa.int32()), ("pos", pa.int32()), ("word", pa.string()), ("word_type", pa.int32()), ("term_id", pa.int32()), ("tag", pa.string())])
 
 
@@ -141,16 +182,14 @@ def analyze(df: DataFrame, models: Models, method: str = "hmm_crf", id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, rows = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                if text:
-                    found = analyze_text(shared.value, text, method, parity)
-                    index += [k] * len(found)
-                    rows += found
-                if len(rows) > 50_000 or (k == len(batch) - 1 and rows):
+            texts = batch.column(1).to_pylist()
+            for a, b in portions(texts):
+                found = analyze_texts(shared.value, texts[a:b], method, parity)
+                rows = [row for part in found for row in part]
+                if rows:
+                    index = np.repeat(np.arange(a, b), [len(part) for part in found])
                     columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _RESULT)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), *columns], names=names)
-                    index, rows = [], []
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -164,11 +203,17 @@ def segment(df: DataFrame, models: Models, method: str = "seg", id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = []
-            for text in batch.column(1).to_pylist():
-                sentences = split_sentences(text or "")
-                lists.append(None if text is None else [w[0] if w[1] == chinese else NOT_CJK for t, k in sentences for w in words_of(shared.value, segmenter, t, k, parity)[0]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], names=schema.names)
+            texts = batch.column(1).to_pylist()
+            for a, b in portions(texts):
+                place, sentences = [], []
+                for k in range(a, b):
+                    for sentence in split_sentences(texts[k] or ""):
+                        place.append(k - a)
+                        sentences.append(sentence)
+                lists = [None if t is None else [] for t in texts[a:b]]
+                for k, words in zip(place, words_of(shared.value, segmenter, sentences, parity)):
+                    lists[k] += [w[0] if w[1] == chinese else NOT_CJK for w in words]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lists, pa.list_(pa.string()))], names=schema.names)
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -12,7 +12,9 @@ import re
 from bisect import insort
 from dataclasses import dataclass, field
 
-from hanweave.functions.tokens import WORD_TYPE_OF, WORD_TYPES
+import numpy as np
+
+from hanweave.functions.tokens import WORD_TYPES
 
 # Cost of an unknown token, beam width, term ids of unknown words, the cost that never overrides, first user id.
 OOV_COST, BEAM, ID_UNKNOWN, ID_UNSEARCHED, DEFAULT_COST, USER_ID_START = 20.0, 3, -1, -2, 16.0, 0x40000000
@@ -25,6 +27,7 @@ UNSEEN_TRANSITION = 1e6
 # Tags of words without an emission, by word type, and of unknown Chinese words, last tried first.
 TYPE_TAGS = {4: "PU", 3: "PU", 5: "PU", 2: "CD", 1: "NN"}
 OOV_TAGS = ("NR", "VA", "VV", "NN")
+_UNKNOWN = [(tag, 0.0) for tag in OOV_TAGS]
 
 
 class Dictionary:
@@ -98,6 +101,15 @@ class Crf:
         self.bigram_templates = [p for t, p in pairs if t[0] == "B"]
         self.fixed = all(len(p) == 1 for p in self.bigram_templates)
         self._transitions: dict = {}
+        self.offsets = sorted({t[k] for t in self.unigram_templates for k in range(1, len(t), 3)} | {0})
+        self._contexts = _Contexts(self)
+
+    def __getstate__(self):
+        return (self.tags, self.unigram, self.bigram, self.unigram_templates, self.bigram_templates, self.fixed, self.offsets)
+
+    def __setstate__(self, state):
+        self.tags, self.unigram, self.bigram, self.unigram_templates, self.bigram_templates, self.fixed, self.offsets = state
+        self._transitions, self._contexts = {}, _Contexts(self)
 
     @staticmethod
     def feature(template: list, rows: list[tuple[str, ...]], at: int) -> str:
@@ -171,6 +183,56 @@ class Crf:
         out.reverse()
         return out
 
+    def score_matrix(self, rows: list[tuple[str, ...]], begin: int, end: int) -> list:
+        """Keys of the score vectors of rows[begin:end]: what the templates see around each place."""
+        width = len(rows[0])
+        low, high = max(0, -self.offsets[0]), max(0, self.offsets[-1])
+        padded = [(f"_B-{k}",) * width for k in range(low, 0, -1)] + rows + [(f"_B+{k}",) * width for k in range(1, high + 1)]
+        shifted = [padded[low + o + begin : low + o + end] for o in self.offsets]
+        return list(map(self._contexts.__getitem__, zip(*shifted)))
+
+    def tag_many(self, jobs: list[tuple[list, int, int]], begin_tag: int = -1, end_tag: int = -1, parity: bool = False) -> list[list[int]]:
+        """`tag` of many (rows, begin, end) at once: one step of all sequences after the other."""
+        if not self.fixed:
+            return [self.tag(rows, begin, end, begin_tag, end_tag, parity) for rows, begin, end in jobs]
+        if not jobs:
+            return []
+        self._contexts.trim()
+        keys = [self.score_matrix(*job) for job in jobs]
+        vectors = self._contexts.vectors()
+        lengths = np.array([len(k) for k in keys])
+        order = np.argsort(-lengths, kind="stable")
+        flat = np.fromiter((x for j in order for x in keys[j]), dtype=np.int64, count=int(lengths.sum()))
+        lengths = lengths[order]
+        first = np.cumsum(lengths) - lengths
+        moves = np.array(self.transitions([], 0))  # by tag, then by left tag
+        cost = np.zeros((len(jobs), len(self.tags)))
+        if begin_tag >= 0:
+            free = np.array([bool(parity and jobs[j][1]) for j in order])
+            cost[~free] = moves[:, begin_tag]
+        cost = cost + vectors[flat[first]]
+        back = []
+        alive = len(jobs)
+        for at in range(1, int(lengths[0])):
+            alive = int(np.searchsorted(-lengths, -at, side="left"))  # those longer than `at`
+            totals = cost[:alive, None, :] + moves[None, :, :]
+            left = totals.argmax(axis=2)
+            back.append(left.astype(np.int8))
+            cost[:alive] = np.take_along_axis(totals, left[:, :, None], axis=2)[:, :, 0] + vectors[flat[first[:alive] + at]]
+        tag = (cost + moves[end_tag][None, :]).argmax(axis=1) if end_tag >= 0 else cost.argmax(axis=1)
+        out = np.zeros(int(lengths.sum()), dtype=np.int64)
+        out[first + lengths - 1] = tag
+        for at in range(int(lengths[0]) - 1, 0, -1):
+            left = back[at - 1]
+            n = len(left)
+            tag[:n] = left[np.arange(n), tag[:n]]
+            out[first[:n] + at - 1] = tag[:n]
+        result: list = [None] * len(jobs)
+        tags = out.tolist()
+        for j, a, n in zip(order.tolist(), first.tolist(), lengths.tolist()):
+            result[j] = tags[a : a + n]
+        return result
+
     def probabilities(self, rows: list[tuple[str, ...]], at: int) -> list[float]:
         scores = self.scores(rows, at)
         top = max(scores)
@@ -179,26 +241,59 @@ class Crf:
         return [p / total for p in powers]
 
 
+class _Contexts(dict):
+    """What the unigram templates see -> number of its score vector; kept up to a bound."""
+
+    MOST = 200_000
+
+    def __init__(self, crf: Crf):
+        super().__init__()
+        self.crf, self.made, self.array = crf, [], None
+
+    def __missing__(self, seen: tuple) -> int:
+        offsets, crf, out = self.crf.offsets, self.crf, [0.0] * len(self.crf.tags)
+        by_offset = dict(zip(offsets, seen))
+        for template in crf.unigram_templates:
+            name = template[0]
+            for k in range(1, len(template), 3):
+                name += by_offset[template[k]][template[k + 1]] + template[k + 2]
+            weights = crf.unigram.get(name)
+            if weights:
+                out = [x + w for x, w in zip(out, weights)]
+        self[seen] = len(self.made)
+        self.made.append(out)
+        return len(self.made) - 1
+
+    def vectors(self) -> np.ndarray:
+        if self.array is None or len(self.array) < len(self.made):
+            new = np.array(self.made[0 if self.array is None else len(self.array) :])
+            self.array = new if self.array is None else np.concatenate([self.array, new])
+        return self.array
+
+    def trim(self) -> None:
+        if len(self) > self.MOST:
+            self.clear()
+            self.made, self.array = [], None
+
+
 def segment_rows(tokens: list[str], types: list[int]) -> list[tuple[str]]:
     return [(t if k == CHINESE_TOKEN else "，",) for t, k in zip(tokens, types)]
 
 
-def cut_by_crf(crf: Crf, tokens: list[str], types: list[int], begin: int, end: int, parity: bool = False) -> list[tuple[int, int]]:
-    """Token ranges of the words of tokens[begin:end]: a word ends after S or E."""
+def cut_by_crf(crf: Crf, jobs: list[tuple[list, int, int]], parity: bool = False) -> list[list[tuple[int, int]]]:
+    """Of each (rows, begin, end) the token ranges of its words: a word ends after S or E."""
     single, last = crf.tags.index("S"), crf.tags.index("E")
-    tags = crf.tag(segment_rows(tokens, types), begin, end, single, single, parity)
-    out, start = [], begin
-    for at, tag in enumerate(tags, begin):
-        if tag == single or tag == last:
-            out.append((start, at + 1))
-            start = at + 1
-    if start < end:
-        out.append((start, end))
-    return out
-
-
-def crf_word_type(crf_tag_single: bool, kind: int) -> int:
-    return WORD_TYPE_OF[kind] if crf_tag_single else WORD_TYPES["chinese"]
+    result = []
+    for (_, begin, end), tags in zip(jobs, crf.tag_many(jobs, single, single, parity)):
+        out, start = [], begin
+        for at, tag in enumerate(tags, begin + 1):
+            if tag == single or tag == last:
+                out.append((start, at))
+                start = at
+        if start < end:
+            out.append((start, end))
+        result.append(out)
+    return result
 
 
 def suspicious(words: list[tuple[int, int, int]], tokens: list[str], types: list[int], properties: dict[str, int]) -> list[bool]:
@@ -216,19 +311,16 @@ def suspicious(words: list[tuple[int, int, int]], tokens: list[str], types: list
     return out
 
 
-def recognize(words, tokens, types, properties, crf: Crf, parity: bool = False) -> list[tuple[int, int, int]]:
-    """Runs of two or more suspicious words cut anew by the CRF; their term ids are still to be searched."""
+def suspicious_runs(words, tokens, types, properties) -> list[tuple[int, int]]:
+    """Ranges of words, two or more each, that are to be cut anew."""
     flags, out, k = suspicious(words, tokens, types, properties), [], 0
     while k < len(words):
         stop = k
         while stop < len(words) and flags[stop]:
             stop += 1
         if stop - k > 1:
-            out += [(a, b, ID_UNSEARCHED) for a, b in cut_by_crf(crf, tokens, types, words[k][0], words[stop - 1][1], parity)]
-            k = stop
-        else:
-            out.append(words[k])
-            k += 1
+            out.append((k, stop))
+        k = max(stop, k + 1)
     return out
 
 
@@ -248,6 +340,7 @@ class Hmm:
     emits: dict[int, list[tuple[str, float]]]
     crf: Crf | None = None
     _defaults: dict[int, list] = field(default_factory=dict)
+    _unknown: dict[tuple, list] = field(default_factory=dict)
 
     def __post_init__(self):
         missing = {"BOS", "PU", "CD", "NN", "VV", "VA", "AD", "NR"} - set(self.tag_cost)
@@ -260,11 +353,16 @@ class Hmm:
         if found:
             return found
         if self.crf:
+            key = rows[at] if self.crf.offsets == [0] else None
+            if key in self._unknown:
+                return self._unknown[key]
             p = self.crf.probabilities(rows, at)
             top = max(p)
             found = [(tag, -math.log(x) - self.tag_cost[tag]) for tag, x in zip(self.crf.tags, p) if x > 0.2 * top and tag in self.tag_cost]
             found.reverse()
-        return found or [(tag, 0.0) for tag in OOV_TAGS]
+            if key is not None and len(self._unknown) < 200_000:
+                self._unknown[key] = found or list(_UNKNOWN)
+        return found or list(_UNKNOWN)
 
     def tag(self, words: list[tuple[str, int, int]]) -> list[str]:
         """Tags of (word, word type, term id); costs are cut to whole numbers at each step."""

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from hanweave.api import ModelTables
 from hanweave.functions import tokens as tk
 from hanweave.operators import newwords as nw
+from hanweave.operators.dictionary import prefix_states
 from hanweave.plans.dictionaries import lexicon, places
 from hanweave.operators import models as md
 from hanweave.plans.queries import query
-from hanweave.session import table
+from hanweave.session import shared_folder, table
 from hanweave.sources import text as src
 from hanweave.streaming import stream as st
 
@@ -81,3 +85,31 @@ def candidate_files(spark, d):
     ]
     out = [lines.select(F.lit(name).alias("part"), "line") for name, lines in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT word, term_id, coalesce(cost, 16.0)::FLOAT AS cost FROM lexicon")
+def dict_save_open(spark, d):
+    """The dictionary written as a model table and opened again."""
+    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    ModelTables(lexicon(spark, d)).save(folder)
+    return ModelTables.load(spark, folder).dictionary
+
+
+@query("SELECT prefix, max(term_id) AS state FROM (SELECT word AS prefix, term_id FROM lexicon UNION ALL SELECT unnest(list_transform(range(1, length(word)), lambda k: word[1:k])), -1 FROM lexicon) GROUP BY prefix")
+def dict_build(spark, d):
+    """All prefixes of the dictionary with the state that a walk has there."""
+    return prefix_states(lexicon(spark, d))
+
+
+@query("SELECT adj_id, corpus_id, line_no, pos, word, left_id, right_id FROM adjacents")
+def sink_binary(spark, d):
+    """A table written and read back."""
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    src.write_table(table(spark, d, "adjacents").drop("seen_at"), folder)
+    return spark.read.parquet(folder)
+
+
+@query()
+def scan_binary(spark, d):
+    """Files with their lengths; contents are not opened."""
+    return src.read_binary(spark, f"{d}/lexicon.parquet").select("path", "length")

@@ -192,12 +192,29 @@ def test_dataframes(spark):
 
 def test_words_cover_tokens():
     m = models()
+    sentences = list(split_sentences("这个张三丰，说ab 12的例子。张三。丰三说"))
     for method in ("unigram", "bigram", "mixed", "crf"):
-        for tokens, types in split_sentences("这个张三丰，说ab 12的例子。"):
-            words, _ = words_of(m, method, tokens, types)
+        for (tokens, _), words in zip(sentences, words_of(m, method, sentences)):
             assert "".join(w for w, _, _, _ in words) == "".join(tokens) and sum(n for *_, n in words) == len(tokens)
 
 
+def test_many_sequences_at_once_are_tagged_as_one_by_one():
+    rng = random.Random(11)
+    for fixed in (True, False):
+        crf = random_crf(rng, ["S", "B", "E"])
+        if fixed:
+            crf = Crf(crf.tags, ["U0:%x[0,0]", "U1:%x[-1,0]/%x[0,0]", "U2:%x[2,0]", "B"], crf.unigram | {"U2:_B+2": [0.5, 0.0, 0.0]}, crf.bigram)
+        jobs = []
+        for _ in range(200):
+            rows = [(rng.choice("abc"),) for _ in range(rng.randint(1, 9))]
+            begin = rng.randint(0, len(rows) - 1)
+            jobs.append((rows, begin, rng.randint(begin + 1, len(rows))))
+        for args in ((-1, -1), (0, 0), (1, -1), (0, 2)):
+            for parity in (False, True):
+                assert crf.tag_many(jobs, *args, parity) == [crf.tag(*job, *args, parity) for job in jobs]
+    assert crf.tag_many([]) == []
+
+
 def test_column_expressions_agree_with_workers(spark):
     texts = [*CASES, "a" * 200_000, "ＷＸ" * 100_000, "a1" * 50_000, " " * 100_000, "\n" * 100_000, "1" * 100_000 + ".5", "中" * 3000, "好。a! b\n\n？c", "Ｗ" * 1000]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
