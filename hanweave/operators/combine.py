@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,18 @@ from pyspark.sql import types as T
 HELD_ROWS = 1 << 18
 
 
+
+def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of some `size` bytes of text together, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(column):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right"))
+        stop = max(stop, start + 1)
+        yield start, stop
+        start = stop
+
+
 def combine(df: DataFrame, keys: list[str], weight: str | None = None, held_rows: int = HELD_ROWS) -> DataFrame:
     """`keys`, `n` (rows) and, with `weight`, `w` (its sum as a double): one row per key and block of input, no shuffle.
 

@@ -23,8 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hanweave.operators.combine import slices
+
 QUOTE = ord('"')
 MAX_WORD_BYTES = 99
+#: Bytes indexed at once; the masks and offsets take some dozen times as much.
+INDEXED_BYTES = 1 << 21
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0D, 0x0A]] = True
 
@@ -198,10 +202,12 @@ def parse_counts(df: DataFrame, form: LineFormat, raw_col: str = "raw", keep: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(len(keep))
-            reason, columns = parse_lines(raw, form)
-            raw = pc.if_else(reason.is_valid(), raw, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns, raw, reason], names=schema.names)
+            for a, b in slices(batch.column(len(keep)), INDEXED_BYTES):
+                part = batch.slice(a, b - a)
+                raw = part.column(len(keep))
+                reason, columns = parse_lines(raw, form)
+                raw = pc.if_else(reason.is_valid(), raw, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns, raw, reason], names=schema.names)
 
     return df.select(*keep, F.col(raw_col).alias("__raw")).mapInArrow(run, schema)
 

@@ -6,6 +6,7 @@ import unicodedata
 import pyarrow as pa
 import pytest
 
+from hanweave.operators.combine import slices
 from hanweave.operators.rejects import BIGRAM, UNIGRAM, parse_counts, parse_lines, read_counts, rejected_rows, valid_rows
 
 WS = " \t\r\n"
@@ -110,3 +111,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "u.txt").write_text('a 1\n"b c" 2\n"x 1\n\nd 0\n')
     rows = sorted((r.word or "", r["count"], r.reason) for r in read_counts(spark, str(tmp_path / "u.txt"), UNIGRAM).collect())
     assert rows == [("", None, "columns"), ("", None, "quoting"), ("", None, "value"), ("a", 1.0, None), ("b c", 2.0, None)]
+
+
+def test_portions(spark):
+    assert list(slices(pa.array(["aa", None, "b" * 50, "", "c"]), 10)) == [(0, 2), (2, 3), (3, 5)]
+    assert list(slices(pa.array([], pa.string()), 10)) == []
+    df = spark.createDataFrame([(i, "a " + "1" * (i % 5)) for i in range(200)], "raw_id long, raw string")
+    assert parse_counts(df, UNIGRAM, keep=("raw_id",)).where("reason IS NULL").count() == 160
