@@ -55,6 +55,8 @@ SAME_LOOK_KINDS = {"<wide>", "<narrow>", "<small>", "<noBreak>", "<initial>", "<
 OTHER_SHAPE = ((0x17F, 0x17F), (0x3D0, 0x3D6), (0x3F0, 0x3F2), (0x3F4, 0x3F5), (0x3F9, 0x3F9), (0x1E9A, 0x1E9A), (0x2100, 0x214F), (0x3131, 0x318E), (0x3200, 0x33FF))
 
 CHUNKS = 1024
+#: Code points unified at once.
+PORTION = 1 << 20
 
 
 def _within(cp: int, ranges) -> bool:
@@ -162,10 +164,30 @@ def _join_starters(t: Tables, cps: np.ndarray, row: np.ndarray) -> tuple[np.ndar
     return cps, row
 
 
-def unify(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Replaces, orders and composes; both arrays as from `_code_points`."""
-    t = tables()
+def unify(points: np.ndarray, lengths: np.ndarray, portion: int = PORTION) -> tuple[np.ndarray, np.ndarray]:
+    """Replaces, orders and composes; both arrays as from `_code_points`. Memory is bounded by cutting at characters that join nothing before them."""
     row = np.repeat(np.arange(len(lengths)), lengths)
+    done, start = [], 0
+    while start < len(points):
+        stop = start + portion
+        while stop < len(points):
+            ahead = points[stop : stop + 4096]
+            (free,) = np.nonzero(((ahead >= 0x20) & (ahead < 0x7F)) | ((ahead >= 0x4E00) & (ahead < 0xA000)) | (row[stop : stop + len(ahead)] != row[stop - 1 : stop - 1 + len(ahead)]))
+            if len(free):
+                stop += int(free[0])
+                break
+            stop += len(ahead)
+        done.append(_unify(points[start:stop], row[start:stop]))
+        start = stop
+    if not done:
+        return points, lengths
+    cps, row = (np.concatenate(x) for x in zip(*done))
+    return cps, np.bincount(row, minlength=len(lengths)).astype(np.int64)
+
+
+def _unify(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points and row of each that some code points of ascending rows become."""
+    t = tables()
     n = t.length[points].astype(np.int64)
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
@@ -196,8 +218,7 @@ def unify(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
             keep[m[hit]] = False
             held[b[~hit]] = klass[m[~hit]]
         cps, row = cps[keep], row[keep]
-    cps, row = _join_starters(t, cps, row)
-    return cps, np.bincount(row, minlength=len(lengths)).astype(np.int64)
+    return _join_starters(t, cps, row)
 
 
 def unify_array(column: pa.Array) -> pa.Array:

@@ -39,6 +39,10 @@ def test_against_the_plain_rule():
     got = nm.unify_array(pa.array(texts)).to_pylist()
     assert got == [None if t is None else plain(t) for t in texts]
     assert nm.unify_array(pa.array(got)).to_pylist() == got
+    points, lengths = nm._code_points(pa.array(texts))
+    for portion in (1, 7, 1000):
+        cps, sizes = nm.unify(points, lengths, portion)
+        assert cps.astype("<u4").tobytes().decode("utf-32-le") == "".join(t or "" for t in got) and sizes.tolist() == [len(t or "") for t in got]
     part = pa.array(texts, pa.string())
     assert nm.unify_array(part.slice(7, 90)).to_pylist() == got[7:97]
     assert nm.unify_array(pa.array([], pa.string())).to_pylist() == [] and nm.unify_array(pa.array([None, ""], pa.string())).to_pylist() == [None, ""]
