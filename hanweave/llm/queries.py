@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hanweave.llm import bpe, cooccur, heavy, mix, normalize, pieces, termfreq
 from hanweave.operators.rejects import UNIGRAM, parse_counts, valid_rows
+from hanweave.plans.problems import UNIGRAM_SQL
 from hanweave.session import checkpointed, table, wide_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,7 +117,14 @@ def _all_frequencies(spark, d):
     return terms, lines
 
 
-@query()
+_TERMS_SQL = "t AS (SELECT word, count(DISTINCT doc_id) AS n FROM terms WHERE word <> '' GROUP BY word), d AS (SELECT count(DISTINCT doc_id) AS d FROM terms)"
+_LINES_SQL = f"u AS (SELECT w[1] AS word, count(*) AS c, count(DISTINCT file_name) AS n, sum(w[2]::DOUBLE) AS s FROM {UNIGRAM_SQL} WHERE reason IS NULL GROUP BY w[1]), f AS (SELECT count(DISTINCT file_name) AS f FROM unigram_raw)"
+
+
+@query(
+    f"""WITH {_TERMS_SQL}, {_LINES_SQL} SELECT 'terms' AS tab, word, 'rare' AS mark FROM t WHERE n < 3 UNION ALL SELECT 'terms', word, 'common' FROM t, d WHERE n * 6 >= d
+    UNION ALL SELECT 'unigram', word, 'rare' FROM u WHERE s < 3 UNION ALL SELECT 'unigram', word, 'common' FROM u, f WHERE n * 5 >= 3 * f"""
+)
 def p3_found(spark, d):
     """Words too rare or too common."""
     terms, lines = _all_frequencies(spark, d)
@@ -134,10 +142,10 @@ def p3_terms(spark, d):
     return termfreq.term_frequencies(table(spark, d, "terms").where("word <> ''"), "word", "doc_id").drop("weight")
 
 
-@query()
+@query(f"WITH {_LINES_SQL} SELECT word, c AS occurrences, n AS records, round(s, 4) AS weight FROM u")
 def p3_unigram(spark, d):
     """Rows, files and total count of every word of the valid unigram lines."""
-    return termfreq.term_frequencies(_unigram_rows(spark, d), "word", "file_name", "count")
+    return termfreq.term_frequencies(_unigram_rows(spark, d), "word", "file_name", "count").withColumn("weight", F.round("weight", 4))
 
 
 @query("SELECT word FROM terms WHERE word <> '' GROUP BY word ORDER BY count(*) DESC, word LIMIT 20")
