@@ -106,31 +106,43 @@ class Cutter:
 
     def feed(self, pos: np.ndarray, tok: np.ndarray, lev: np.ndarray, last: bool) -> list[tuple[int, int, int, int]]:
         """(start, end, tokens, tokens shared with the piece before) of each piece that is now certain."""
-        pos, tok_, lev = np.concatenate([self.pos, pos]), np.concatenate([self.tok, tok]), np.concatenate([self.lev, lev])
-        out, a, end, top = [], 0, self.end, len(tok_) - 1
-        if last and not self.pieces and tok_[-1] - tok_[0] <= self.max:
-            return out
-        if tok_[-1] - tok_[0] > self.max or last:
-            tok, marks = tok_.tolist(), [np.nonzero(lev >= k)[0].tolist() for k in range(BLANK_LINE, NONE, -1)]
-            while tok[top] - tok[a] > self.max:
-                hi = bisect_right(tok, tok[a] + self.max) - 1
-                lo = max(end + 1, bisect_left(tok, tok[a] + self.max // 2))
-                hi = max(hi, end + 1)  # only if one character has more tokens than the limit leaves
-                b = hi
-                for mark in marks:
-                    k = bisect_right(mark, hi) - 1
-                    if k >= 0 and mark[k] >= lo:
-                        b = mark[k]
-                        break
-                out.append((a, b, tok[b] - tok[a], max(0, tok[end] - tok[a]) if self.pieces + len(out) else 0))
-                end = b
-                a = max(a + 1, bisect_right(tok, tok[b] - self.overlap) - 1)
-            if last and top > end:
-                out.append((a, top, tok[top] - tok[a], max(0, tok[end] - tok[a]) if self.pieces + len(out) else 0))
-        self.pos, self.tok, self.lev, self.end = pos[a:], tok_[a:], lev[a:], end - a
-        self.pieces += len(out)
+        pos, tok, lev = np.concatenate([self.pos, pos]), np.concatenate([self.tok, tok]), np.concatenate([self.lev, lev])
+        out, a = [], 0
+        if last or tok[-1] - tok[0] > self.max:
+            out, a = self.choose(tok.tolist(), marks_of(lev), last)
+        self.pos, self.tok, self.lev = pos[a:], tok[a:], lev[a:]
         return [(int(pos[x]), int(pos[y]), n, s) for x, y, n, s in out]
 
+    def choose(self, tok: list[int], marks: list[list[int]], last: bool) -> tuple[list[tuple[int, int, int, int]], int]:
+        """Pieces by index into `tok`, and the index where the next one starts."""
+        out, a, end, top = [], 0, self.end, len(tok) - 1
+        if last and not self.pieces and tok[top] - tok[0] <= self.max:
+            return out, a
+        while tok[top] - tok[a] > self.max:
+            hi = bisect_right(tok, tok[a] + self.max) - 1
+            lo = max(end + 1, bisect_left(tok, tok[a] + self.max // 2))
+            hi = max(hi, end + 1)  # only if one character has more tokens than the limit leaves
+            b = hi
+            for mark in marks:
+                k = bisect_right(mark, hi) - 1
+                if k >= 0 and mark[k] >= lo:
+                    b = mark[k]
+                    break
+            out.append((a, b, tok[b] - tok[a], max(0, tok[end] - tok[a]) if self.pieces + len(out) else 0))
+            end = b
+            a = max(a + 1, bisect_right(tok, tok[b] - self.overlap) - 1)
+        if last and top > end:
+            out.append((a, top, tok[top] - tok[a], max(0, tok[end] - tok[a]) if self.pieces + len(out) else 0))
+        self.end = end - a
+        self.pieces += len(out)
+        return out, a
+
+
+def marks_of(lev: np.ndarray) -> list[list[int]]:
+    """Indices of the places of each strength or more, the strongest first."""
+    (some,) = np.nonzero(lev)
+    return [some[lev[some] >= k].tolist() for k in range(BLANK_LINE, NONE, -1)]
+
 
 def _token_lengths(tokens: list[bytes]) -> np.ndarray:
     return np.array([len(t) for t in tokens], dtype=np.int64)
@@ -180,12 +192,17 @@ def _short_pieces(df: DataFrame, limits: list, vocabulary: str | None) -> DataFr
                 for k, (pos, tok, lev) in enumerate(_cuts(encoder, lengths, texts[a:b])):
                     if not len(tok) or tok[-1] <= least:
                         continue
-                    text = texts[a + k]
+                    text, at, sums = texts[a + k], [0, *pos.tolist()], [0, *tok.tolist()]
+                    marks = marks_of(np.concatenate([[0], lev]))
                     for limit, most, overlap in limits:
-                        for no, (x, y, n, s) in enumerate(Cutter(most, overlap).feed(pos, tok, lev, True)):
-                            ids.append(a + k)
-                            for column, value in zip(rows, (limit, no, x, y, n, s, text[x:y])):
-                                column.append(value)
+                        if sums[-1] <= most:
+                            continue
+                        found, _ = Cutter(most, overlap).choose(sums, marks, True)
+                        first, last, n, shared_n = zip(*found)
+                        starts, stops = [at[x] for x in first], [at[y] for y in last]
+                        ids += [a + k] * len(found)
+                        for column, values in zip(rows, ([limit] * len(found), range(len(found)), starts, stops, n, shared_n, [text[x:y] for x, y in zip(starts, stops)])):
+                            column += values
                 encoder.trim()
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(rows, kinds))], names=schema.names)
