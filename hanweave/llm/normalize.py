@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hanweave.session import checkpointed
+
 # Letters of other scripts drawn like a Latin letter of the same case.
 LOOK_ALIKES = {
     # Cyrillic
@@ -258,10 +260,13 @@ def same_look_pairs(rows: DataFrame, group_cols: list[str], id_col: str = "id",
         kept = kept.where(F.col(c).isNotNull())
     digest = lambda c: F.unhex(F.md5(c))
     looks = with_unified(kept, "__text", "__look").select(*group_cols, "__id", digest("__look").alias("__look"), digest("__text").alias("__raw"))
+    looks = checkpointed(looks)  # some 50 bytes a row, used twice, so that texts are unified once
+    # Spellings differ if either of two hashes does; numbers, unlike digests, are aggregated without a sort.
+    hashes = [F.xxhash64(F.lit(k), "__raw") for k in range(2)]
+    several = looks.groupBy(*group_cols, "__look").agg(*[f(h).alias(f"__{n}{k}") for k, h in enumerate(hashes) for n, f in (("a", F.min), ("b", F.max))])
+    several = several.where("__a0 < __b0 OR __a1 < __b1")
+    looks = looks.join(several.select(*group_cols, "__look"), [*group_cols, "__look"], "left_semi")
     lists = looks.groupBy(*group_cols, "__look", "__raw", F.pmod(F.xxhash64("__id"), F.lit(chunks)).alias("__chunk")).agg(F.collect_list("__id").alias("__ids"))
-    several = lists.groupBy(*group_cols, "__look").agg(F.min("__raw").alias("__a"), F.max("__raw").alias("__b"), F.sum(F.size("__ids")).alias("__n"))
-    several = several.where("__a < __b AND __n > 1")  # the number keeps the lists in the plan, so that both uses share one shuffle
-    lists = lists.join(several.select(*group_cols, "__look"), [*group_cols, "__look"], "left_semi")
     other = lists.select(*group_cols, "__look", F.col("__raw").alias("__raw2"), F.col("__ids").alias("__ids2"))
     return (
         lists.join(other, [*group_cols, "__look"])
