@@ -250,7 +250,7 @@ def with_unified(df: DataFrame, text_col: str, name: str) -> DataFrame:
 def same_look_pairs(rows: DataFrame, group_cols: list[str], id_col: str = "id", text_col: str = "text", chunks: int = CHUNKS) -> DataFrame:
     """`group_cols`, `id_lo`, `id_hi`: pairs of rows of a group that look the same but differ in their characters.
 
-    Null and empty texts and null group values pair with nothing. Rows of one spelling are
+    Null and empty texts, null ids and null group values pair with nothing. Rows of one spelling are
     held as up to `chunks` lists of ids, so a spelling with a third of all rows spreads over
     tasks, and spellings of a look meet once, not row by row; no step holds more rows than
     the result plus the lists.

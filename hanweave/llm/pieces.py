@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hanweave.llm import bpe
+from hanweave.session import checkpointed
 
 #: Characters of a range and of a halo.
 RANGE_CHARS = 1 << 15
@@ -211,25 +212,29 @@ def _short_pieces(df: DataFrame, limits: list, vocabulary: str | None) -> DataFr
 
 
 def ranges_of(df: DataFrame, range_chars: int = RANGE_CHARS, halo: int = HALO_CHARS) -> DataFrame:
-    """`id`, `range_no`, `is_last`, `before`, `body`, `after` of each text, in ranges of `range_chars` characters, spread over tasks."""
-    schema = T.StructType(
-        [df.schema[0], T.StructField("range_no", T.LongType()), T.StructField("is_last", T.BooleanType())] + [T.StructField(n, T.StringType()) for n in ("before", "body", "after")]
-    )
+    """`row`, `range_no`, `is_last`, `before`, `body`, `after` of each text of (id, text), in ranges of `range_chars` characters, and the id.
+
+    `row` tells rows apart, so ids may be null or repeat. The ranges are written once, so that
+    `row` stays what it is, and dealt out to tasks.
+    """
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), *df.columns)
+    texts = [T.StructField(n, T.StringType()) for n in ("before", "body", "after")]
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("range_no", T.LongType()), T.StructField("is_last", T.BooleanType()), *texts, T.StructField("__id", df.schema[0].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 at = range(0, len(text), range_chars)
                 for lo in range(0, len(at), 64):  # some ranges a batch
-                    part = at[lo : lo + 64]
+                    part, same = at[lo : lo + 64], pa.array([k] * len(at[lo : lo + 64]))
                     columns = [
-                        batch.column(0).take(pa.array([k] * len(part))), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array([s + range_chars >= len(text) for s in part]),
+                        batch.column(0).take(same), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array([s + range_chars >= len(text) for s in part]),
                         pa.array([text[max(0, s - halo) : s] for s in part], pa.string()), pa.array([text[s : s + range_chars] for s in part], pa.string()),
-                        pa.array([text[s + range_chars : s + range_chars + halo] for s in part], pa.string()),
+                        pa.array([text[s + range_chars : s + range_chars + halo] for s in part], pa.string()), batch.column(1).take(same),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.mapInArrow(run, schema).repartition(df.columns[0], "range_no")
+    return checkpointed(numbered.mapInArrow(run, schema)).withColumnRenamed("__id", df.columns[0]).repartition("row", "range_no")
 
 
 def file_ranges(spark: SparkSession, path: str, range_bytes: int = 1 << 20, halo: int = HALO_CHARS) -> DataFrame:
@@ -351,20 +356,21 @@ def _stitch(boundaries: DataFrame, limits: list) -> DataFrame:
 
 
 def pieces_of_ranges(ranges: DataFrame, limits: list[tuple[int, int, int]], vocabulary: str | None = None, halo: int = HALO_CHARS) -> DataFrame:
-    """Pieces of texts given as ranges (of `ranges_of` or `file_ranges`), emitted by offset."""
-    name = ranges.columns[0]
-    parts = _stitch(_boundaries(ranges, halo, vocabulary), limits)
-    texts = parts.join(ranges.select(name, "range_no", "body"), [name, "range_no"])
+    """Pieces of texts given as ranges (of `ranges_of` or `file_ranges`), emitted by offset; the id is the ranges' last column if that is none of theirs, else their first."""
+    key = ranges.columns[0]
+    own = ranges.columns[6:] or [key]
+    parts = _stitch(_boundaries(ranges.select(*ranges.columns[:6]), halo, vocabulary), limits)
+    numbers = [f.name for f in _piece_fields(ranges.schema[0])[1:]]
+    texts = parts.join(ranges.select(key, "range_no", "body", *[F.col(c).alias("__id") for c in own]), [key, "range_no"])
     texts = texts.withColumn("text", F.expr("substring(body, from_char + 1, n_part)"))
-    keys = [f.name for f in _piece_fields(ranges.schema[0])]
     joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part_no", "text"))), lambda x: x["text"]))
-    return texts.groupBy(*keys).agg(joined.alias("piece"))
+    return texts.groupBy(key, "__id", *numbers).agg(joined.alias("piece")).select(F.col("__id").alias(own[0]), *numbers, "piece")
 
 
 def split_texts(df: DataFrame, limits: DataFrame | list[tuple[int, int, int]], id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, range_chars: int = RANGE_CHARS) -> DataFrame:
     """`id_col`, `limit_id`, `piece_no`, `char_start`, `char_end`, `n_tokens`, `n_shared`, `piece` of every text above a limit.
 
-    Ids must be unique and not null: they say which ranges belong together.
+    Ids may be null or repeat: every row is cut for itself.
     """
     limits = limits if isinstance(limits, list) else _limits(limits)
     texts = df.select(F.col(id_col), F.col(text_col).alias("__text")).where(F.length("__text") > 0)

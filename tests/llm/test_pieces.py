@@ -58,6 +58,20 @@ def test_short_and_ranged_texts(spark, encoder):
         assert key(ranged) == key(whole)
 
 
+def test_null_and_repeated_ids(spark):
+    texts_ = ["的。" * 400, "的。" * 400, "好，" * 300, "好，" * 40, "好，" * 40]
+    df = spark.createDataFrame(list(zip([None, None, 1, 1, None], texts_)), "doc_id long, text string")
+    for size in (100, 10_000):
+        got = pieces.split_texts(df, [(1, 64, 8)], range_chars=size)
+        whole = {}
+        for r in got.collect():
+            whole.setdefault((r.doc_id, r.piece_no, r.piece), []).append(r)
+        first = [r for rs in whole.values() for r in rs if r.piece_no == 0]
+        assert len(first) == 5 and sum(r.doc_id is None for r in first) == 3
+        assert max(r.char_end for rs in whole.values() for r in rs if r.doc_id == 1) == 600
+        assert sorted(len(rs) for rs in whole.values() if rs[0].doc_id is None and rs[0].char_start > 200) == [2] * (len({k for k in whole if k[0] is None and whole[k][0].char_start > 200}))
+
+
 def test_empty_table_and_limits(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pieces.split_texts(df, LIMITS).count() == 0
