@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hanweave.operators import analyze as an
 from hanweave.operators import decode
 from hanweave.operators import models as md
+from hanweave.session import checkpointed
 from hanweave.sources import text as src
 
 #: Tables of a model directory.
@@ -70,8 +71,8 @@ class ModelTables:
 def train(terms: DataFrame, lexicon: DataFrame, bigrams: DataFrame | None = None) -> ModelTables:
     """Model tables from tagged words (as `terms`) and a dictionary (word, term_id, cost, oov_value)."""
     words = lexicon.select("word", "term_id", F.coalesce("cost", F.lit(decode.DEFAULT_COST).cast("float")).alias("cost"))
-    places = md.tagged_places(terms)
-    tags = md.tag_set(places)
+    places = checkpointed(md.tagged_places(terms))  # each table is trained from it
+    tags = checkpointed(md.tag_set(places))
     return ModelTables(
         dictionary=words, bigrams=bigrams, properties=lexicon.where("oov_value IS NOT NULL").select("word", F.col("oov_value").alias("value")),
         crf_seg=md.segment_features(words), crf_pos=md.pos_features(places, words), tags=tags, transitions=md.tag_trigrams(places, tags),

@@ -11,7 +11,7 @@ from hanweave.operators import crf as cf
 from hanweave.operators import decode, models as md
 from hanweave.plans.dictionaries import _PLACES, bigram_costs, lexicon, places, user_words
 from hanweave.plans.queries import query
-from hanweave.session import table, wide_table
+from hanweave.session import checkpointed, table, wide_table
 
 
 def trained_models(spark, d, method="seg", user=None):
@@ -23,8 +23,8 @@ def trained_models(spark, d, method="seg", user=None):
         models.crf_seg = an.load_crf(list(decode.SEGMENT_TAGS), md.SEGMENT_TEMPLATES, md.segment_features(words))
         models.properties = {r["word"]: r["oov_value"] for r in an.bounded_rows(table(spark, d, "lexicon").where("oov_value IS NOT NULL").select("word", "oov_value"))}
     if tagger:
-        p = places(spark, d)
-        tags = md.tag_set(p)
+        p = checkpointed(places(spark, d))  # each table is trained from it
+        tags = checkpointed(md.tag_set(p))
         names = sorted(r["tag"] for r in tags.select("tag").collect() if r["tag"] != "BOS")
         if tagger != "hmm":
             models.crf_pos = an.load_crf(names, md.POS_TEMPLATES, md.pos_features(p, words))
