@@ -1,9 +1,10 @@
 """Pairs of items that occur in the same record, against chance.
 
 Blocked Gram matrix: records are rows of a binary sparse matrix X over items. Each task
-takes blocks of records, cuts their items into item blocks and sums the products X_a^T X_b
-of its record blocks; the sums of all tasks are added by key. The diagonal of the Gram
-matrix holds how many records have each item, so counts and marginals come from one pass.
+takes blocks of records as sparse matrices over the items that they hold and sums the
+products X^T X of its blocks; the sums of all tasks are added by key. The diagonal of the
+Gram matrix holds how many records have each item, so counts and marginals come from one
+pass.
 
 A record of any size is handled: one with more than `tile_items` items is cut into
 fragments, and every pair of fragments is one tile with a task of its own choosing, so
@@ -18,44 +19,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hanweave.session import checkpointed
 
-#: Items of a fragment of a large record; items of a block of the Gram matrix; entries held before they are passed on.
+#: Items of a fragment of a large record; products of a block of records, and entries held before they are passed on.
 TILE_ITEMS = 512
-ITEM_BLOCK = 1 << 16
 HELD = 1 << 20
 
 _GRAM = "item_x long, item_y long, n long"
 
 
-def _products(items: np.ndarray, lengths: np.ndarray, side: np.ndarray | None) -> np.ndarray:
-    """Codes (x, y), x <= y, of all entries of X^T X over some records; the items of a record are distinct.
+def _block_product(items: np.ndarray, lengths: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y), x <= y, and value of the entries of X^T X over a block of records; the items of a record are distinct.
 
+    The block's items get numbers of their own, so an entry is one number to sort.
     `side`: 0 for items of a record that make pairs with all, 1 and 2 for those that pair
     only across, as in a tile of two fragments.
     """
+    own, at = np.unique(items, return_inverse=True)
     n = lengths.astype(np.int64)
     starts = np.cumsum(n) - n
     rep = np.repeat(n, n)  # each item meets the n items of its record
     left = np.repeat(np.arange(len(items)), rep)
     begin = np.repeat(np.cumsum(rep) - rep, rep)
     right = np.arange(len(left)) - begin + np.repeat(np.repeat(starts, n), rep)
-    keep = items[left] <= items[right]
+    keep = at[left] <= at[right]
     if side is not None:
         keep &= (side[left] == 0) | (side[left] != side[right])
-    return np.stack([items[left[keep]], items[right[keep]]])
+    entry, count = np.unique(at[left[keep]] * len(own) + at[right[keep]], return_counts=True)
+    return np.stack([own[entry // max(1, len(own))], own[entry % max(1, len(own))]]), count
 
 
 def _sum_blocks(entries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Adds up entries of equal (x, y)."""
-    xy = np.concatenate([e for e, _ in entries], axis=1)
-    n = np.concatenate([c for _, c in entries])
-    # Item blocks first, so that one block of the matrix is summed after the other.
-    order = np.lexsort((xy[1], xy[0], xy[1] // ITEM_BLOCK, xy[0] // ITEM_BLOCK))
-    xy, n = xy[:, order], n[order]
-    first = np.nonzero(np.concatenate([[True], (xy[:, 1:] != xy[:, :-1]).any(axis=0)]))[0]
-    return xy[:, first], np.add.reduceat(n, first)
+    """Adds up entries of equal (x, y) of several blocks."""
+    if len(entries) == 1:
+        return entries[0]
+    own, at = np.unique(np.concatenate([e for e, _ in entries], axis=1), return_inverse=True)
+    at = at.reshape(2, -1)
+    code = at[0] * len(own) + at[1]
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], np.concatenate([c for _, c in entries])[order]
+    first = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0]
+    return np.stack([own[code[first] // len(own)], own[code[first] % len(own)]]), np.add.reduceat(n, first)
 
 
 def _gram_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,9 +82,8 @@ def _gram_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < len(lengths):  # record blocks of bounded product size
             to = max(at + 1, int(np.searchsorted(squares, (squares[at - 1] if at else 0) + HELD, side="right")))
             upto = done + int(lengths[at:to].sum())
-            xy = _products(items[done:upto], lengths[at:to], None if side is None else side[done:upto])
-            if xy.shape[1]:
-                held.append(_sum_blocks([(xy, np.ones(xy.shape[1], dtype=np.int64))]))
+            if upto > done:
+                held.append(_block_product(items[done:upto], lengths[at:to], None if side is None else side[done:upto]))
                 size += len(held[-1][1])
             at, done = to, upto
             if size > HELD:
@@ -103,12 +108,17 @@ def gram_of_pairs(df: DataFrame, record_cols: list[str], left: str, right: str)
     Rows with a null item or a null record key are left out; a record stored repeatedly counts
     once. Stored copies of one record that disagree count by the smallest pair.
     """
-    known = df.select(*record_cols, F.struct(F.col(left).cast("long").alias("l"), F.col(right).cast("long").alias("r")).alias("__p"))
-    known = known.where(F.col("__p.l").isNotNull() & F.col("__p.r").isNotNull())
+    known = df.where(F.col(left).isNotNull() & F.col(right).isNotNull())
     for c in record_cols:
         known = known.where(F.col(c).isNotNull())
-    records = known.groupBy(*record_cols).agg(F.min("__p").alias("__p"))
-    lists = records.select(F.array_distinct(F.array("__p.l", "__p.r")).alias("__items"))
+    if all(isinstance(df.schema[c].dataType, T.IntegerType) for c in (left, right)):
+        # Two integers as one number in the same order, which is aggregated by hash instead of by sort.
+        pair = F.shiftleft(F.col(left).cast("long"), 32).bitwiseOR(F.col(right).cast("long") + (1 << 31))
+        sides = [F.shiftright("__p", 32), F.col("__p").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)]
+    else:
+        pair, sides = F.struct(F.col(left).cast("long").alias("l"), F.col(right).cast("long").alias("r")), [F.col("__p.l"), F.col("__p.r")]
+    records = known.groupBy(*record_cols).agg(F.min(pair).alias("__p"))
+    lists = records.select(F.array_distinct(F.array(*sides)).alias("__items"))
     return gram(lists, "__items"), records.agg(F.count("*").alias("n_records"))
 
 

@@ -27,6 +27,10 @@ def test_pairs_of_records(spark):
     few = cooccur.pair_lifts(df, ["corpus_id", "line_no"], "l", "r", least=5, times=1.0).collect()
     assert {(r.item_x, r.item_y) for r in few} == {(x, y) for (x, y), n in two.items() if n >= 5 and n * len(records) >= one[x] * one[y]}
     assert cooccur.pair_lifts(df.limit(0), ["corpus_id", "line_no"], "l", "r").count() == 0
+    mixed = spark.createDataFrame([(1, 5, -7), (1, 5, -9), (2, -3, 2**31 - 1), (3, -(2**31), -3)], "k int, l int, r int")
+    for kind in ("int", "long"):
+        rows_ = mixed.select("k", F.col("l").cast(kind), F.col("r").cast(kind))
+        assert sorted((r.item_x, r.item_y) for r in cooccur.pair_lifts(rows_, ["k"], "l", "r").collect()) == [(-(2**31), -3), (-9, 5), (-3, 2**31 - 1)]
 
 
 def test_baskets_of_any_size(spark):
