@@ -2,8 +2,9 @@
 
 A piece is a run of consecutive tokens of its text's encoding that begins and ends between
 characters. As neighbouring tokens of an encoding are also the encoding of what they spell,
-such a piece has just that many tokens by itself (fewer where it ends in several line breaks),
-so cutting needs one encoding pass for any number of limits.
+such a piece has just that many tokens by itself, so cutting needs one encoding pass for any
+number of limits. Only a run of blanks at a piece's end may have fewer, which is noted at
+the places after such runs.
 
 A text is cut into ranges. A worker sees its range with a halo on both sides, finds the
 places where words certainly begin next to the edges, encodes what lies between, and notes
@@ -102,19 +103,19 @@ class Cutter:
         if not 0 <= overlap * 2 < max_tokens:
             raise ValueError(f"the overlap of {overlap} tokens must be under half of {max_tokens}")
         self.max, self.overlap = max_tokens, overlap
-        self.pos, self.tok, self.lev = (np.zeros(1, dtype=np.int64) for _ in range(3))
+        self.pos, self.tok, self.lev, self.off = (np.zeros(1, dtype=np.int64) for _ in range(4))
         self.end, self.pieces = 0, 0  # index of the last piece's end, pieces so far
 
-    def feed(self, pos: np.ndarray, tok: np.ndarray, lev: np.ndarray, last: bool) -> list[tuple[int, int, int, int]]:
+    def feed(self, pos: np.ndarray, tok: np.ndarray, lev: np.ndarray, off: np.ndarray, last: bool) -> list[tuple[int, int, int, int]]:
         """(start, end, tokens, tokens shared with the piece before) of each piece that is now certain."""
-        pos, tok, lev = np.concatenate([self.pos, pos]), np.concatenate([self.tok, tok]), np.concatenate([self.lev, lev])
+        pos, tok, lev, off = (np.concatenate(x) for x in ((self.pos, pos), (self.tok, tok), (self.lev, lev), (self.off, off)))
         out, a = [], 0
         if last or tok[-1] - tok[0] > self.max:
-            out, a = self.choose(tok.tolist(), marks_of(lev), last)
-        self.pos, self.tok, self.lev = pos[a:], tok[a:], lev[a:]
+            out, a = self.choose(tok.tolist(), marks_of(lev), off.tolist(), last)
+        self.pos, self.tok, self.lev, self.off = pos[a:], tok[a:], lev[a:], off[a:]
         return [(int(pos[x]), int(pos[y]), n, s) for x, y, n, s in out]
 
-    def choose(self, tok: list[int], marks: list[list[int]], last: bool) -> tuple[list[tuple[int, int, int, int]], int]:
+    def choose(self, tok: list[int], marks: list[list[int]], off: list[int], last: bool) -> tuple[list[tuple[int, int, int, int]], int]:
         """Pieces by index into `tok`, and the index where the next one starts."""
         out, a, end, top = [], 0, self.end, len(tok) - 1
         if last and not self.pieces and tok[top] - tok[0] <= self.max:
@@ -129,7 +130,7 @@ class Cutter:
                 if k >= 0 and mark[k] >= lo:
                     b = mark[k]
                     break
-            out.append((a, b, tok[b] - tok[a], max(0, tok[end] - tok[a]) if self.pieces + len(out) else 0))
+            out.append((a, b, tok[b] + off[b] - tok[a], max(0, tok[end] - tok[a]) if self.pieces + len(out) else 0))
             end = b
             a = max(a + 1, bisect_right(tok, tok[b] - self.overlap) - 1)
         if last and top > end:
@@ -150,20 +151,35 @@ def _token_lengths(tokens: list[bytes]) -> np.ndarray:
 
 
 def _cuts(encoder: bpe.Transducer, lengths: np.ndarray, texts: list[str]):
-    """Of each text its possible cuts: places (characters), tokens so far, strengths."""
+    """Of each text its possible cuts: places (characters), tokens so far, strengths, and tokens that a piece ending there has more by itself (0 or less)."""
     packed = [encoder.encode_packed(t) for t in texts]
     whole = "".join(texts)
     raw = np.frombuffer(whole.encode("utf-8"), np.uint8)
-    level = np.append(strengths(np.frombuffer(whole.encode("utf-32-le"), "<u4")), 0)
+    points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+    level = np.append(strengths(points), 0)
     begins = np.append((raw & 0xC0) != 0x80, True)
     ends = np.cumsum(lengths[np.frombuffer(b"".join(packed), "<i4")])
     (kept,) = np.nonzero(begins[ends])  # tokens after which a character begins
     chars = (np.cumsum(begins) - 1)[ends[kept]]
     tokens, at = np.cumsum([0] + [len(p) // 4 for p in packed]), np.cumsum([0] + [len(t) for t in texts])
+    off = np.zeros(len(kept), dtype=np.int64)
+    # Of a run of blanks before a word, the last is split off in the text but not where a piece ends after the run.
+    space = _member(points, _SPACES)
+    if len(points) > 2:
+        stops = np.nonzero(space[:-2] & space[1:-1] & ~space[2:])[0] + 2
+        (solid,) = np.nonzero(~space)
+        before = np.searchsorted(solid, stops) - 1
+        starts = np.maximum(np.where(before >= 0, solid[np.maximum(before, 0)] + 1, 0), at[np.searchsorted(at, stops, side="right") - 1])
+        to, since = np.searchsorted(chars, stops), np.searchsorted(chars, starts)
+        for stop, start, j, k in zip(stops.tolist(), starts.tolist(), to.tolist(), since.tolist()):
+            if start < stop and j < len(kept) and chars[j] == stop:
+                # A run that opens a text begins with the text's first token.
+                first = kept[k] + 1 if k < len(kept) and chars[k] == start and start not in at else tokens[np.searchsorted(at, start)]
+                off[j] = min(0, encoder.count(whole[start:stop]) - int(kept[j] + 1 - first))
     where = np.searchsorted(kept, tokens)
     for k in range(len(texts)):
         a, b = where[k], where[k + 1]
-        yield chars[a:b] - at[k], kept[a:b] + 1 - tokens[k], level[chars[a:b]]
+        yield chars[a:b] - at[k], kept[a:b] + 1 - tokens[k], level[chars[a:b]], off[a:b]
 
 
 def _limits(limits: DataFrame) -> list[tuple[int, int, int]]:
@@ -190,15 +206,15 @@ def _short_pieces(df: DataFrame, limits: list, vocabulary: str | None) -> DataFr
             texts = batch.column(1).to_pylist()
             for a, b in bpe._sub_batches(texts, 4096, _BATCH_CHARS):
                 rows, ids = [[] for _ in range(7)], []
-                for k, (pos, tok, lev) in enumerate(_cuts(encoder, lengths, texts[a:b])):
+                for k, (pos, tok, lev, off) in enumerate(_cuts(encoder, lengths, texts[a:b])):
                     if not len(tok) or tok[-1] <= least:
                         continue
                     text, at, sums = texts[a + k], [0, *pos.tolist()], [0, *tok.tolist()]
-                    marks = marks_of(np.concatenate([[0], lev]))
+                    marks, offs = marks_of(np.concatenate([[0], lev])), [0, *off.tolist()]
                     for limit, most, overlap in limits:
                         if sums[-1] <= most:
                             continue
-                        found, _ = Cutter(most, overlap).choose(sums, marks, True)
+                        found, _ = Cutter(most, overlap).choose(sums, marks, offs, True)
                         first, last, n, shared_n = zip(*found)
                         starts, stops = [at[x] for x in first], [at[y] for y in last]
                         ids += [a + k] * len(found)
@@ -280,7 +296,7 @@ def _boundaries(ranges: DataFrame, halo: int, vocabulary: str | None) -> DataFra
     path = bpe.vocabulary_path(vocabulary)
     shared = bpe.share_vocabulary(ranges.sparkSession, path)
     fields = [ranges.schema[0], ranges.schema["range_no"], ranges.schema["is_last"], T.StructField("n_chars", T.LongType())]
-    schema = T.StructType([*fields, T.StructField("cuts", T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("t", T.IntegerType()), T.StructField("l", T.IntegerType())])))])
+    schema = T.StructType([*fields, T.StructField("cuts", T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("t", T.IntegerType()), T.StructField("l", T.IntegerType()), T.StructField("o", T.IntegerType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.worker_encoder(path, shared)
@@ -297,12 +313,12 @@ def _boundaries(ranges: DataFrame, halo: int, vocabulary: str | None) -> DataFra
                 if not batch.column(2)[k].as_py():
                     found = _CERTAIN.search(text, hi, min(hi + halo, len(text)))
                     end = found.start() if found else hi
-                (pos, tok, _), = _cuts(encoder, lengths, [text[start:end]])
+                (pos, tok, _, off), = _cuts(encoder, lengths, [text[start:end]])
                 encoder.trim()
                 level = np.append(strengths(np.frombuffer(text.encode("utf-32-le"), "<u4")), 0)
                 place = pos + start
                 structs = pa.StructArray.from_arrays(
-                    [pa.array((place - lo).astype(np.int32)), pa.array((tok + (FORCED_TOKENS if forced else 0)).astype(np.int32)), pa.array(level[place].astype(np.int32))], names=["p", "t", "l"]
+                    [pa.array((place - lo).astype(np.int32)), pa.array((tok + (FORCED_TOKENS if forced else 0)).astype(np.int32)), pa.array(level[place].astype(np.int32)), pa.array(off.astype(np.int32))], names=["p", "t", "l", "o"]
                 )
                 cuts = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in (0, 1, 2)), pa.array([len(body)], pa.int64()), cuts], names=schema.names)
@@ -327,14 +343,14 @@ def _stitch(boundaries: DataFrame, limits: list) -> DataFrame:
                 no, is_last, n_chars = (batch.column(c)[k].as_py() for c in (1, 2, 3))
                 cuts = batch.column(4)
                 cuts = cuts.values.slice(cuts.offsets[k].as_py(), cuts.offsets[k + 1].as_py() - cuts.offsets[k].as_py())
-                p, t, lev = (cuts.field(c).to_numpy().astype(np.int64) for c in range(3))
+                p, t, lev, off = (cuts.field(c).to_numpy().astype(np.int64) for c in range(4))
                 offset = starts[-1][0]
                 rows = [[] for _ in kinds]
                 if not is_last:
                     starts.append((offset + n_chars, no + 1))
                 for limit, cutter in cutters:
                     first = cutter.pieces
-                    for i, (x, y, n, s) in enumerate(cutter.feed(p + offset, t + tokens, lev, is_last)):
+                    for i, (x, y, n, s) in enumerate(cutter.feed(p + offset, t + tokens, lev, off, is_last)):
                         at = bisect_right(starts, (x, 1 << 62)) - 1
                         part = 0
                         while at < len(starts) and starts[at][0] < y:

@@ -21,7 +21,7 @@ def texts():
 
 
 def check(rows, source, encoder):
-    by = {}
+    by, exact, pieces_ = {}, 0, 0
     for r in rows:
         by.setdefault((r.doc_id, r.limit_id), []).append(r)
     for limit, most, overlap in LIMITS:
@@ -34,6 +34,8 @@ def check(rows, source, encoder):
                 assert r.piece_no == k and r.piece == text[r.char_start : r.char_end] and r.char_end > end
                 own = encoder.count(r.piece)
                 assert own <= r.n_tokens <= most
+                exact += own == r.n_tokens
+                pieces_ += 1
                 assert r.char_start <= end
                 if k:
                     shared = encoder.count(text[r.char_start : end])
@@ -41,6 +43,7 @@ def check(rows, source, encoder):
                     assert r.n_shared <= overlap + (16 if overlap else 0)
                 end = r.char_end
             assert not got or end == len(text)
+    assert exact > 0.9 * pieces_
 
 
 def test_short_and_ranged_texts(spark, encoder):
