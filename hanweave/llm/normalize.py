@@ -56,7 +56,8 @@ SAME_LOOK_KINDS = {"<wide>", "<narrow>", "<small>", "<noBreak>", "<initial>", "<
 # Fixed values: <compat> letters whose mapping is another shape (long s, symbol variants of Greek and Hebrew letters, lone Hangul letters).
 OTHER_SHAPE = ((0x17F, 0x17F), (0x3D0, 0x3D6), (0x3F0, 0x3F2), (0x3F4, 0x3F5), (0x3F9, 0x3F9), (0x1E9A, 0x1E9A), (0x2100, 0x214F), (0x3131, 0x318E), (0x3200, 0x33FF))
 
-CHUNKS = 1024
+#: Lists that the ids of a spelling are dealt out to, at least; ids that one of them may hold on average.
+CHUNKS, CHUNK_IDS = 1024, 1 << 16
 #: Code points unified at once.
 PORTION = 1 << 20
 
@@ -247,11 +248,11 @@ def with_unified(df: DataFrame, text_col: str, name: str) -> DataFrame:
     return df.select(*[f"`{f.name}`" for f in kept], *([F.col(f"`{name}`")] if text_col == name else [])).mapInArrow(run, schema)
 
 
-def same_look_pairs(rows: DataFrame, group_cols: list[str], id_col: str = "id", text_col: str = "text", chunks: int = CHUNKS) -> DataFrame:
+def same_look_pairs(rows: DataFrame, group_cols: list[str], id_col: str = "id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """`group_cols`, `id_lo`, `id_hi`: pairs of rows of a group that look the same but differ in their characters.
 
     Null and empty texts, null ids and null group values pair with nothing. Rows of one spelling are
-    held as up to `chunks` lists of ids, so a spelling with a third of all rows spreads over
+    held as up to `chunks` lists of ids, by default so many that none gets long, so a spelling with a third of all rows spreads over
     tasks, and spellings of a look meet once, not row by row; no step holds more rows than
     the result plus the lists.
     """
@@ -261,6 +262,7 @@ def same_look_pairs(rows: DataFrame, group_cols: list[str], id_col: str = "id",
     digest = lambda c: F.unhex(F.md5(c))
     looks = with_unified(kept, "__text", "__look").select(*group_cols, "__id", digest("__look").alias("__look"), digest("__text").alias("__raw"))
     looks = checkpointed(looks)  # some 50 bytes a row, used twice, so that texts are unified once
+    chunks = chunks or max(CHUNKS, looks.count() // CHUNK_IDS)
     # Spellings differ if either of two hashes does; numbers, unlike digests, are aggregated without a sort.
     hashes = [F.xxhash64(F.lit(k), "__raw") for k in range(2)]
     several = looks.groupBy(*group_cols, "__look").agg(*[f(h).alias(f"__{n}{k}") for k, h in enumerate(hashes) for n, f in (("a", F.min), ("b", F.max))])
