@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hanweave.functions import tokens as tk
 from hanweave.functions.tokens import NOT_CJK
 from hanweave.operators import analyze as an
 from hanweave.operators import models as md
@@ -110,12 +111,14 @@ def adjacency_entropy(spark, d):
     return nw.adjacency_entropy(_adjacent(spark, d)).select("word", F.round("entropy", 6).alias("entropy"))
 
 
-@query(f"WITH w AS (SELECT doc_id, word, lag(word) OVER o AS l, lead(word) OVER o AS r FROM {_WORDS} WINDOW o AS (PARTITION BY doc_id ORDER BY pos, word)), s AS (SELECT word, 'left' AS side, l AS neighbour FROM w UNION ALL SELECT word, 'right', r FROM w) SELECT word, side, neighbour, count(*) AS n FROM s WHERE neighbour IS NOT NULL GROUP BY ALL")
+@query(
+    f"""WITH w AS (SELECT word, lag(word) OVER o AS l, lead(word) OVER o AS r FROM (SELECT line_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT line_id, {tk.tokens_sql('buf')} AS t FROM corpus_lines))
+      WINDOW o AS (PARTITION BY line_id ORDER BY pos)), s AS (SELECT word, 'left' AS side, l AS neighbour FROM w UNION ALL SELECT word, 'right', r FROM w)
+    SELECT word, side, neighbour, count(*) AS n FROM s WHERE neighbour IS NOT NULL GROUP BY ALL"""
+)
 def line_neighbours(spark, d):
-    """Neighbour counts of lines held as lists of words."""
-    word = F.when(F.col("word_type") == 0, F.col("word")).otherwise(NOT_CJK)
-    rows = table(spark, d, "terms").where("word <> ''").select("doc_id", F.struct("pos", word.alias("word")).alias("x"))
-    lines = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["word"]).alias("words"))
+    """Neighbour counts of lines held as lists, here of tokens."""
+    lines = table(spark, d, "corpus_lines").select(tk.tokens(F.col("buf")).alias("words"))
     return nw.adjacency_counts(nw.neighbours(lines))
 
 
