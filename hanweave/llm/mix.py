@@ -7,13 +7,13 @@ is moved is size, not count, so the total of a source changes by nothing but its
 record. Blocks of records are rounded in parallel; what each block leaves, at most one record
 a source, meets again in the next level of a reduction tree.
 
-That last record can be far off where the records of a source are large against what it is to
-contribute. Such records keep their whole copies, and the fractions of all are given to the
-source's records up to `TOLERANCE` of its contribution, or up to the least power of two by
-which there are enough of them. Where a source is large against its records, as it is with
-much data, that leaves none out and the expected copies of a record are exactly its wanted
-number. All draws are hashes of the
-record's id and a seed, so a lost task comes out the same when run again.
+So that this last record is small, the largest records of a source, up to `BLOCK` of them, are
+decided one by one before, from the largest down, each by its fraction; all smaller records
+together give or take its size, so they keep one common fraction. A record larger than what the
+others can give or take moves them as far as its chance allows, and the share is missed by what
+is left, which `shares` reports. The expected copies of every record are exactly its wanted
+number at any size of a source. All draws are hashes of the record's id and a seed, so a lost
+task comes out the same when run again.
 
 The result has every record with its copies, 0 for those not drawn, of a source that is null
 or without a target, or of null size or size 0, as these add nothing to any share. Targets of
@@ -23,7 +23,7 @@ absent sources are reported with an actual share of 0 and the others are scaled
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,18 +35,17 @@ from hanweave.session import checkpointed
 #: Records of a block, and blocks that meet in one group of the next level.
 BLOCK = 4096
 FAN_IN = 256
-#: Part of a source's contribution up to which a record may decide by chance.
-TOLERANCE = 0.01
 _EPS = 1e-9
 
 
 @dataclass
 class Need:
-    """What a source is to contribute: whole copies of all records, a fraction of a copy of those of size up to `up_to`."""
+    """What a source is to contribute: whole copies and a fraction of a copy of all records. Those of 2**`large` and more are decided first."""
 
     whole: int
     fraction: float
-    up_to: int
+    large: int
+    size: int
     blocks: int
 
 
@@ -65,13 +64,13 @@ def wanted_copies(sizes: dict[str, dict[int, tuple[int, int]]], targets: dict[st
     for s, (share, cap) in present.items():
         copies = min(float(cap), total * share / shared / size[s])
         whole = int(copies + _EPS)
-        loose = max(0.0, copies - whole) * size[s]  # size to come from single further copies
-        fine, up_to = 0, 0
-        for k, (x, _) in sorted(sizes[s].items()):
-            fine, up_to = fine + x, (2 << k) - 1
-            if fine >= 2 * loose and up_to >= TOLERANCE * copies * size[s]:
-                break
-        needs[s] = Need(whole, loose / fine if loose > _EPS * size[s] else 0.0, up_to, -(-sum(n for _, n in sizes[s].values()) // BLOCK))
+        fraction = max(0.0, copies - whole)
+        large, n_large = max(sizes[s]) + 1, 0
+        while large > min(sizes[s]) and n_large + sizes[s].get(large - 1, (0, 0))[1] <= BLOCK:
+            large -= 1
+            n_large += sizes[s].get(large, (0, 0))[1]
+        n = sum(n for _, n in sizes[s].values()) - n_large
+        needs[s] = Need(whole, fraction if fraction > _EPS else 0.0, large, size[s], max(1, -(-n // BLOCK)))
     return needs
 
 
@@ -107,6 +106,33 @@ def round_block(sizes: np.ndarray, fractions: np.ndarray, draws: np.ndarray) ->
     return np.array(out, dtype=float)
 
 
+def decide_largest(sizes: np.ndarray, fraction: float, total: float, draws: np.ndarray) -> tuple[np.ndarray, float]:
+    """0 or 1 for each of the largest records, largest first, and the fraction that all others have then.
+
+    `total` is the size of all records of the source, each of which has `fraction`.
+    """
+    out, q, rest = [], fraction, float(total)
+    for s, draw in zip(sizes.tolist(), draws.tolist()):
+        rest -= s
+        taken = draw < q
+        out.append(float(taken))
+        if 0 < q < 1 and rest > 0:
+            d = min(s / rest, q / (1 - q), (1 - q) / q)  # the others stay within 0 and 1 and their expected move is 0
+            q = q - (1 - q) * d if taken else q + q * d
+            q = round(q) if q <= _EPS or q >= 1 - _EPS else q
+    return np.array(out, dtype=float), float(q)
+
+
+def _decider(seed: int, needs: dict[str, Need]):
+    def decided(largest: pd.DataFrame) -> pd.DataFrame:
+        largest = largest.sort_values(["__size", "__id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        need = needs[largest["source"].iloc[0]]
+        x, left = decide_largest(largest["__size"].to_numpy(), need.fraction, need.size, _draws(largest["__id"].to_numpy(), seed - 2))
+        return largest.assign(__fraction=x, __left=left)
+
+    return decided
+
+
 def _rounder(seed: int, level: int, last: bool):
     def rounded(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["__size", "__id"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -130,7 +156,8 @@ def mix(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_c
     rows = records.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("__size"))
     all_rows = rows
     rows = rows.where((F.col("__size") > 0) & F.col("source").isin(list(want)))
-    by_size = rows.groupBy("source", F.floor(F.log2("__size")).cast("int").alias("k")).agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
+    size_class = F.floor(F.log2("__size")).cast("int")
+    by_size = rows.groupBy("source", size_class.alias("k")).agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
     found: dict = {}
     for r in by_size.collect():  # a source times some dozen sizes
         found.setdefault(r["source"], {})[r["k"]] = (r["size"], r["n"])
@@ -146,15 +173,22 @@ def mix(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_c
     rows = rows.where(F.col("source").isin(list(needs))).select(
         "__id", "source", "__size",
         per_source(lambda x: x.whole).cast("long").alias("__base"),
-        F.when(F.col("__size") <= per_source(lambda x: x.up_to), per_source(lambda x: x.fraction)).otherwise(0.0).alias("__fraction"),
+        per_source(lambda x: x.fraction).cast("double").alias("__fraction"),
         F.pmod(F.xxhash64("__id"), per_source(lambda x: x.blocks)).cast("long").alias("__block"),
+        (size_class >= per_source(lambda x: x.large)).alias("__large"),
     )
-    schema = rows.schema.simpleString()[len("struct<") : -1]
-    most, level, result = max(x.blocks for x in needs.values()), 0, None
+    largest = rows.where("__large").drop("__large")
+    schema = largest.schema.simpleString()[len("struct<") : -1]
+    first = checkpointed(largest.groupBy("source").applyInPandas(_decider(seed, needs), f"{schema},__left:double"))
+    for r in first.groupBy("source").agg(F.first("__left").alias("left")).collect():  # a row a source
+        needs[r["source"]] = replace(needs[r["source"]], fraction=r["left"])
+    result = first.drop("__left")
+    rows = rows.where("NOT __large").drop("__large").withColumn("__fraction", per_source(lambda x: x.fraction).cast("double"))
+    most, level = max(x.blocks for x in needs.values()), 0
     while True:
         done = checkpointed(rows.groupBy("source", "__block").applyInPandas(_rounder(seed, level, most == 1), schema))
         integral = done.where("__fraction IN (0, 1)")
-        result = integral if result is None else result.unionByName(integral)
+        result = result.unionByName(integral)
         if most == 1:
             break
         rows = done.where("__fraction NOT IN (0, 1)").withColumn("__block", F.expr(f"__block DIV {FAN_IN}"))

@@ -41,3 +41,24 @@ def test_mix(spark, monkeypatch):
     short = {r.source: r.size for r in mix.shares(mix.mix(df, targets, total=1e9), targets).collect()}
     sizes = {r[0]: r[1] for r in df.groupBy("source").sum("n_tokens").collect()}
     assert all(short[s] == sizes[s] * caps[s] for s in caps)
+
+
+def test_largest_records_have_their_chance():
+    """A record of half the source's text, and long-tailed sizes: chances exact, the size kept as far as the largest allow."""
+    rng = np.random.default_rng(3)
+    tail = np.sort((2000 / (1 - rng.random(300)) ** 0.9).astype(int).clip(1, 60000))[::-1]
+    for sizes, p in ((np.array([50, *[1] * 50]), 0.5), (np.array([50, *[1] * 50]), 0.3), (tail, 0.15), (tail, 0.8)):
+        runs = [mix.decide_largest(sizes, p, sizes.sum(), rng.random(len(sizes)))[0] for _ in range(4000)]
+        assert np.abs(np.mean(runs, axis=0) - p).max() < 0.05
+        if sizes is tail:
+            assert np.abs(np.array(runs) @ sizes / (p * sizes.sum()) - 1).mean() < 0.01
+    x, left = mix.decide_largest(np.array([4, 2]), 0.5, 20, np.array([0.1, 0.9]))
+    assert x.tolist() == [1, 0] and abs(4 + left * 14 - 10) < 1e-9
+
+
+def test_long_records_of_a_scarce_source_enter(spark):
+    rows = [(0, "scarce", 300)] + [(i, "scarce", 10) for i in range(1, 71)] + [(i, "full", 10) for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int").coalesce(1)
+    targets = spark.createDataFrame([("scarce", 0.5, 1), ("full", 0.5, 1)], "source string, target_share double, max_repeats int")
+    drawn = [mix.mix(df, targets, seed=s).where("doc_id = 0").first().copies for s in range(0, 60, 10)]
+    assert set(drawn) == {0, 1}
