@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanweave.llm import bpe, cooccur, heavy, mix, normalize, pieces, termfreq
+from hanweave.operators.dictionary import rank_rows
 from hanweave.operators.rejects import UNIGRAM, parse_counts, valid_rows
 from hanweave.plans.problems import UNIGRAM_SQL
 from hanweave.session import checkpointed, table, wide_table
@@ -100,13 +101,31 @@ def p2_lifts(spark, d):
        ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL"""
 )
 def p2_baskets(spark, d):
-    """Lexicon words (nouns) that occur in the same document: records of any size."""
+    """Lexicon words tagged NN that occur in the same document, a part of the words; `p2_word_baskets` has all."""
     words = table(spark, d, "terms").where("part_of_speech_tag = 'NN'").select("doc_id", "word")
     known = words.join(table(spark, d, "lexicon").select("word", "term_id"), "word")
     pairs = cooccur.gram_of_baskets(known, ["doc_id"], "term_id").where("item_x < item_y")
     return pairs.select(F.col("item_x").cast("int").alias("a_word"), F.col("item_y").cast("int").alias("b_word"), "n")
 
 
+def _word_ids(spark, d):
+    """`word`, `item`: the words of all terms numbered from 1 in byte order."""
+    return rank_rows(table(spark, d, "terms").where("word <> ''").select("word").distinct(), F.col("word"), name="item")
+
+
+@query("SELECT word, row_number() OVER (ORDER BY encode(word)) AS item FROM (SELECT DISTINCT word FROM terms WHERE word <> '')")
+def p2_word_ids(spark, d):
+    """The ids that words have in `p2_word_baskets`."""
+    return _word_ids(spark, d)
+
+
+@query()
+def p2_word_baskets(spark, d):
+    """All words, by their ids of `p2_word_ids`, that occur in the same document, with the number of documents."""
+    words = table(spark, d, "terms").where("word <> ''").select("doc_id", "word").distinct()
+    return cooccur.gram_of_baskets(words.join(_word_ids(spark, d), "word"), ["doc_id"], "item").where("item_x < item_y")
+
+
 def _unigram_rows(spark, d):
     return valid_rows(parse_counts(table(spark, d, "unigram_raw"), UNIGRAM, keep=("raw_id", "file_name")))
 

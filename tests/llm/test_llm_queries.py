@@ -1,6 +1,7 @@
 import os
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -42,3 +43,16 @@ def test_p3_found(spark, data):
     want |= {("unigram", r.word, m) for r in lines for m, ok in (("rare", r.weight < 3), ("common", r.records * 5 >= 3 * files)) if ok}
     rows = QUERIES["p3_found"](spark, data).collect()
     assert {(r["tab"], r["word"], r["mark"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_p2_word_baskets(spark, data):
+    """All pairs of words of a document, also of the words that are in nearly every one and in no lexicon."""
+    baskets = defaultdict(set)
+    for r in spark.read.parquet(f"{data}/terms.parquet").select("doc_id", "word").collect():
+        if r.doc_id is not None and r.word:
+            baskets[r.doc_id].add(r.word)
+    want = Counter(p for words in baskets.values() for p in combinations(sorted(words), 2))
+    word = {r["item"]: r["word"] for r in QUERIES["p2_word_ids"](spark, data).collect()}
+    rows = QUERIES["p2_word_baskets"](spark, data).collect()
+    assert {(word[r.item_x], word[r.item_y]): r.n for r in rows} == want and len(rows) == len(want)
+    assert any("-NOT-CJK-" in p for p in want)
