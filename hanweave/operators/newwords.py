@@ -74,6 +74,23 @@ def adjacency_entropy(counts: DataFrame) -> DataFrame:
     return sides.select("word", F.least(entropy("left"), entropy("right")).alias("entropy"))
 
 
+def bigram_analyze(df: DataFrame, found: DataFrame, dictionary: DataFrame, bigrams: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The second pass, by bigrams with the candidates `found` (`word`, `cost`) as user words: its vocabulary, and `word`, `entropy` of every candidate.
+
+    Neighbours that are neither candidates nor in the dictionary are one; a candidate never seen has 0.
+    `found` should be checkpointed: it is used several times.
+    """
+    own = found.select("word", F.round("cost", 5).cast("float").alias("cost"))
+    second = checkpointed(segment(df, Models(load_dictionary(dictionary, bigrams, own)), "bigram_seg", id_col, text_col))
+    vocab = checkpointed(vocabulary(second.select(F.explode("words").alias("word"))))
+    rows = neighbours(second).join(found.select("word"), "word", "left_semi")
+    ids = rows.select("side", F.col("word").alias("__word"), F.col("neighbour").alias("word"))
+    names = found.select("word").unionByName(dictionary.select("word")).distinct().withColumn("__known", F.lit(True))
+    merged = ids.join(names, "word", "left").select(F.col("__word").alias("word"), "side", F.when(F.col("__known"), F.col("word")).otherwise(NOT_CJK).alias("neighbour"))
+    entropy = adjacency_entropy(adjacency_counts(merged))
+    return vocab, found.select("word").join(entropy, "word", "left").na.fill(0.0, ["entropy"])
+
+
 def mutual_information(vocab: DataFrame, candidate_words: DataFrame, dictionary: DataFrame, bigrams: DataFrame | None = None) -> DataFrame:
     """`word`, `value`: cost of the best split of the word without itself, minus -ln(count / total).
 
@@ -135,18 +152,8 @@ def new_words(df: DataFrame, models: Models, dictionary: DataFrame, bigrams: Dat
     as user words gives counts, neighbours and mutual information. `known` replaces the
     dictionary as the list of old words.
     """
-    lines = lambda m, method: segment(df, m, method, id_col, text_col)
-    first = vocabulary(lines(models, "crf_seg").select(F.explode("words").alias("word")))
+    first = vocabulary(segment(df, models, "crf_seg", id_col, text_col).select(F.explode("words").alias("word")))
     found = checkpointed(candidates(checkpointed(first), known if known is not None else dictionary, name_weights, least))
-    own = found.select("word", F.round("cost", 5).cast("float").alias("cost"))
-    second = checkpointed(lines(Models(load_dictionary(dictionary, bigrams, own)), "bigram_seg"))
-    vocab = checkpointed(vocabulary(second.select(F.explode("words").alias("word"))))
-    rows = neighbours(second).join(found.select("word"), "word", "left_semi")
-    # Neighbours that are neither candidates nor in the dictionary are one.
-    ids = rows.select("side", F.col("word").alias("__word"), F.col("neighbour").alias("word"))
-    names = found.select("word").unionByName(dictionary.select("word")).distinct().withColumn("__known", F.lit(True))
-    merged = ids.join(names, "word", "left").select(F.col("__word").alias("word"), "side", F.when(F.col("__known"), F.col("word")).otherwise(NOT_CJK).alias("neighbour"))
-    entropy = adjacency_entropy(adjacency_counts(merged))
-    entropy = found.select("word").join(entropy, "word", "left").na.fill(0.0, ["entropy"])
+    vocab, entropy = bigram_analyze(df, found, dictionary, bigrams, id_col, text_col)
     information = mutual_information(vocab, found, dictionary, bigrams)
     return final_rank(checkpointed(entropy), checkpointed(information), parity=parity).orderBy(F.col("value").desc(), "word")

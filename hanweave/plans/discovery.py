@@ -12,7 +12,7 @@ from hanweave.operators import newwords as nw
 from hanweave.plans.decoding import trained_models
 from hanweave.plans.dictionaries import bigram_costs, lexicon, places, unigram_costs
 from hanweave.plans.queries import ORACLES, query
-from hanweave.session import table, wide_table
+from hanweave.session import checkpointed, table, wide_table
 
 _WORDS = f"(SELECT doc_id, pos, CASE WHEN word_type = 0 THEN word ELSE '{NOT_CJK}' END AS word FROM terms WHERE word <> '')"
 _VOCAB = f"v AS (SELECT word, count(*) AS n FROM {_WORDS} GROUP BY word)"
@@ -124,13 +124,12 @@ def line_neighbours(spark, d):
 
 @query()
 def bigram_analyze(spark, d):
-    """Corpus lines segmented with candidates as user words: the entropy of each candidate's neighbours."""
-    first = an.segment(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "crf_seg"), "crf_seg", "line_id", "buf")
-    found = nw.candidates(nw.vocabulary(first.select(F.explode("words").alias("word"))), lexicon(spark, d))
-    found = found.select("word", F.round("cost", 5).cast("float").alias("cost"))
-    lines = an.segment(wide_table(spark, d, "corpus_lines", "line_id", "buf"), an.Models(an.load_dictionary(lexicon(spark, d), bigram_costs(spark, d), found)), "bigram_seg", "line_id", "buf")
-    rows = nw.neighbours(lines).join(found.select("word"), "word", "left_semi")
-    return nw.adjacency_entropy(nw.adjacency_counts(rows))
+    """Corpus lines segmented with candidates as user words: every word with its count, candidates (also those not found again, count 0) with the entropy of their neighbours."""
+    df = wide_table(spark, d, "corpus_lines", "line_id", "buf")
+    first = an.segment(df, trained_models(spark, d, "crf_seg"), "crf_seg", "line_id", "buf")
+    found = checkpointed(nw.candidates(checkpointed(nw.vocabulary(first.select(F.explode("words").alias("word")))), lexicon(spark, d)))
+    words, entropy = nw.bigram_analyze(df, found, lexicon(spark, d), bigram_costs(spark, d), "line_id", "buf")
+    return words.join(entropy, "word", "full").na.fill(0, ["count"])
 
 
 @query()

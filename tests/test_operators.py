@@ -188,6 +188,18 @@ def test_entropy_and_neighbours(spark):
     assert nw.adjacency_entropy(counts).first().entropy == pytest.approx(0.25 * math.log(4) + 0.75 * math.log(4 / 3))
 
 
+def test_bigram_analyze(spark):
+    """Unknown words are one neighbour, a candidate never seen has 0, and the vocabulary comes out too."""
+    dictionary = spark.createDataFrame([("我们", 1, 5.0), ("学校", 2, 5.0)], "word string, term_id int, cost float")
+    found = spark.createDataFrame([("计算机", 1.0), ("量子力", 1.0)], "word string, cost float")
+    texts = ["我们计算机学校", "猫计算机狗", "鸟计算机鱼", "a计算机b", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    vocab, entropy = nw.bigram_analyze(df, found, dictionary)
+    assert {r["word"]: r["count"] for r in vocab.collect()} == {"我们": 1, "计算机": 4, "学校": 1, "猫": 1, "狗": 1, "鸟": 1, "鱼": 1, "-NOT-CJK-": 2}
+    got = {r.word: r.entropy for r in entropy.collect()}
+    assert got == {"计算机": pytest.approx(0.25 * math.log(4) + 0.75 * math.log(4 / 3)), "量子力": 0}
+
+
 def test_threshold_and_candidates(spark):
     assert [spark.range(1).select(nw.threshold(F.lit(n))).first()[0] for n in (0, 10**5, 10**6, 10**9)] == [int(math.atan(1e-7 * n) * 50) + 2 for n in (0, 10**5, 10**6, 10**9)]
     vocab = spark.createDataFrame([("新词", 9), ("旧词", 9), ("的", 90), ("-NOT-CJK-", 99), ("少见", 2)], "word string, count long")

@@ -24,6 +24,13 @@ def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+def test_bigram_analyze(spark, data):
+    """Entropies of all candidates and counts of all words."""
+    rows = QUERIES["bigram_analyze"](spark, data).collect()
+    assert len({r["word"] for r in rows}) == len(rows)
+    assert any(r["entropy"] is None and r["count"] > 0 for r in rows) and any(r["entropy"] is not None for r in rows)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
