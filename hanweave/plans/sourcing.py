@@ -20,11 +20,18 @@ from hanweave.streaming import stream as st
 
 @query("SELECT trim(word) AS word, CASE WHEN cnt IS NULL THEN 16.0 ELSE cnt END::FLOAT AS cost FROM vocab_entries WHERE word <> '' AND NOT regexp_matches(word, '[ \\t\\r\\n]')")
 def scan_userdict(spark, d):
-    """Lines `word[ cost]` parsed as a user dictionary."""
+    """Lines `word[ cost]` parsed as a user dictionary, of words without white space only; `scan_userdict_lines` has all."""
     rows = table(spark, d, "vocab_entries").where("word <> ''").where(~F.col("word").rlike("[ \\t\\r\\n]"))
     return src.parse_user_dictionary(rows.select(F.concat_ws(" ", "word", F.col("cnt").cast("string")).alias("value")))
 
 
+@query()
+def scan_userdict_lines(spark, d):
+    """All vocabulary lines parsed as a user dictionary: cut at the first blank, the rest is the cost, 0 where it begins with no number."""
+    rows = table(spark, d, "vocab_entries").where("word <> ''").select(F.concat_ws(" ", "word", F.col("cnt").cast("string")).alias("value"))
+    return src.parse_user_dictionary(rows.select(F.explode(F.split("value", "\n")).alias("value")))
+
+
 @query("SELECT word, oov_value AS value FROM lexicon WHERE oov_value IS NOT NULL")
 def scan_dict(spark, d):
     """Lines `word int`."""

@@ -1,4 +1,7 @@
 import os
+import re
+import struct
+from collections import Counter
 
 import pytest
 
@@ -31,6 +34,18 @@ def test_bigram_analyze(spark, data):
     assert any(r["entropy"] is None and r["count"] > 0 for r in rows) and any(r["entropy"] is not None for r in rows)
 
 
+def test_scan_userdict_lines(spark, data):
+    """Also words that hold blanks, which are cut at the first one."""
+    want, blanks = Counter(), 0
+    for r in spark.read.parquet(f"{data}/vocab_entries.parquet").where("word <> ''").collect():
+        for line in (r.word if r.cnt is None else f"{r.word} {r.cnt}").split("\n"):
+            word, blank, rest = line.partition(" ")
+            number = re.match(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", rest, re.ASCII)
+            want[word.strip(" \t\r\n"), struct.unpack("f", struct.pack("f", (float(number[1]) if number else 0.0) if blank else 16.0))[0]] += 1
+            blanks += " " in r.word
+    assert Counter(map(tuple, QUERIES["scan_userdict_lines"](spark, data).collect())) == want and blanks
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
