@@ -16,7 +16,9 @@ is most, go through the same steps inside one task without a shuffle.
 Null, empty and small texts give no pieces. Pieces cover the text without gaps; consecutive
 ones share at least the wanted tokens, and no more than a character beyond. A cut falls on the
 strongest boundary of the second half of what the limit allows (blank line, line, sentence,
-clause, blank), the last of equals; where there is none, before the last character that fits.
+clause, blank), the last of equals; where there is none, on the last boundary before it after
+which the next piece still starts later; where there is none either, before the last character
+that fits.
 """
 
 from __future__ import annotations
@@ -130,6 +132,10 @@ class Cutter:
                 if k >= 0 and mark[k] >= lo:
                     b = mark[k]
                     break
+            else:  # no boundary in the second half: the last one before it from which the next piece starts later
+                k = bisect_right(marks[-1], hi) - 1
+                if k >= 0 and marks[-1][k] > end and tok[marks[-1][k]] - self.overlap >= tok[a + 1]:
+                    b = marks[-1][k]
             out.append((a, b, tok[b] + off[b] - tok[a], max(0, tok[end] - tok[a]) if self.pieces + len(out) else 0))
             end = b
             a = max(a + 1, bisect_right(tok, tok[b] - self.overlap) - 1)

@@ -107,3 +107,18 @@ def test_strengths():
     assert at("a\r\n\r\nb\nc") == [0, 1, 0, 0, 0, 5, 1, 4]
     assert at("3.14") == [0, 0, 0, 0]
     assert at("甲，乙") == [0, 0, 2]
+
+
+def test_boundary_in_the_first_half(spark, encoder):
+    """The only boundary is before a long run: the cut falls there if the next piece then starts later."""
+    text = "字词好，" + "的" * 300
+    at = text.index("，") + 1
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = sorted(pieces.split_texts(df, [(1, 64, 0), (2, 64, 30)]).collect(), key=lambda r: (r.limit_id, r.piece_no))
+    first = {r.limit_id: r for r in rows if r.piece_no == 0}
+    assert first[1].char_end == at
+    assert first[2].char_end > at and first[2].n_tokens > 60
+    for limit, overlap in ((1, 0), (2, 30)):
+        got = [r for r in rows if r.limit_id == limit]
+        assert "".join(r.piece[max(0, e - r.char_start):] for r, e in zip(got, [0, *[r.char_end for r in got]])) == text
+        assert all(r.n_tokens <= 64 and r.n_shared >= (overlap if r.piece_no else 0) for r in got)
