@@ -105,8 +105,13 @@ def mutual_information(vocab: DataFrame, candidate_words: DataFrame, dictionary:
     spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("word"), i, k))))
     parts = own.select(F.col("word").alias("whole"), F.explode(F.array_distinct(spans)).alias("word"))
     parts = parts.join(dictionary.select("word", "term_id", "cost"), "word", "left").join(vocabulary_costs(vocab).withColumnRenamed("cost", "user_cost"), "word", "left")
+    parts = checkpointed(parts)
     part = F.struct("word", "term_id", F.col("cost").cast("double").alias("cost"), F.col("user_cost").cast("double").alias("user_cost"))
     lists = parts.where("term_id IS NOT NULL OR user_cost IS NOT NULL").groupBy("whole").agg(F.collect_list(part).alias("parts"))
+    if bigrams is not None:  # only pairs of words that are parts can meet
+        ids = parts.where("term_id IS NOT NULL").select("term_id").distinct()
+        for side in ("left_id", "right_id"):
+            bigrams = bigrams.join(ids.withColumnRenamed("term_id", side), side, "left_semi")
     pairs = load_dictionary(dictionary.limit(0), bigrams).bigrams
     shared = vocab.sparkSession.sparkContext.broadcast(pairs)
 

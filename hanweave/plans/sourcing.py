@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanweave.api import ModelTables
@@ -81,17 +83,17 @@ def scan_stdin(spark, d):
 
 @query()
 def candidate_files(spark, d):
-    """Candidates, entropies and vocabulary costs as the lines that a discovery run leaves."""
-    from hanweave.plans.discovery import _adjacent, _vocab
+    """Candidates, entropies, vocabulary costs and mutual information as the lines that a discovery run leaves."""
+    from hanweave.plans.discovery import _adjacent, _vocab, mutual_information
 
     v = _vocab(spark, d)
     parts = [
         ("candidate", src.cost_lines(nw.candidates(v, lexicon(spark, d)))),
         ("entropy", src.cost_lines(nw.adjacency_entropy(_adjacent(spark, d)), "entropy", 3)),
         ("vocabulary", src.cost_lines(nw.vocabulary_costs(v))),
+        ("mutual information", src.cost_lines(mutual_information(spark, d), "value", 3)),
     ]
-    out = [lines.select(F.lit(name).alias("part"), "line") for name, lines in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return reduce(DataFrame.unionByName, [lines.select(F.lit(name).alias("part"), "line") for name, lines in parts])
 
 
 @query("SELECT word, term_id, coalesce(cost, 16.0)::FLOAT AS cost FROM lexicon")
@@ -118,5 +120,6 @@ def sink_binary(spark, d):
 
 @query()
 def scan_binary(spark, d):
-    """Files with their lengths; contents are not opened."""
-    return src.read_binary(spark, f"{d}/lexicon.parquet").select("path", "length")
+    """Files with their lengths and the SHA-256 of their contents."""
+    files = src.read_binary(spark, f"{d}/lexicon.parquet")
+    return files.select("path", "length", F.length("content").cast("long").alias("n_read"), F.sha2("content", 256).alias("sha256"))

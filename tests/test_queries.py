@@ -1,3 +1,4 @@
+import hashlib
 import os
 import re
 import struct
@@ -46,6 +47,21 @@ def test_scan_userdict_lines(spark, data):
     assert Counter(map(tuple, QUERIES["scan_userdict_lines"](spark, data).collect())) == want and blanks
 
 
+def test_candidate_files(spark, data):
+    """The mutual information of each candidate is a line too."""
+    rows = QUERIES["candidate_files"](spark, data).collect()
+    lines = {r.line for r in rows if r.part == "mutual information"}
+    assert lines == {f"{r.word} {r.value:.3f}" for r in QUERIES["mutual_information"](spark, data).collect()} and lines
+
+
+def test_scan_binary(spark, data):
+    """Contents are read."""
+    with open(f"{data}/lexicon.parquet", "rb") as f:
+        content = f.read()
+    (row,) = QUERIES["scan_binary"](spark, data).collect()
+    assert (row["length"], row["n_read"], row["sha256"]) == (len(content), len(content), hashlib.sha256(content).hexdigest())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
