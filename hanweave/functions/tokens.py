@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hanweave.functions.utf8 import sound
+
 # Letters, figures and marks that join into one token.
 LETTER = "A-Za-zＡ-ＶＹＺａ-ｚ"
 FIGURE = "0-9０-９"
@@ -45,7 +47,6 @@ MAX_SENTENCE_TOKENS = 999
 NOT_CJK = "-NOT-CJK-"
 
 
-
 def _by_rule(token: Column, value) -> Column:
     """`value(name, kind)` of the first rule that the token meets. Of the tokens that runs make, those that are none before are symbols."""
     out = None
@@ -75,11 +76,15 @@ def word_type_of(token_type_: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in WORD_TYPE_OF.items() for x in kv]), token_type_)
 
 
-def tokens(text: Column) -> Column:
-    """array<string>; null for null, empty for empty text."""
+def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(JAVA_TOKEN), F.lit(0))
 
 
+def tokens(text: Column) -> Column:
+    """array<string>; null for null, empty for empty text. Broken encodings give no token."""
+    return _tokens(sound(text))
+
+
 def typed_tokens(text: Column) -> Column:
     """array<struct<text, type>>."""
     return F.transform(tokens(text), lambda t: F.struct(t.alias("text"), token_type(t).alias("type")))
@@ -90,11 +95,11 @@ def sentences(text: Column) -> Column:
     most = MAX_SENTENCE_TOKENS
 
     def chunks(sentence: Column) -> Column:
-        t = tokens(sentence)
+        t = _tokens(sentence)
         starts = F.sequence(F.lit(0), F.floor((F.size(t) - 1) / most).cast("int"))
         return F.when(F.size(t) <= most, F.array(t)).otherwise(F.transform(starts, lambda k: F.slice(t, k * most + 1, F.lit(most))))
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), chunks))
+    return F.flatten(F.transform(F.regexp_extract_all(sound(text), F.lit(SENTENCE), F.lit(0)), chunks))
 
 
 # The same rules for workers.

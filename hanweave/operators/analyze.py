@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hanweave.functions import utf8
 from hanweave.functions.tokens import NOT_CJK, TYPE_NAMES, WORD_TYPE_OF, WORD_TYPES, split_sentences
 from hanweave.operators import decode
 from hanweave.operators.decode import ID_UNSEARCHED, Crf, Dictionary, Hmm
+from hanweave.session import map_arrow
 
 # Methods with their segmenter and tagger.
 METHODS = {
@@ -170,7 +172,7 @@ _RESULT = pa.struct([("sent_id", pa.int32()), ("pos", pa.int32()), ("word", pa.s
 
 
 def analyze(df: DataFrame, models: Models, method: str = "hmm_crf", id_col: str = "doc_id", text_col: str = "text", parity: bool = False) -> DataFrame:
-    """`id_col`, `sent_id`, `pos`, `word`, `word_type`, `term_id`, `tag`: one row a word; null and empty texts give none.
+    """`id_col`, `sent_id`, `pos`, `word`, `word_type`, `term_id`, `tag`: one row a word; null and empty texts give none, broken encodings no token.
 
     The models go to the workers as one broadcast, whose size `bounded_rows` has checked.
     """
@@ -182,7 +184,7 @@ def analyze(df: DataFrame, models: Models, method: str = "hmm_crf", id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = utf8.texts(batch.column(1), "ignore")
             for a, b in portions(texts):
                 found = analyze_texts(shared.value, texts[a:b], method, parity)
                 rows = [row for part in found for row in part]
@@ -191,7 +193,7 @@ def analyze(df: DataFrame, models: Models, method: str = "hmm_crf", id_col: str
                     columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _RESULT)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), *columns], names=names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return map_arrow(df.select(id_col, text_col), run, schema)
 
 
 def segment(df: DataFrame, models: Models, method: str = "seg", id_col: str = "doc_id", text_col: str = "text", parity: bool = False) -> DataFrame:
@@ -203,7 +205,7 @@ def segment(df: DataFrame, models: Models, method: str = "seg", id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = utf8.texts(batch.column(1), "ignore")
             for a, b in portions(texts):
                 place, sentences = [], []
                 for k in range(a, b):
@@ -215,7 +217,7 @@ def segment(df: DataFrame, models: Models, method: str = "seg", id_col: str = "d
                     lists[k] += [w[0] if w[1] == chinese else NOT_CJK for w in words]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lists, pa.list_(pa.string()))], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return map_arrow(df.select(id_col, text_col), run, schema)
 
 
 def path_costs(df: DataFrame, models: Models, bigram: bool = True, id_col: str = "doc_id", text_col: str = "text", without_self: bool = False) -> DataFrame:
@@ -226,14 +228,14 @@ def path_costs(df: DataFrame, models: Models, bigram: bool = True, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             costs = []
-            for text in batch.column(1).to_pylist():
+            for text in utf8.texts(batch.column(1), "ignore"):
                 cost = None
                 for tokens, _ in split_sentences(text or ""):
                     cost = shared.value.dictionary.segment(tokens, bigram, text if without_self else None)[1]
                 costs.append(cost)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(costs, pa.float64())], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return map_arrow(df.select(id_col, text_col), run, schema)
 
 
 def format_lines(analyzed: DataFrame, id_col: str = "doc_id", types: bool = False, tags: bool = False) -> DataFrame:

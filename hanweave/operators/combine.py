@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hanweave.session import map_arrow
+
 #: Rows held by a task before their sums are passed on.
 HELD_ROWS = 1 << 18
 
 
-
 def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of some `size` bytes of text together, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
@@ -57,4 +58,4 @@ def combine(df: DataFrame, keys: list[str], weight: str | None = None, held_rows
         if held:
             yield from merged(held).to_batches(max_chunksize=1 << 16)
 
-    return df.select(*columns).mapInArrow(run, T.StructType(fields))
+    return map_arrow(df.select(*columns), run, T.StructType(fields))

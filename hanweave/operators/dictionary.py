@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanweave.operators.decode import DEFAULT_COST, USER_ID_START
+from hanweave.session import checkpointed, task_count
 
 
 def prefixes(df: DataFrame, word: str, name: str = "prefix") -> DataFrame:
@@ -44,10 +45,7 @@ def rank_rows(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     Rows are range-partitioned and sorted; a row's rank is its place in its partition plus the
     sizes of the partitions before, one number each.
     """
-    from hanweave.session import checkpointed
-
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(task_count(df), *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     placed = checkpointed(placed)
     part = F.shiftrightunsigned("__id", 33).cast("int")
     sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}

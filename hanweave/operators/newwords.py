@@ -11,7 +11,7 @@ from hanweave.operators import models as md
 from hanweave.operators.analyze import Models, load_dictionary, segment
 from hanweave.operators.decode import Dictionary
 from hanweave.operators.dictionary import rank_rows
-from hanweave.session import checkpointed
+from hanweave.session import checkpointed, map_arrow
 
 # Where ids of system words begin, the one id of all other words, part dropped from each list, weight of the entropy.
 SYSTEM_ID_START, OTHER_ID = 0x20000000, 0x30000000
@@ -124,7 +124,7 @@ def mutual_information(vocab: DataFrame, candidate_words: DataFrame, dictionary:
                 costs.append(Dictionary(system, user, shared.value).segment(split_tokens(whole), True, whole)[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(costs, pa.float64())], names=["word", "cost"])
 
-    costs = lists.mapInArrow(run, "word string, cost double")
+    costs = map_arrow(lists, run, "word string, cost double")
     return costs.join(own, "word").select("word", (F.col("cost") + F.log(F.col("count") / total)).alias("value"))
 
 

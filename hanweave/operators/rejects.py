@@ -7,8 +7,8 @@ counts are then checked on arrays of offsets, for all rows at once.
 
 Reasons, the first that holds: `quoting` (a quoted field is not closed, or not followed by
 white space or the end), `columns` (not the wanted number of fields; null and blank lines),
-`value` (a word is empty, too long, or holds a control character or U+FFFD; or the count is
-none). Valid rows have the reason null.
+`value` (a word is empty, too long, or holds a control character, U+FFFD or bytes that are no
+UTF-8; or the count is none). Valid rows have the reason null. Rejected lines keep their bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hanweave.functions.utf8 import characters, raw_bytes
 from hanweave.operators.combine import slices
+from hanweave.session import map_arrow
 
 QUOTE = ord('"')
 MAX_WORD_BYTES = 99
@@ -49,17 +51,6 @@ UNIGRAM = LineFormat(("word",), whole=False)
 BIGRAM = LineFormat(("left", "right"), whole=True)
 
 
-def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a text column and the offsets of its rows; nulls are empty."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-    if column.null_count:
-        column = pc.fill_null(column, "")
-    if len(column) == 0 or column.buffers()[2] is None:
-        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def index_fields(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows with broken quoting (a mask), and of each field its row, first byte and the byte after its last."""
     n_rows, size = len(offsets) - 1, len(data)
@@ -115,13 +106,14 @@ def index_fields(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return broken, row[first], first, last
 
 
-def _forbidden(data: np.ndarray) -> np.ndarray:
-    """Running number of control characters and U+FFFD before each byte; one more entry than bytes."""
+def _forbidden(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Running number of control characters, U+FFFD and broken encodings before each byte; one more entry than bytes."""
     bad = (data < 0x20) | (data == 0x7F)
     if len(data) > 1:
         bad[:-1] |= (data[:-1] == 0xC2) & (data[1:] >= 0x80) & (data[1:] < 0xA0)
     if len(data) > 2:
         bad[:-2] |= (data[:-2] == 0xEF) & (data[1:-1] == 0xBF) & (data[2:] == 0xBD)
+    bad |= characters(data, offsets)[1]  # which show as U+FFFD
     return np.concatenate([[0], np.cumsum(bad)])
 
 
@@ -134,7 +126,7 @@ def _take(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
 
 
 def _whole(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    digits = pc.utf8_ltrim(text, "0")
+    digits = pc.ascii_ltrim(text, "0")
     ok = pc.and_(pc.match_substring_regex(text, "^[0-9]+$"), pc.match_substring_regex(digits, "^[0-9]{1,10}$"))
     value = pc.cast(pc.if_else(ok, digits, "0"), pa.int64()).to_numpy(zero_copy_only=False)
     ok = ok.to_numpy(zero_copy_only=False) & (value >= 1) & (value <= 2147483647)
@@ -150,14 +142,14 @@ def _number(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def parse_lines(column: pa.Array, form: LineFormat) -> tuple[pa.Array, list[pa.Array]]:
     """Reasons (null where valid), then the word columns and the count (null where invalid)."""
-    data, offsets = _text_bytes(column)
+    data, offsets = raw_bytes(column)
     n_rows = len(offsets) - 1
     broken, row, first, last = index_fields(data, offsets)
     n_fields = np.bincount(row, minlength=n_rows)
     right = ~broken & (n_fields == form.fields)
     (rows,) = np.nonzero(right)
     at = np.searchsorted(row, rows)
-    quotes, bad = np.concatenate([[0], np.cumsum(data == QUOTE)]), _forbidden(data)
+    quotes, bad = np.concatenate([[0], np.cumsum(data == QUOTE)]), _forbidden(data, offsets)
     wrong, columns = np.zeros(len(rows), dtype=bool), []
     for k in range(form.fields):
         a, b = first[at + k], last[at + k]
@@ -209,7 +201,7 @@ def parse_counts(df: DataFrame, form: LineFormat, raw_col: str = "raw", keep: tu
                 raw = pc.if_else(reason.is_valid(), raw, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns, raw, reason], names=schema.names)
 
-    return df.select(*keep, F.col(raw_col).alias("__raw")).mapInArrow(run, schema)
+    return map_arrow(df.select(*keep, F.col(raw_col).alias("__raw")), run, schema)
 
 
 def valid_rows(parsed: DataFrame) -> DataFrame:

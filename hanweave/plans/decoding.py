@@ -6,12 +6,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hanweave.functions import tokens as tk
+from hanweave.functions.utf8 import texts
 from hanweave.operators import analyze as an
 from hanweave.operators import crf as cf
 from hanweave.operators import decode, models as md
 from hanweave.plans.dictionaries import _PLACES, bigram_costs, lexicon, places, user_words
 from hanweave.plans.queries import query
-from hanweave.session import checkpointed, table, wide_table
+from hanweave.session import checkpointed, map_arrow, table, wide_table
 
 
 def trained_models(spark, d, method="seg", user=None):
@@ -89,7 +90,7 @@ def oov_recognize(spark, d):
     def run(batches):
         for batch in batches:
             ids, runs = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(texts(batch.column(1), "ignore")):
                 for tokens, types in tk.split_sentences(text or ""):
                     words, _ = shared.value.dictionary.segment(tokens, True)
                     held = []
@@ -103,7 +104,7 @@ def oov_recognize(spark, d):
                             held = []
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(runs, pa.list_(pa.string()))], names=["line_id", "words"])
 
-    return table(spark, d, "corpus_lines").select("line_id", "buf").mapInArrow(run, "line_id long, words array<string>")
+    return map_arrow(table(spark, d, "corpus_lines").select("line_id", "buf"), run, "line_id long, words array<string>")
 
 
 @query(f"SELECT doc_id, pos - 1 AS pos, CASE WHEN regexp_full_match(token, '[一-龥]') THEN token ELSE '，' END AS feature FROM (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, {tk.tokens_sql('text')} AS t FROM documents))")
@@ -204,7 +205,7 @@ def _crf_tags(begin_tag, end_tag, whole=True):
                     tagged.append([crf.tags[t] for t in crf.tag(rows, 0 if whole else len(rows) // 2, None, begin_tag, end_tag)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tagged, pa.list_(pa.string()))], names=["word", "tags"])
 
-        return table(spark, d, "terms").where("word <> ''").select("word").distinct().mapInArrow(tag, "word string, tags array<string>")
+        return map_arrow(table(spark, d, "terms").where("word <> ''").select("word").distinct(), tag, "word string, tags array<string>")
 
     return run
 

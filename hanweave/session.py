@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -81,5 +82,49 @@ def shared_folder(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back, so that it is computed once and survives lost executors."""
+    ship_package(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As `checkpointed`, as a compressed table by columns: for many rows of which later steps need some columns."""
+    ship_package(df.sparkSession)
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that this session has written to the shared folder; results that were not yet consumed are lost."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
+        files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        for status in files.listStatus(folder):
+            files.delete(status.getPath(), True)
+
+
+#: Bytes of stored input that one task of a shuffle with a fixed number of tasks gets; a partition held otherwise counts as half of that.
+TASK_BYTES = 1 << 27
+MOST_TASKS = 50_000
+
+
+def task_count(df: DataFrame) -> int:
+    """Tasks for a shuffle whose number adaptive execution cannot change: by the bytes of the tables read, at least spark.sql.shuffle.partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = 0
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        name = leaf.getClass().getSimpleName()
+        if name == "LogicalRelation":
+            size += int(leaf.stats().sizeInBytes())
+        elif name == "LogicalRDD":
+            size += leaf.rdd().getNumPartitions() * TASK_BYTES // 2
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, size // TASK_BYTES))
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow(run, schema)` with this package sent to the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
