@@ -60,14 +60,6 @@ def p4_bigram_rows(spark, d):
     return rejects.valid_rows(bigram_lines(spark, d))
 
 
-def _per_word(spark, d):
-    return skew.per_key(table(spark, d, "terms").where("word <> ''"), "word", "doc_id")
-
-
-def _per_left(spark, d):
-    return skew.per_key(table(spark, d, "adjacents"), "left_id", "right_id")
-
-
 @query(
     """SELECT 'terms' AS tab, word AS hot_key FROM terms WHERE word <> '' GROUP BY word
        HAVING count(*) * 50 >= (SELECT count(*) FROM terms WHERE word <> '')
@@ -76,23 +68,21 @@ def _per_left(spark, d):
 )
 def p5_found(spark, d):
     """Keys with at least one fiftieth of the rows that have a key."""
-    words = table(spark, d, "terms").where("word <> ''").count()
-    lefts = table(spark, d, "adjacents").where("left_id IS NOT NULL").count()
-    hot_words = _per_word(spark, d).where(F.col("n_rows") * 50 >= words).select(F.lit("terms").alias("tab"), F.col("word").alias("hot_key"))
-    hot_lefts = _per_left(spark, d).where(F.col("n_rows") * 50 >= lefts).select(F.lit("adjacents").alias("tab"), F.col("left_id").cast("string").alias("hot_key"))
+    hot_words = skew.hot_keys(table(spark, d, "terms").where("word <> ''"), "word", "doc_id", 50).select(F.lit("terms").alias("tab"), F.col("word").alias("hot_key"))
+    hot_lefts = skew.hot_keys(table(spark, d, "adjacents"), "left_id", "right_id", 50).select(F.lit("adjacents").alias("tab"), F.col("left_id").cast("string").alias("hot_key"))
     return hot_words.unionByName(hot_lefts)
 
 
 @query("SELECT word, count(*) AS n_rows, count(DISTINCT doc_id) AS n_distinct FROM terms WHERE word <> '' GROUP BY word")
 def p5_words(spark, d):
     """Rows and documents of every word."""
-    return _per_word(spark, d)
+    return skew.per_key(table(spark, d, "terms").where("word <> ''"), "word", "doc_id")
 
 
 @query("SELECT left_id, count(*) AS n_rows, count(DISTINCT right_id) AS n_distinct FROM adjacents WHERE left_id IS NOT NULL GROUP BY left_id")
 def p5_left_neighbours(spark, d):
     """Rows and right neighbours of every left neighbour."""
-    return _per_left(spark, d)
+    return skew.per_key(table(spark, d, "adjacents"), "left_id", "right_id")
 
 
 @query(
