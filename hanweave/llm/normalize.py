@@ -12,7 +12,11 @@ the same case. What stays apart: case, accents, number and place of blanks, rais
 lowered, ringed, squared, rotated and styled forms, figures for letters, simplified and
 traditional or merely similar Han characters.
 
+Letters of the Latin script itself that resemble others, as the open a, the dotless i or the g of
+phonetic writing, are no letters of another script and stay apart too.
+
 Null stays null, empty stays empty; a text of nothing but invisible characters becomes empty.
+Bytes that are no UTF-8 count as U+FFFD, one for each broken character.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hanweave.session import checkpointed
+from hanweave.functions.utf8 import code_points
+from hanweave.session import checkpointed, map_arrow
 
 # Letters of other scripts drawn like a Latin letter of the same case.
 LOOK_ALIKES = {
@@ -44,6 +49,12 @@ LOOK_ALIKES = {
     # Cherokee
     "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G",
     "Ꮓ": "Z", "Ꮢ": "R", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Lisu, whose letters are drawn as capitals
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 # Characters that show nothing besides the format characters (Cf), as ranges.
 INVISIBLE = ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF))
@@ -56,8 +67,8 @@ SAME_LOOK_KINDS = {"<wide>", "<narrow>", "<small>", "<noBreak>", "<initial>", "<
 # Fixed values: <compat> letters whose mapping is another shape (long s, symbol variants of Greek and Hebrew letters, lone Hangul letters).
 OTHER_SHAPE = ((0x17F, 0x17F), (0x3D0, 0x3D6), (0x3F0, 0x3F2), (0x3F4, 0x3F5), (0x3F9, 0x3F9), (0x1E9A, 0x1E9A), (0x2100, 0x214F), (0x3131, 0x318E), (0x3200, 0x33FF))
 
-#: Lists that the ids of a spelling are dealt out to, at least; ids that one of them may hold on average.
-CHUNKS, CHUNK_IDS = 1024, 1 << 16
+#: Pairs of a look that one task may make.
+TASK_PAIRS = 1 << 22
 #: Code points unified at once.
 PORTION = 1 << 20
 
@@ -134,18 +145,6 @@ def tables() -> Tables:
     return Tables()
 
 
-def _code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts in one array, and the number of each text."""
-    column = column.cast(pa.large_string()) if pa.types.is_string(column.type) else column
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    if len(offsets) == 0 or column.buffers()[2] is None:
-        return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
-    raw = column.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]]
-    points = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
-    starts = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-    return points, np.diff(starts[offsets - offsets[0]])
-
-
 def _join_starters(t: Tables, cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Composes adjacent starters: Hangul letters by rule, the few others by table."""
     while len(cps) > 1:
@@ -168,7 +167,7 @@ def _join_starters(t: Tables, cps: np.ndarray, row: np.ndarray) -> tuple[np.ndar
 
 
 def unify(points: np.ndarray, lengths: np.ndarray, portion: int = PORTION) -> tuple[np.ndarray, np.ndarray]:
-    """Replaces, orders and composes; both arrays as from `_code_points`. Memory is bounded by cutting at characters that join nothing before them."""
+    """Replaces, orders and composes; both arrays as from `code_points`. Memory is bounded by cutting at characters that join nothing before them."""
     row = np.repeat(np.arange(len(lengths)), lengths)
     done, start = [], 0
     while start < len(points):
@@ -226,7 +225,7 @@ def _unify(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def unify_array(column: pa.Array) -> pa.Array:
     """The Arrow text column with each text in its consistent form."""
-    points, lengths = _code_points(column)
+    points, lengths = code_points(column)
     cps, lengths = unify(points, lengths)
     raw = cps.astype("<u4").tobytes().decode("utf-32-le", "replace").encode("utf-8")
     size = np.where(cps < 0x80, 1, np.where(cps < 0x800, 2, np.where(cps < 0x10000, 3, 4)))
@@ -245,33 +244,40 @@ def with_unified(df: DataFrame, text_col: str, name: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], unify_array(batch.column(at))], names=schema.names)
 
-    return df.select(*[f"`{f.name}`" for f in kept], *([F.col(f"`{name}`")] if text_col == name else [])).mapInArrow(run, schema)
+    chosen = df.select(*[f"`{f.name}`" for f in kept], *([F.col(f"`{name}`")] if text_col == name else []))
+    return map_arrow(chosen, run, schema)
 
 
-def same_look_pairs(rows: DataFrame, group_cols: list[str], id_col: str = "id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
+def same_look_pairs(rows: DataFrame, group_cols: list[str], id_col: str = "id", text_col: str = "text", task_pairs: int = TASK_PAIRS) -> DataFrame:
     """`group_cols`, `id_lo`, `id_hi`: pairs of rows of a group that look the same but differ in their characters.
 
     Null and empty texts, null ids and null group values pair with nothing. Rows of one spelling are
-    held as up to `chunks` lists of ids, by default so many that none gets long, so a spelling with a third of all rows spreads over
-    tasks, and spellings of a look meet once, not row by row; no step holds more rows than
-    the result plus the lists.
+    held as lists of ids, so spellings of a look meet once, not row by row. The rows of a look that
+    makes more than `task_pairs` pairs are dealt out to shards: one side of the join has each list in
+    its own shard only, the other in all of them, and there are never so many shards that the copies
+    outnumber the pairs. So no task holds more than its share of a look with a third of all rows.
     """
     kept = rows.select(*group_cols, F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__text") != "")
     for c in group_cols:
         kept = kept.where(F.col(c).isNotNull())
+    look = [*group_cols, "__look"]
     digest = lambda c: F.unhex(F.md5(c))
     looks = with_unified(kept, "__text", "__look").select(*group_cols, "__id", digest("__look").alias("__look"), digest("__text").alias("__raw"))
     looks = checkpointed(looks)  # some 50 bytes a row, used twice, so that texts are unified once
-    chunks = chunks or max(CHUNKS, looks.count() // CHUNK_IDS)
     # Spellings differ if either of two hashes does; numbers, unlike digests, are aggregated without a sort.
     hashes = [F.xxhash64(F.lit(k), "__raw") for k in range(2)]
-    several = looks.groupBy(*group_cols, "__look").agg(*[f(h).alias(f"__{n}{k}") for k, h in enumerate(hashes) for n, f in (("a", F.min), ("b", F.max))])
+    several = looks.groupBy(*look).agg(*[f(h).alias(f"__{n}{k}") for k, h in enumerate(hashes) for n, f in (("a", F.min), ("b", F.max))])
     several = several.where("__a0 < __b0 OR __a1 < __b1")
-    looks = looks.join(several.select(*group_cols, "__look"), [*group_cols, "__look"], "left_semi")
-    lists = looks.groupBy(*group_cols, "__look", "__raw", F.pmod(F.xxhash64("__id"), F.lit(chunks)).alias("__chunk")).agg(F.collect_list("__id").alias("__ids"))
-    other = lists.select(*group_cols, "__look", F.col("__raw").alias("__raw2"), F.col("__ids").alias("__ids2"))
+    looks = checkpointed(looks.join(several.select(*look), look, "left_semi"))
+    sizes = looks.groupBy(*look, "__raw").agg(F.count("*").alias("n"))
+    total = sizes.groupBy(*look).agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own"))
+    pairs = (F.col("n").cast("double") * F.col("n") - F.col("own")) / 2
+    shards = total.select(*look, F.greatest(F.lit(1), F.floor(F.least(pairs / task_pairs, pairs / F.col("n")))).cast("int").alias("__shards"))
+    dealt = looks.join(shards, look).withColumn("__shard", F.pmod(F.xxhash64("__id"), F.col("__shards")).cast("int"))
+    lists = dealt.groupBy(*look, "__shards", "__raw", "__shard").agg(F.collect_list("__id").alias("__ids"))
+    copies = lists.select(*look, F.col("__raw").alias("__raw2"), F.col("__ids").alias("__ids2"), F.explode(F.sequence(F.lit(0), F.col("__shards") - 1)).alias("__shard"))
     return (
-        lists.join(other, [*group_cols, "__look"])
+        lists.join(copies, [*look, "__shard"])
         .where("__raw < __raw2")
         .select(*group_cols, F.explode("__ids").alias("__x"), "__ids2")
         .select(*group_cols, "__x", F.explode("__ids2").alias("__y"))

@@ -1,12 +1,11 @@
 import os
-import unicodedata
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
 
-from hanweave.llm import normalize
 from hanweave.llm.queries import ORACLES, QUERIES
+from tests.llm.looks import look
 from tests.oracle import compare, connect
 
 pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
@@ -23,12 +22,11 @@ def test_runs(spark, data, name):
 
 
 def test_p1_found(spark, data):
-    cache, groups = {}, defaultdict(list)
+    groups = defaultdict(list)
     for name, table, key in (("buf", "corpus_lines", "line_id"), ("word", "vocab_entries", "entry_id")):
         for r in spark.read.parquet(f"{data}/{table}.parquet").select("corpus_id", key, name).collect():
             if r[2] and r[0] is not None:
-                look = unicodedata.normalize("NFC", "".join(chr(p) for c in r[2] for p in normalize._expand(ord(c), cache)))
-                groups[name, r[0], look].append((r[1], r[2]))
+                groups[name, r[0], look(r[2])].append((r[1], r[2]))
     want = {(n, min(i, j), max(i, j)) for (n, _, _), rows in groups.items() for i, a in rows for j, b in rows if a != b}
     assert {tuple(r) for r in QUERIES["p1_found"](spark, data).collect()} == want
 

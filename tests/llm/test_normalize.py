@@ -5,7 +5,9 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 
+from hanweave.functions.utf8 import code_points
 from hanweave.llm import normalize as nm
+from tests.llm.looks import look
 
 CACHE: dict = {}
 
@@ -17,9 +19,9 @@ def plain(text):
 
 SAME = [
     ("Ａｂ１", "Ab1"), ("é", "é"), ("a\xa0b", "a b"), ("a　b", "a b"), ("ﬁn", "fin"), ("a​b", "ab"), ("раy", "pay"), ("ΑΒΕ", "ABE"),
-    ("⼀", "一"), ("豈", "豈"), ("ｶﾞ", "ガ"), ("각", "각"), ("ё", "ë"), ("q̣̇", "q̣̇"), ("a͏̈", "ä"), ("e︀", "e"), ("so\xadft", "soft"), ("Å", "Å"), ("ǆ", "dž"),
+    ("⼀", "一"), ("豈", "豈"), ("ｶﾞ", "ガ"), ("각", "각"), ("ё", "ë"), ("q̣̇", "q̣̇"), ("a͏̈", "ä"), ("e︀", "e"), ("so\xadft", "soft"), ("ⲂⲞⲤ", "BOC"), ("ⲣⲟ", "po"), ("ꓡꓲꓢꓴ", "LISU"), ("Å", "Å"), ("ǆ", "dž"),
 ]
-APART = ["a", "A", "á", "à", "ab", "a b", "a  b", "²", "2", "①", "1", "l", "0", "O", "国", "國", "未", "末", "ſ", "s", "", "𝐚", "㎏", "kg", "…", "...", "½", "1/2"]
+APART = ["a", "A", "á", "à", "ab", "a b", "a  b", "²", "2", "①", "1", "l", "0", "O", "国", "國", "未", "末", "ſ", "s", "", "𝐚", "㎏", "kg", "ɑ", "ı", "i", "ɡ", "g", "…", "...", "½", "1/2"]
 
 
 @pytest.mark.parametrize("a,b", SAME)
@@ -39,7 +41,7 @@ def test_against_the_plain_rule():
     got = nm.unify_array(pa.array(texts)).to_pylist()
     assert got == [None if t is None else plain(t) for t in texts]
     assert nm.unify_array(pa.array(got)).to_pylist() == got
-    points, lengths = nm._code_points(pa.array(texts))
+    points, lengths = code_points(pa.array(texts))
     for portion in (1, 7, 1000):
         cps, sizes = nm.unify(points, lengths, portion)
         assert cps.astype("<u4").tobytes().decode("utf-32-le") == "".join(t or "" for t in got) and sizes.tolist() == [len(t or "") for t in got]
@@ -53,9 +55,9 @@ def test_pairs(spark):
     forms = ["pay", "раy", "ｐａｙ", "p​ay", "Pay", "é", "é", "", None, "只"]
     rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice(forms[:1] * 30 + forms), "x") for i in range(300)]
     df = spark.createDataFrame(rows, "id long, corpus_id int, text string, id_lo string")
-    got = sorted((r.corpus_id, r.id_lo, r.id_hi) for r in nm.same_look_pairs(df, ["corpus_id"], chunks=3).collect())
+    got = sorted((r.corpus_id, r.id_lo, r.id_hi) for r in nm.same_look_pairs(df, ["corpus_id"], task_pairs=50).collect())
     want = sorted(
-        (c, min(i, j), max(i, j)) for (i, c, s, _), (j, e, t, _) in combinations(rows, 2) if c == e and c is not None and s and t and s != t and plain(s) == plain(t)
+        (c, min(i, j), max(i, j)) for (i, c, s, _), (j, e, t, _) in combinations(rows, 2) if c == e and c is not None and s and t and s != t and look(s) == look(t)
     )
     assert got == want
     assert nm.same_look_pairs(df.limit(0), ["corpus_id"]).count() == 0
@@ -65,3 +67,38 @@ def test_column(spark):
     df = spark.createDataFrame([(1, "Ａ", "k"), (2, None, "k")], "id long, text string, look string")
     assert [tuple(r) for r in nm.with_unified(df, "text", "look").orderBy("id").collect()] == [(1, "Ａ", "A"), (2, None, None)]
     assert [tuple(r) for r in nm.with_unified(df, "text", "text").select("id", "text").orderBy("id").collect()] == [(1, "A"), (2, None)]
+
+
+def test_tables_against_another_rule():
+    """Every character that the rule written down in the tests knows, alone and between letters."""
+    known = [chr(c) for c in [*range(0x20, 0x370), *range(0x2000, 0x2070), *range(0x2E80, 0x3040), *range(0xF900, 0xFB07), *range(0xFE00, 0xFE10), *range(0xFF00, 0xFFA0), *range(0x2F800, 0x2FA1E)] if unicodedata.category(chr(c)) not in ("Cn", "Cc") and c != 0xFB05]  # a long s in it
+    texts = [t for c in known for t in (c, f"a{c}b")]
+    assert nm.unify_array(pa.array(texts)).to_pylist() == [look(t) for t in texts]
+
+
+BROKEN = [b"\x80", b"a\x80b", b"\xe4\xbd", b"\xf0\x9f\x98", b"\xc0\xaf", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xff", b"\xe4a", b"\xef\xbc\xa1\xef"]
+
+
+def test_broken_bytes():
+    """Each kind alone and among sound rows, which are not shifted."""
+    for rows in ([b] for b in BROKEN), [[b"\xef\xbc\xa1", *BROKEN, b"x"]]:
+        for values in rows:
+            got = nm.unify_array(pa.array(values, pa.binary()).view(pa.string())).to_pylist()
+            assert got == [look(v.decode("utf-8", "replace")) for v in values]
+
+
+def test_broken_bytes_through_spark(spark):
+    rows = [(i, 1, v.hex()) for i, v in enumerate([b"a\x80b", b"a\xffb", b"a\xff\xe2\x80\x8bb", b"Ab", "Ａb".encode()])]
+    df = spark.createDataFrame(rows, "id long, corpus_id int, h string").selectExpr("id", "corpus_id", "cast(unhex(h) AS string) AS text")
+    got = {(r.id_lo, r.id_hi) for r in nm.same_look_pairs(df, ["corpus_id"]).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2), (3, 4)}
+
+
+def test_hot_look_is_sharded(spark):
+    """One look with most rows, in two frequent spellings and a rare one."""
+    rows = [(i, 1, "ab" if i % 2 else "ａb") for i in range(600)] + [(600, 1, "a\u200bb")] + [(700 + i, 1, "cd") for i in range(400)] + [(1200, 1, "ｃd")]
+    df = spark.createDataFrame(rows, "id long, corpus_id int, text string")
+    found = nm.same_look_pairs(df, ["corpus_id"], task_pairs=1000)
+    got = found.collect()
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if (i + j) % 2} | {(i, 600) for i in range(600)} | {(700 + i, 1200) for i in range(400)}
+    assert len(got) == len(want) and {(r.id_lo, r.id_hi) for r in got} == want
