@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hanweave.llm import cooccur, heavy, termfreq
@@ -33,6 +34,23 @@ def test_pairs_of_records(spark):
         assert sorted((r.item_x, r.item_y) for r in cooccur.pair_lifts(rows_, ["k"], "l", "r").collect()) == [(-(2**31), -3), (-9, 5), (-3, 2**31 - 1)]
 
 
+def test_products_of_item_blocks():
+    """Tiles of few and of many entries, one and many item blocks, with and without sides."""
+    rng = np.random.default_rng(5)
+    for n_items, sizes in ((9, rng.integers(0, 9, 50)), (500, rng.integers(0, 40, 80)), (3, np.zeros(4, dtype=int))):
+        baskets = [rng.choice(np.arange(-5, n_items - 5), n, replace=False) for n in sizes]
+        items = np.concatenate([*baskets, np.zeros(0, dtype=int)]).astype(np.int64)
+        for side in (None, rng.integers(0, 3, len(items))):
+            want, at = Counter(), 0
+            for b in baskets:
+                s = [0] * len(b) if side is None else side[at : at + len(b)]
+                at += len(b)
+                want.update((x, y) for x, p in zip(b, s) for y, q in zip(b, s) if x <= y and (p == 0 or p != q))
+            for block in (2, 16, 1024):
+                xy, n = cooccur._block_product(items, sizes, side, block)
+                assert dict(zip(zip(*xy.tolist()), n.tolist())) == want and len(n) == len(want)
+
+
 def test_baskets_of_any_size(spark):
     rng = random.Random(2)
     rows = [(b, rng.randrange(60), "x") for b in range(30) for _ in range(rng.choice([1, 3, 80]))] + [(99, i, "x") for i in range(200)] + [(None, 1, "x"), (1, None, "x")]
