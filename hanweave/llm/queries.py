@@ -94,32 +94,24 @@ def p2_lifts(spark, d):
     return found[0].unionByName(found[1]).select("tab", "item_x", "item_y", "n", "n_x", "n_y", F.round("lift", 6).alias("lift"))
 
 
-@query(
-    """SELECT a.word AS a_word, b.word AS b_word, count(*) AS n FROM
-       (SELECT DISTINCT doc_id, term_id AS word FROM terms JOIN lexicon USING (word) WHERE part_of_speech_tag = 'NN') a JOIN
-       (SELECT DISTINCT doc_id, term_id AS word FROM terms JOIN lexicon USING (word) WHERE part_of_speech_tag = 'NN') b
-       ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL"""
-)
-def p2_baskets(spark, d):
-    """Lexicon words tagged NN that occur in the same document, a part of the words; `p2_word_baskets` has all."""
-    words = table(spark, d, "terms").where("part_of_speech_tag = 'NN'").select("doc_id", "word")
-    known = words.join(table(spark, d, "lexicon").select("word", "term_id"), "word")
-    pairs = cooccur.gram_of_baskets(known, ["doc_id"], "term_id").where("item_x < item_y")
-    return pairs.select(F.col("item_x").cast("int").alias("a_word"), F.col("item_y").cast("int").alias("b_word"), "n")
-
-
 def _word_ids(spark, d):
     """`word`, `item`: the words of all terms numbered from 1 in byte order."""
     return rank_rows(table(spark, d, "terms").where("word <> ''").select("word").distinct(), F.col("word"), name="item")
 
 
-@query("SELECT word, row_number() OVER (ORDER BY encode(word)) AS item FROM (SELECT DISTINCT word FROM terms WHERE word <> '')")
+_WORD_IDS = "SELECT word, row_number() OVER (ORDER BY encode(word)) AS item FROM (SELECT DISTINCT word FROM terms WHERE word <> '')"
+
+
+@query(_WORD_IDS)
 def p2_word_ids(spark, d):
     """The ids that words have in `p2_word_baskets`."""
     return _word_ids(spark, d)
 
 
-@query()
+@query(
+    f"""WITH i AS ({_WORD_IDS}), b AS (SELECT DISTINCT doc_id, item FROM terms JOIN i USING (word) WHERE doc_id IS NOT NULL)
+    SELECT x.item AS item_x, y.item AS item_y, count(*) AS n FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.item < y.item GROUP BY ALL"""
+)
 def p2_word_baskets(spark, d):
     """All words, by their ids of `p2_word_ids`, that occur in the same document, with the number of documents."""
     words = table(spark, d, "terms").where("word <> ''").select("doc_id", "word").distinct()
