@@ -122,12 +122,6 @@ def _unigram_rows(spark, d):
     return valid_rows(parse_counts(table(spark, d, "unigram_raw"), UNIGRAM, keep=("raw_id", "file_name")))
 
 
-def _all_frequencies(spark, d):
-    terms = termfreq.term_frequencies(table(spark, d, "terms").where("word <> ''"), "word", "doc_id")
-    lines = termfreq.term_frequencies(_unigram_rows(spark, d), "word", "file_name", "count")
-    return terms, lines
-
-
 _TERMS_SQL = "t AS (SELECT word, count(DISTINCT doc_id) AS n FROM terms WHERE word <> '' GROUP BY word), d AS (SELECT count(DISTINCT doc_id) AS d FROM terms)"
 _LINES_SQL = f"u AS (SELECT w[1] AS word, count(*) AS c, count(DISTINCT file_name) AS n, sum(w[2]::DOUBLE) AS s FROM {UNIGRAM_SQL} WHERE reason IS NULL GROUP BY w[1]), f AS (SELECT count(DISTINCT file_name) AS f FROM unigram_raw)"
 
@@ -138,9 +132,10 @@ _LINES_SQL = f"u AS (SELECT w[1] AS word, count(*) AS c, count(DISTINCT file_nam
 )
 def p3_found(spark, d):
     """Words too rare or too common."""
-    terms, lines = _all_frequencies(spark, d)
-    docs = table(spark, d, "terms").agg(F.count_distinct("doc_id")).first()[0]
-    files = table(spark, d, "unigram_raw").agg(F.count_distinct("file_name")).first()[0]
+    words = termfreq.counted_pairs(table(spark, d, "terms").withColumn("word", F.nullif("word", F.lit(""))), "word", "doc_id")
+    counts = termfreq.counted_pairs(parse_counts(table(spark, d, "unigram_raw"), UNIGRAM, keep=("raw_id", "file_name")), "word", "file_name", "count")  # a rejected line has no word
+    docs, files = (x.agg(F.count_distinct("__record")).first()[0] for x in (words, counts))
+    terms, lines = termfreq.frequencies(words, "word"), termfreq.frequencies(counts, "word")
     n, w = F.col("records"), F.col("weight")
     terms = termfreq.mark(terms, n < 3, n * 6 >= docs).withColumn("tab", F.lit("terms"))
     lines = termfreq.mark(lines, w < 3, n * 5 >= 3 * files).withColumn("tab", F.lit("unigram"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hanweave.operators.combine import combine
-from hanweave.session import checkpointed
+from hanweave.session import map_arrow, task_count, written
 
 
 def _changes(column: pa.Array, before: pa.Scalar | None) -> np.ndarray:
@@ -75,19 +75,32 @@ def _scan(term: str, weighted: bool):
     return run
 
 
-def term_frequencies(df: DataFrame, term: str, record: str, weight: str | None = None, n_tasks: int | None = None) -> DataFrame:
-    """`term`, `occurrences` (rows), `records` (distinct), `weight` (its sum, else 0.0), one row a term."""
-    pairs = combine(df.select(*dict.fromkeys([term, record, *([weight] if weight else [])])).where(F.col(term).isNotNull()), [term, record], weight)
-    n_tasks = n_tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = pairs.repartitionByRange(n_tasks, term, record).sortWithinPartitions(term, record)
+def counted_pairs(df: DataFrame, term: str, record: str, weight: str | None = None) -> DataFrame:
+    """`__term`, `__record`, `n` (rows) and, with `weight`, `w` (its sum): rows added up by the tasks that read them, and written once.
+
+    The ranges of the sort are found in what is written, and so are counts of records.
+    """
+    columns = {"__term": term, "__record": record} | ({"__weight": weight} if weight else {})
+    return written(combine(df.select(*[F.col(c).alias(a) for a, c in columns.items()]), ["__term", "__record"], "__weight" if weight else None))
+
+
+def frequencies(pairs: DataFrame, term: str, n_tasks: int | None = None) -> DataFrame:
+    """`term`, `occurrences`, `records`, `weight` of each term of `counted_pairs` that is not null."""
+    weighted = "w" in pairs.columns
+    ordered = pairs.where("__term IS NOT NULL").repartitionByRange(n_tasks or task_count(pairs), "__term", "__record").sortWithinPartitions("__term", "__record")
     schema = T.StructType(
-        [df.schema[term], T.StructField("occurrences", T.LongType()), T.StructField("records", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("edge", T.BooleanType())]
+        [T.StructField(term, pairs.schema["__term"].dataType), T.StructField("occurrences", T.LongType()), T.StructField("records", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("edge", T.BooleanType())]
     )
-    runs = checkpointed(ordered.mapInArrow(_scan(term, weight is not None), schema))
+    runs = written(map_arrow(ordered, _scan(term, weighted), schema))
     sums = [F.sum(c).alias(c) for c in ("occurrences", "records", "weight")]
     return runs.where("NOT edge").drop("edge").unionByName(runs.where("edge").groupBy(term).agg(*sums))
 
 
+def term_frequencies(df: DataFrame, term: str, record: str, weight: str | None = None, n_tasks: int | None = None) -> DataFrame:
+    """`term`, `occurrences` (rows), `records` (distinct), `weight` (its sum, else 0.0), one row a term."""
+    return frequencies(counted_pairs(df.where(F.col(term).isNotNull()), term, record, weight), term, n_tasks)
+
+
 def mark(frequencies: DataFrame, rare, common) -> DataFrame:
     """One row per term and mark (`rare`, `common`) whose condition holds; a term may have both."""
     marks = F.array_compact(F.array(F.when(rare, F.lit("rare")), F.when(common, F.lit("common"))))
