@@ -14,7 +14,8 @@ bytes start no token, so output lags by at most the longest token.
 Tokens leave the transducer packed as little-endian int32, so a document is one
 ``bytes.join`` and its ids reach Arrow without a Python integer being made.
 
-Defined results: a null and an empty text both give an empty list of ids, never null.
+Defined results: a null and an empty text both give an empty list of ids, never null. Bytes that
+are no UTF-8 are encoded as U+FFFD, one for each broken character.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hanweave.functions import utf8
+from hanweave.session import map_arrow
+
 # The split pattern published with the byte-level vocabularies.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -302,14 +306,10 @@ class Utf8Machine:
 
 
 def decode_stream(tokens: list[bytes], ids: Iterator[int], block: int = 4096) -> Iterator[str]:
-    """Text of a stream of ids, piece by piece; characters split over tokens or blocks stay whole."""
-    machine, kept = Utf8Machine(), []
-    for i in chain(ids, (None,)):
-        if i is not None:
-            kept.append(tokens[i])
-        if i is None or len(kept) == block:
-            yield machine.feed(b"".join(kept))
-            kept.clear()
+    """Text of a stream of ids, block by block; characters split over tokens or blocks stay whole."""
+    machine, ids = Utf8Machine(), iter(ids)
+    while part := list(islice(ids, block)):
+        yield machine.feed(b"".join(map(tokens.__getitem__, part)))
     yield machine.end()
 
 
@@ -336,7 +336,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, shared)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = utf8.texts(batch.column(1))
             for a, b in _sub_batches(texts):
                 packed = [encoder.encode_packed(t) if t else b"" for t in texts[a:b]]
                 offsets = np.zeros(b - a + 1, dtype=np.int32)
@@ -346,7 +346,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=[id_col, "ids"])
                 encoder.trim()
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return map_arrow(df.select(F.col(id_col), F.col(text_col)), run, schema)
 
 
 def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str | None = None, name: str = "n_tokens") -> DataFrame:
@@ -358,14 +358,14 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", vocabul
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, shared)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = utf8.texts(batch.column(batch.num_columns - 1))
             counts = []
             for t in texts:
                 counts.append(encoder.count(t) if t else 0)
                 encoder.trim()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int32())], names=[*keep, name])
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return map_arrow(df.select(*keep, F.col(text_col).alias("__text")), run, schema)
 
 
 def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -378,7 +378,7 @@ def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", v
         tokens = shared.value[0]
         for batch in batches:
             column = batch.column(1)
-            texts = ["".join(decode_stream(tokens, iter(column[k].as_py() or ()))) for k in range(len(column))]
+            texts = ["".join(decode_stream(tokens, column[k].as_py() or ())) for k in range(len(column))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, schema)
+    return map_arrow(df.select(id_col, ids_col), run, schema)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hanweave.operators.combine import combine
+from hanweave.session import map_arrow, task_count
 
 DEPTH = 4
 WIDTH = 1 << 17
@@ -35,10 +36,10 @@ def sketch_candidates(df: DataFrame, value: str, width: int = WIDTH, depth: int
 
     A task holds depth * width counters and at most a few times `candidates` values.
     """
-    n_tasks = n_tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = combine(df.select(value).where(F.col(value).isNotNull()), [value])
-    hashed = counts.repartition(n_tasks, value).select(value, "n", F.xxhash64(F.lit(1), value).alias("a"), F.xxhash64(F.lit(2), value).alias("b"))
-    schema = T.StructType([df.schema[value], T.StructField("estimate", T.LongType()), T.StructField("left_out", T.LongType())])
+    column, value = value, "__value"  # a name that clashes with none of the others here
+    values = df.select(F.col(column).alias(value)).where(F.col(value).isNotNull())
+    hashed = combine(values, [value]).repartition(n_tasks or task_count(df), value).select(value, "n", F.xxhash64(F.lit(1), value).alias("a"), F.xxhash64(F.lit(2), value).alias("b"))
+    schema = T.StructType([values.schema[value], T.StructField("estimate", T.LongType()), T.StructField("left_out", T.LongType())])
     rows = np.arange(depth, dtype=np.uint64)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +70,7 @@ def sketch_candidates(df: DataFrame, value: str, width: int = WIDTH, depth: int
         if held is not None:
             yield from held.append_column("left_out", pa.array([left_out] * len(held), pa.int64())).to_batches()
 
-    return hashed.mapInArrow(run, schema)
+    return map_arrow(hashed, run, schema).withColumnRenamed(value, column)
 
 
 def most_frequent(df: DataFrame, value: str, k: int, width: int = WIDTH, candidates: int = CANDIDATES, n_tasks: int | None = None) -> DataFrame:

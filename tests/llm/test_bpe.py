@@ -55,3 +55,12 @@ def test_corpus(spark, monkeypatch):
     back = bpe.decode_corpus(bpe.encode_corpus(df)).collect()
     assert sorted((r.doc_id, r.text) for r in back) == sorted((i % 290, t or "") for i, t in enumerate(source))
     assert bpe.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_broken_bytes(spark):
+    """Each broken character as U+FFFD, and the rows after it as they are."""
+    rows = [(i, v.hex()) for i, v in enumerate([b"a\x80b", b"\xe4\xbd", "你".encode(), b""])]
+    df = spark.createDataFrame(rows, "doc_id long, h string").selectExpr("doc_id", "cast(unhex(h) AS string) AS text")
+    back = {r.doc_id: r.text for r in bpe.decode_corpus(bpe.encode_corpus(df)).collect()}
+    assert back == {0: "a�b", 1: "�", 2: "你", 3: ""}
+    assert {r.doc_id for r in bpe.count_tokens(df, ["doc_id"]).where("n_tokens = 0").collect()} == {3}
