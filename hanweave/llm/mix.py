@@ -22,15 +22,15 @@ absent sources are reported with an actual share of 0 and the others are scaled
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hanweave.session import checkpointed
+from hanweave.session import checkpointed, ship_package
 
 #: Records of a block, and blocks that meet in one group of the next level.
 BLOCK = 4096
@@ -74,9 +74,9 @@ def wanted_copies(sizes: dict[str, dict[int, tuple[int, int]]], targets: dict[st
     return needs
 
 
-def _draws(ids: np.ndarray, seed: int) -> np.ndarray:
-    """Uniform numbers in [0, 1) from the ids alone."""
-    return np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{i}".encode(), digest_size=8).digest(), "little") / 2**64 for i in ids])
+def _draw(seed: int):
+    """A uniform number in [0, 1) from the id alone."""
+    return F.pmod(F.xxhash64(F.lit(seed), "__id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
 def round_block(sizes: np.ndarray, fractions: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -123,24 +123,23 @@ def decide_largest(sizes: np.ndarray, fraction: float, total: float, draws: np.n
     return np.array(out, dtype=float), float(q)
 
 
-def _decider(seed: int, needs: dict[str, Need]):
+def _decider(needs: dict[str, Need]):
     def decided(largest: pd.DataFrame) -> pd.DataFrame:
         largest = largest.sort_values(["__size", "__id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         need = needs[largest["source"].iloc[0]]
-        x, left = decide_largest(largest["__size"].to_numpy(), need.fraction, need.size, _draws(largest["__id"].to_numpy(), seed - 2))
+        x, left = decide_largest(largest["__size"].to_numpy(), need.fraction, need.size, largest["__draw"].to_numpy())
         return largest.assign(__fraction=x, __left=left)
 
     return decided
 
 
-def _rounder(seed: int, level: int, last: bool):
+def _rounder(last: bool):
     def rounded(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["__size", "__id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        ids = block["__id"].to_numpy()
-        x = round_block(block["__size"].to_numpy(), block["__fraction"].to_numpy(), _draws(ids, seed + level))
+        x = round_block(block["__size"].to_numpy(), block["__fraction"].to_numpy(), block["__draw"].to_numpy())
         if last:  # the one record left of the source
             over = (x > 0) & (x < 1)
-            x[over] = _draws(ids[over], seed - 1) < x[over]
+            x[over] = block["__last"].to_numpy()[over] < x[over]
         return block.assign(__fraction=x)
 
     return rounded
@@ -177,16 +176,19 @@ def mix(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_c
         F.pmod(F.xxhash64("__id"), per_source(lambda x: x.blocks)).cast("long").alias("__block"),
         (size_class >= per_source(lambda x: x.large)).alias("__large"),
     )
-    largest = rows.where("__large").drop("__large")
-    schema = largest.schema.simpleString()[len("struct<") : -1]
-    first = checkpointed(largest.groupBy("source").applyInPandas(_decider(seed, needs), f"{schema},__left:double"))
+    rows = rows.withColumn("__last", _draw(seed - 1))
+    drawn = lambda df, level: df.withColumn("__draw", _draw(seed + level))
+    largest = drawn(rows.where("__large").drop("__large"), -2)
+    ship_package(records.sparkSession)
+    first = checkpointed(largest.groupBy("source").applyInPandas(_decider(needs), T.StructType([*largest.schema.fields, T.StructField("__left", T.DoubleType())])))
     for r in first.groupBy("source").agg(F.first("__left").alias("left")).collect():  # a row a source
         needs[r["source"]] = replace(needs[r["source"]], fraction=r["left"])
-    result = first.drop("__left")
+    result = first.drop("__left", "__draw")
     rows = rows.where("NOT __large").drop("__large").withColumn("__fraction", per_source(lambda x: x.fraction).cast("double"))
     most, level = max(x.blocks for x in needs.values()), 0
     while True:
-        done = checkpointed(rows.groupBy("source", "__block").applyInPandas(_rounder(seed, level, most == 1), schema))
+        rows = drawn(rows, level)
+        done = checkpointed(rows.groupBy("source", "__block").applyInPandas(_rounder(most == 1), rows.schema)).drop("__draw")
         integral = done.where("__fraction IN (0, 1)")
         result = result.unionByName(integral)
         if most == 1:

@@ -189,6 +189,12 @@ def p8_mix(spark, d):
     return _mixed(spark, d)
 
 
+@query()
+def p8_drawn(spark, d):
+    """Only the documents that are in the mix, with their copies."""
+    return _mixed(spark, d).where("copies > 0")
+
+
 @query()
 def p8_shares(spark, d):
     """The shares reached."""

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from hanweave.llm import mix
 
@@ -62,3 +63,36 @@ def test_long_records_of_a_scarce_source_enter(spark):
     targets = spark.createDataFrame([("scarce", 0.5, 1), ("full", 0.5, 1)], "source string, target_share double, max_repeats int")
     drawn = [mix.mix(df, targets, seed=s).where("doc_id = 0").first().copies for s in range(0, 60, 10)]
     assert set(drawn) == {0, 1}
+
+
+def test_every_record_has_its_chance_over_all_steps():
+    """The steps of a source one after the other, with 600 seeds: mean copies are the wanted number, also of the largest records."""
+    rng = np.random.default_rng(9)
+    sizes = np.concatenate([[4000, 2500, 900], rng.integers(5, 400, 157)])
+    records = pd.DataFrame({"__id": np.arange(160), "source": "s", "__size": sizes, "__block": np.arange(160) % 4})
+    need = mix.Need(1, 0.37, 9, int(sizes.sum()), 4)
+    total, reached = np.zeros(160), []
+    for _ in range(600):
+        draws = rng.random((4, 160))
+        of = lambda df, level: df.assign(__draw=draws[level][df["__id"]], __last=draws[3][df["__id"]])  # noqa: B023, E731
+        large = records["__size"] >= 512
+        first = mix._decider({"s": need})(of(records[large], 0))
+        rest = of(records[~large].assign(__fraction=first["__left"].iloc[0]), 1)
+        done = pd.concat([mix._rounder(False)(b) for _, b in rest.groupby("__block")])
+        over = ~done["__fraction"].isin([0, 1])
+        assert over.sum() <= 4
+        last = mix._rounder(True)(of(done[over], 2)) if over.any() else done[over]
+        out = pd.concat([first, done[~over], last])
+        assert out["__fraction"].isin([0, 1]).all() and len(out) == 160
+        copies = 1 + out.set_index("__id")["__fraction"].sort_index().to_numpy()
+        total += copies
+        reached.append((copies * sizes).sum() / (1.37 * sizes.sum()))
+    assert np.abs(total / 600 - 1.37).max() < 0.09  # 4.5 times the standard error
+    assert abs(np.mean(reached) - 1) < 0.003
+
+
+def test_drawn(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(40)], "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.75, 1), ("b", 0.25, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: r.actual_share for r in mix.shares(mix.mix(df, targets), targets).collect()}
+    assert abs(got["a"] - 0.75) < 0.02
