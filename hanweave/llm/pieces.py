@@ -4,44 +4,56 @@ A piece is a run of consecutive tokens of its text's encoding that begins and en
 characters. As neighbouring tokens of an encoding are also the encoding of what they spell,
 such a piece has just that many tokens by itself, so cutting needs one encoding pass for any
 number of limits. Only a run of blanks at a piece's end may have fewer, which is noted at
-the places after such runs.
-
-A text is cut into ranges. A worker sees its range with a halo on both sides, finds the
-places where words certainly begin next to the edges, encodes what lies between, and notes
-every possible cut with its tokens and strength. Tables of the ranges of a text are stitched
-in order, lengths and tokens summed up, and pieces chosen in one pass that holds no more than
-a piece; they are then emitted by offset from the ranges they touch. Texts of one range, which
-is most, go through the same steps inside one task without a shuffle.
+the places after such runs; an apostrophe that would begin a piece as a contraction, but is
+none in the text, is no place to cut.
+
+A giant text is processed by ranges. A worker sees its range with a halo on both sides and
+detects boundaries in it: at every `section_chars` characters an anchor, the strongest natural
+boundary of the next `ANCHOR_CHARS` characters at which a word certainly ends, whatever comes
+before. What is known of an anchor is in the characters around it alone, so workers of any
+ranges find the same ones. The tables of boundaries are stitched: where no anchor was found the
+sections on both sides are one. A section is encoded by itself, as no token crosses an anchor;
+of the section before it needs only the last tokens, for the overlap. Lengths and numbers of
+pieces are summed up over sections, and pieces are emitted by offset. So results do not depend
+on the ranges, and a task never holds more than a section of a text, of which there are longer
+ones only where a text has no boundary at all for as long. Texts of one range, which is most,
+go through the same steps inside one task without a shuffle.
 
 Null, empty and small texts give no pieces. Pieces cover the text without gaps; consecutive
 ones share at least the wanted tokens, and no more than a character beyond. A cut falls on the
 strongest boundary of the second half of what the limit allows (blank line, line, sentence,
 clause, blank), the last of equals; where there is none, on the last boundary before it after
 which the next piece still starts later; where there is none either, before the last character
-that fits.
+that fits. Anchors are cuts too. Broken encodings count as U+FFFD.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hanweave.functions import utf8
 from hanweave.llm import bpe
-from hanweave.session import checkpointed
+from hanweave.session import checkpointed, map_arrow, task_count, written
 
-#: Characters of a range and of a halo.
+#: Characters of a range, of a halo, of the window in which an anchor is looked for, and of the context that tells its strength.
 RANGE_CHARS = 1 << 15
 HALO_CHARS = 1 << 10
-#: Tokens that a place counts extra where a word longer than a halo had to be cut between ranges.
-FORCED_TOKENS = 8
+ANCHOR_CHARS = 1 << 9
+_CONTEXT = 8
+#: Characters of a section at least; sections have more tokens than any limit, whatever the text.
+SECTION_CHARS = 1 << 16
+#: Rows of missing anchors that are sent to all workers.
+BROADCAST_ROWS = 1 << 20
 _BATCH_CHARS = 1 << 20
 
 BLANK_LINE, LINE, SENTENCE, CLAUSE, BLANK, NONE = 5, 4, 3, 2, 1, 0
@@ -54,9 +66,28 @@ _FINAL_ASCII = [ord(c) for c in ".!?"]
 _CLAUSE_WIDE = [ord(c) for c in "，、；："]
 _CLAUSE_ASCII = [ord(c) for c in ",;:"]
 _CLOSERS = [ord(c) for c in "”’」』）》】\"')]"]
+_OPENERS = frozenset(_BREAKS + _CLOSERS)
 
 # A word certainly ends between these, whatever comes before: the split pattern never joins them.
-_CERTAIN = regex.compile(r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])")
+_CERTAIN = regex.compile(
+    r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=\p{L})|(?<=[^\S ])(?=\S)"
+)
+# What an apostrophe after it is no part of, and the letters with which one begins a contraction.
+_ENDS_WORD = regex.compile(r"[\p{L}\p{N}]|[^\S ]")
+_APOSTROPHE, _CONTRACTED = 0x27, [ord(c) for c in "stmdrvl"]
+
+
+@dataclass(frozen=True)
+class Limit:
+    """A row of the table of limits."""
+
+    limit_id: int
+    most: int
+    overlap: int
+
+    def __post_init__(self):
+        if not 0 <= self.overlap * 2 < self.most:
+            raise ValueError(f"the overlap of {self.overlap} tokens must be under half of {self.most}")
 
 
 def _member(points: np.ndarray, of: list[int]) -> np.ndarray:
@@ -98,52 +129,60 @@ def strengths(points: np.ndarray) -> np.ndarray:
     return out
 
 
-class Cutter:
-    """Chooses the pieces of one text for one limit; possible cuts are fed in order, in any portions."""
-
-    def __init__(self, max_tokens: int, overlap: int):
-        if not 0 <= overlap * 2 < max_tokens:
-            raise ValueError(f"the overlap of {overlap} tokens must be under half of {max_tokens}")
-        self.max, self.overlap = max_tokens, overlap
-        self.pos, self.tok, self.lev, self.off = (np.zeros(1, dtype=np.int64) for _ in range(4))
-        self.end, self.pieces = 0, 0  # index of the last piece's end, pieces so far
-
-    def feed(self, pos: np.ndarray, tok: np.ndarray, lev: np.ndarray, off: np.ndarray, last: bool) -> list[tuple[int, int, int, int]]:
-        """(start, end, tokens, tokens shared with the piece before) of each piece that is now certain."""
-        pos, tok, lev, off = (np.concatenate(x) for x in ((self.pos, pos), (self.tok, tok), (self.lev, lev), (self.off, off)))
-        out, a = [], 0
-        if last or tok[-1] - tok[0] > self.max:
-            out, a = self.choose(tok.tolist(), marks_of(lev), off.tolist(), last)
-        self.pos, self.tok, self.lev, self.off = pos[a:], tok[a:], lev[a:], off[a:]
-        return [(int(pos[x]), int(pos[y]), n, s) for x, y, n, s in out]
-
-    def choose(self, tok: list[int], marks: list[list[int]], off: list[int], last: bool) -> tuple[list[tuple[int, int, int, int]], int]:
-        """Pieces by index into `tok`, and the index where the next one starts."""
-        out, a, end, top = [], 0, self.end, len(tok) - 1
-        if last and not self.pieces and tok[top] - tok[0] <= self.max:
-            return out, a
-        while tok[top] - tok[a] > self.max:
-            hi = bisect_right(tok, tok[a] + self.max) - 1
-            lo = max(end + 1, bisect_left(tok, tok[a] + self.max // 2))
-            hi = max(hi, end + 1)  # only if one character has more tokens than the limit leaves
-            b = hi
-            for mark in marks:
-                k = bisect_right(mark, hi) - 1
-                if k >= 0 and mark[k] >= lo:
-                    b = mark[k]
-                    break
-            else:  # no boundary in the second half: the last one before it from which the next piece starts later
-                k = bisect_right(marks[-1], hi) - 1
-                if k >= 0 and marks[-1][k] > end and tok[marks[-1][k]] - self.overlap >= tok[a + 1]:
-                    b = marks[-1][k]
-            out.append((a, b, tok[b] + off[b] - tok[a], max(0, tok[end] - tok[a]) if self.pieces + len(out) else 0))
-            end = b
-            a = max(a + 1, bisect_right(tok, tok[b] - self.overlap) - 1)
-        if last and top > end:
-            out.append((a, top, tok[top] - tok[a], max(0, tok[end] - tok[a]) if self.pieces + len(out) else 0))
-        self.end = end - a
-        self.pieces += len(out)
-        return out, a
+
+def section_size(limits: list[Limit], longest: int, least: int = SECTION_CHARS) -> int:
+    """Characters between anchors: so many that each section has more tokens than any limit, when a token has up to `longest` characters."""
+    return max(least, ANCHOR_CHARS + longest * max(x.most for x in limits))
+
+
+def anchors(text: str, start: int, lo: int, hi: int, section: int) -> list[int]:
+    """Anchors in [lo, hi) of a whole text of which `text` is what begins at `start`, with a halo around [lo, hi)."""
+    found = []
+    for grid in range(max(1, (lo - ANCHOR_CHARS) // section) * section, hi, section):
+        a = grid - start
+        if a < 0 or grid + ANCHOR_CHARS <= lo:
+            continue
+        if a + ANCHOR_CHARS > len(text):  # only at the text's end
+            break
+        before = min(a, _CONTEXT)
+        part = text[a - before : a + ANCHOR_CHARS + _CONTEXT]
+        level = strengths(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4"))
+        best, at = NONE, -1
+        for m in _CERTAIN.finditer(part):
+            k = m.start()
+            if before <= k < before + ANCHOR_CHARS and level[k] > best:
+                best, at = level[k], k
+        if at >= 0 and lo <= grid + at - before < hi:
+            found.append(grid + at - before)
+    return found
+
+
+def choose(tok: list[int], marks: list[list[int]], off: list[int], limit: Limit, start: int = 0, end: int = 0) -> list[tuple[int, int, int, int]]:
+    """(start, end, tokens, tokens shared with the piece before) of the pieces up to the last place, by index into `tok`.
+
+    `tok`: tokens before each place; `start`: where the first piece begins, `end`: where the piece before it ended.
+    """
+    out, a, top, most, overlap = [], start, len(tok) - 1, limit.most, limit.overlap
+    while tok[top] - tok[a] > most:
+        first = tok[a]
+        hi = max(bisect_right(tok, first + most) - 1, end + 1)  # the latter only if one character has more tokens than the limit leaves
+        lo = max(end + 1, bisect_left(tok, first + most // 2))
+        b = hi
+        for mark in marks:
+            k = bisect_right(mark, hi) - 1
+            if k >= 0 and mark[k] >= lo:
+                b = mark[k]
+                break
+        else:  # no boundary in the second half: the last one before it from which the next piece starts later
+            k = bisect_right(marks[-1], hi) - 1
+            if k >= 0 and marks[-1][k] > end and tok[marks[-1][k]] - overlap >= tok[a + 1]:
+                b = marks[-1][k]
+        out.append((a, b, tok[b] + off[b] - first, tok[end] - first))
+        end = b
+        a = max(a + 1, bisect_right(tok, tok[b] - overlap) - 1)
+    if top > end:
+        out.append((a, top, tok[top] + off[top] - tok[a], tok[end] - tok[a]))
+    return out
 
 
 def marks_of(lev: np.ndarray) -> list[list[int]]:
@@ -152,253 +191,413 @@ def marks_of(lev: np.ndarray) -> list[list[int]]:
     return [some[lev[some] >= k].tolist() for k in range(BLANK_LINE, NONE, -1)]
 
 
-def _token_lengths(tokens: list[bytes]) -> np.ndarray:
-    return np.array([len(t) for t in tokens], dtype=np.int64)
+@dataclass
+class Section:
+    """A section's characters, the character after it, and where in its text it begins."""
+
+    text: str
+    after: str
+    start: int
+
+
+@dataclass
+class Places:
+    """Where a section may be cut: characters and tokens since its start, strengths, and tokens that a piece ending there has more by itself (0 or less). The first place is its start."""
+
+    pos: np.ndarray
+    tok: np.ndarray
+    lev: np.ndarray
+    off: np.ndarray
+
+
+@dataclass
+class Tail:
+    """The end of a section as the next one needs it: its last characters, and the places in them, counted from the tail's start."""
 
+    text: str
+    pos: np.ndarray
+    tok: np.ndarray
 
-def _cuts(encoder: bpe.Transducer, lengths: np.ndarray, texts: list[str]):
-    """Of each text its possible cuts: places (characters), tokens so far, strengths, and tokens that a piece ending there has more by itself (0 or less)."""
+
+def places_of(encoder: bpe.Transducer, lengths: np.ndarray, sections: list[Section]) -> Iterator[Places]:
+    """The places of each section; `lengths`: bytes of each token."""
+    texts = [s.text + s.after for s in sections]
     packed = [encoder.encode_packed(t) for t in texts]
     whole = "".join(texts)
     raw = np.frombuffer(whole.encode("utf-8"), np.uint8)
     points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
-    level = np.append(strengths(points), 0)
+    level = np.append(strengths(points), np.int8(0))
+    at = np.cumsum([0] + [len(t) for t in texts])
+    for a, b in zip(at.tolist(), at[1:].tolist()):  # a text that begins so that what stands before it would count
+        if 0 < a < b and points[a] in _OPENERS:
+            level[a:b] = strengths(points[a:b])
     begins = np.append((raw & 0xC0) != 0x80, True)
     ends = np.cumsum(lengths[np.frombuffer(b"".join(packed), "<i4")])
     (kept,) = np.nonzero(begins[ends])  # tokens after which a character begins
-    chars = (np.cumsum(begins) - 1)[ends[kept]]
-    tokens, at = np.cumsum([0] + [len(p) // 4 for p in packed]), np.cumsum([0] + [len(t) for t in texts])
+    chars = ends[kept] if len(points) == len(raw) else (np.cumsum(begins, dtype=np.int32) - 1)[ends[kept]]
+    quotes = np.setdiff1d(_contractions(whole, points), at)
+    if len(quotes):
+        kept, chars = (x[~np.isin(chars, quotes)] for x in (kept, chars))
+    tokens = np.cumsum([0] + [len(p) // 4 for p in packed])
     off = np.zeros(len(kept), dtype=np.int64)
     # Of a run of blanks before a word, the last is split off in the text but not where a piece ends after the run.
     space = _member(points, _SPACES)
-    if len(points) > 2:
-        stops = np.nonzero(space[:-2] & space[1:-1] & ~space[2:])[0] + 2
+    (stops,) = np.nonzero(space[:-2] & space[1:-1] & ~space[2:]) if len(points) > 2 else (np.zeros(0, np.int64),)
+    if len(stops):
+        stops = stops + 2
         (solid,) = np.nonzero(~space)
         before = np.searchsorted(solid, stops) - 1
-        starts = np.maximum(np.where(before >= 0, solid[np.maximum(before, 0)] + 1, 0), at[np.searchsorted(at, stops, side="right") - 1])
+        first_of = at[np.searchsorted(at, stops, side="right") - 1]
+        starts = np.maximum(np.where(before >= 0, solid[np.maximum(before, 0)] + 1, 0), first_of)
         to, since = np.searchsorted(chars, stops), np.searchsorted(chars, starts)
-        for stop, start, j, k in zip(stops.tolist(), starts.tolist(), to.tolist(), since.tolist()):
+        for stop, start, text_start, j, k in zip(stops.tolist(), starts.tolist(), first_of.tolist(), to.tolist(), since.tolist()):
             if start < stop and j < len(kept) and chars[j] == stop:
                 # A run that opens a text begins with the text's first token.
-                first = kept[k] + 1 if k < len(kept) and chars[k] == start and start not in at else tokens[np.searchsorted(at, start)]
+                first = kept[k] + 1 if start > text_start and k < len(kept) and chars[k] == start else tokens[np.searchsorted(at, start)]
                 off[j] = min(0, encoder.count(whole[start:stop]) - int(kept[j] + 1 - first))
     where = np.searchsorted(kept, tokens)
-    for k in range(len(texts)):
+    zero = np.zeros(1, dtype=np.int64)
+    for k, s in enumerate(sections):
         a, b = where[k], where[k + 1]
-        yield chars[a:b] - at[k], kept[a:b] + 1 - tokens[k], level[chars[a:b]], off[a:b]
-
-
-def _limits(limits: DataFrame) -> list[tuple[int, int, int]]:
-    """The rows of a table of limits, which is a setting of some rows."""
-    return [(r["limit_id"], r["max_tokens"], r["overlap_tokens"]) for r in limits.collect()]
+        pos = chars[a:b] - at[k]
+        if s.after:
+            b = a + np.searchsorted(pos, len(s.text), side="right")
+            pos = pos[: b - a]
+        yield Places(*(np.concatenate([zero, x]) for x in (pos, kept[a:b] + 1 - tokens[k], level[chars[a:b]], off[a:b])))
+
+
+def _contractions(whole: str, points: np.ndarray) -> np.ndarray:
+    """Apostrophes inside a word that a piece beginning there would take for a contraction."""
+    (at,) = np.nonzero((points[1:-1] == _APOSTROPHE) & np.isin(points[2:], _CONTRACTED)) if len(points) > 2 else (np.zeros(0, np.int64),)
+    return np.array([k + 1 for k in at.tolist() if not _ENDS_WORD.match(whole, k)], dtype=np.int64)
+
+
+def tail_of(section: Section, places: Places, overlap: int) -> Tail:
+    """The places of the last `overlap` tokens, and the one before."""
+    k = int(np.searchsorted(places.tok, places.tok[-1] - overlap, side="right")) - 1
+    k = max(k, 0)
+    return Tail(section.text[int(places.pos[k]) :], places.pos[k:] - places.pos[k], places.tok[k:] - places.tok[k])
+
+
+class Pieces:
+    """Columns of pieces: which text, limit, number, first and last character, tokens, shared tokens, text."""
+
+    KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+
+    def __init__(self):
+        self.columns: list[list] = [[] for _ in self.KINDS]
+
+    def add(self, row: int, section: Section, places: Places, tail: Tail | None, alone: bool, limits: list[Limit], numbers: dict[Limit, int]) -> None:
+        """The pieces of a section for each limit. `alone`: it is the whole text; `numbers`: pieces so far of each limit, which are raised."""
+        total = int(places.tok[-1])
+        limits = [x for x in limits if total > x.most or not alone]
+        if not limits:
+            return
+        text, pos, tok, lev, off, end, begin = section.text, places.pos, places.tok, places.lev, places.off, 0, section.start
+        if tail is not None:
+            end, begin = len(tail.pos) - 1, section.start - len(tail.text)
+            text = tail.text + text
+            none = np.zeros(end, dtype=np.int64)
+            pos, tok = (np.concatenate([x[:-1], y + x[-1]]) for x, y in ((tail.pos, pos), (tail.tok, tok)))
+            lev, off = np.concatenate([none, lev]), np.concatenate([none, off])
+        at, sums, offs, marks = pos.tolist(), tok.tolist(), off.tolist(), marks_of(lev)
+        for x in limits:
+            start = max(0, bisect_right(sums, sums[end] - x.overlap) - 1) if tail is not None else 0
+            found = choose(sums, marks, offs, x, start, end)
+            if not found:
+                continue
+            number = numbers.get(x, 0)
+            first, last, n, shared = zip(*found)
+            starts, stops = [at[k] for k in first], [at[k] for k in last]
+            numbers[x] = number + len(found)
+            new = (
+                [row] * len(found), [x.limit_id] * len(found), range(number, number + len(found)), [k + begin for k in starts] if begin else starts,
+                [k + begin for k in stops] if begin else stops, n, shared, [text[a:b] for a, b in zip(starts, stops)],
+            )
+            for column, values in zip(self.columns, new):
+                column += values
+
+    def arrays(self) -> list[pa.Array]:
+        return [pa.array(c, kind) for c, kind in zip(self.columns, self.KINDS)]
+
+
+def _piece_fields() -> list[T.StructField]:
+    numbers = [("limit_id", T.IntegerType()), ("piece_no", T.IntegerType()), ("char_start", T.LongType()), ("char_end", T.LongType()), ("n_tokens", T.IntegerType()), ("n_shared", T.IntegerType()), ("piece", T.StringType())]
+    return [T.StructField(n, t) for n, t in numbers]
 
 
-def _piece_fields(id_field: T.StructField) -> list[T.StructField]:
-    numbers = [("limit_id", T.IntegerType()), ("piece_no", T.IntegerType()), ("char_start", T.LongType()), ("char_end", T.LongType()), ("n_tokens", T.IntegerType()), ("n_shared", T.IntegerType())]
-    return [id_field, *(T.StructField(n, t) for n, t in numbers)]
+def _token_lengths(tokens: list[bytes]) -> np.ndarray:
+    return np.array([len(t) for t in tokens], dtype=np.int64)
 
 
-def _short_pieces(df: DataFrame, limits: list, vocabulary: str | None) -> DataFrame:
-    """Pieces of texts of one range: no shuffle."""
+def _short_pieces(df: DataFrame, limits: list[Limit], section: int, vocabulary: str | None) -> DataFrame:
+    """Pieces of (id, text) by the tasks that read them: no shuffle."""
     path = bpe.vocabulary_path(vocabulary)
     shared = bpe.share_vocabulary(df.sparkSession, path)
-    schema = T.StructType([*_piece_fields(df.schema[0]), T.StructField("piece", T.StringType())])
-    least = min(m for _, m, _ in limits)
+    schema = T.StructType([df.schema[0], *_piece_fields()])
+    overlap = max(x.overlap for x in limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.worker_encoder(path, shared)
         lengths = _token_lengths(encoder.tokens)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = utf8.texts(batch.column(1))
             for a, b in bpe._sub_batches(texts, 4096, _BATCH_CHARS):
-                rows, ids = [[] for _ in range(7)], []
-                for k, (pos, tok, lev, off) in enumerate(_cuts(encoder, lengths, texts[a:b])):
-                    if not len(tok) or tok[-1] <= least:
-                        continue
-                    text, at, sums = texts[a + k], [0, *pos.tolist()], [0, *tok.tolist()]
-                    marks, offs = marks_of(np.concatenate([[0], lev])), [0, *off.tolist()]
-                    for limit, most, overlap in limits:
-                        if sums[-1] <= most:
-                            continue
-                        found, _ = Cutter(most, overlap).choose(sums, marks, offs, True)
-                        first, last, n, shared_n = zip(*found)
-                        starts, stops = [at[x] for x in first], [at[y] for y in last]
-                        ids += [a + k] * len(found)
-                        for column, values in zip(rows, ([limit] * len(found), range(len(found)), starts, stops, n, shared_n, [text[x:y] for x, y in zip(starts, stops)])):
-                            column += values
+                sections, rows = [], []
+                for k in range(a, b):
+                    text = texts[k]
+                    cuts = [0, *(anchors(text, 0, 0, len(text), section) if len(text) > section else ()), len(text)]
+                    rows += [k] * (len(cuts) - 1)
+                    sections += [Section(text[x:y], text[y : y + 1], x) for x, y in zip(cuts, cuts[1:])]
+                out, tail, numbers = Pieces(), None, {}
+                for k, s, places in zip(rows, sections, places_of(encoder, lengths, sections)):
+                    if not s.start:
+                        tail, numbers = None, {}
+                    out.add(k, s, places, tail, not s.start and not s.after, limits, numbers)
+                    if s.after:
+                        tail = tail_of(s, places, overlap)
                 encoder.trim()
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(rows, kinds))], names=schema.names)
+                index, *columns = out.arrays()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), *columns], names=schema.names)
+
+    return map_arrow(df, run, schema)
 
-    return df.mapInArrow(run, schema)
+
+_RANGE = ("row", "range_no", "char_start", "before", "body", "after")
 
 
 def ranges_of(df: DataFrame, range_chars: int = RANGE_CHARS, halo: int = HALO_CHARS) -> DataFrame:
-    """`row`, `range_no`, `is_last`, `before`, `body`, `after` of each text of (id, text), in ranges of `range_chars` characters, and the id.
+    """`row`, `range_no`, `char_start`, `before`, `body`, `after` of each text of (id, text), in ranges of `range_chars` characters, and the id.
 
     `row` tells rows apart, so ids may be null or repeat. The ranges are written once, so that
-    `row` stays what it is, and dealt out to tasks.
+    `row` stays what it is.
     """
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), *df.columns)
-    texts = [T.StructField(n, T.StringType()) for n in ("before", "body", "after")]
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("range_no", T.LongType()), T.StructField("is_last", T.BooleanType()), *texts, T.StructField("__id", df.schema[0].dataType)])
+    if halo < ANCHOR_CHARS + _CONTEXT:
+        raise ValueError(f"a halo of {halo} characters does not hold the window of an anchor")
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(df.columns[0]).alias("__id"), F.col(df.columns[1]).alias("__text"))
+    texts = [T.StructField(n, T.StringType()) for n in _RANGE[3:]]
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in _RANGE[:3]), *texts, numbered.schema["__id"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, text in enumerate(batch.column(2).to_pylist()):
+            for k, text in enumerate(utf8.texts(batch.column(2))):
                 at = range(0, len(text), range_chars)
                 for lo in range(0, len(at), 64):  # some ranges a batch
                     part, same = at[lo : lo + 64], pa.array([k] * len(at[lo : lo + 64]))
                     columns = [
-                        batch.column(0).take(same), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array([s + range_chars >= len(text) for s in part]),
+                        batch.column(0).take(same), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array(part, pa.int64()),
                         pa.array([text[max(0, s - halo) : s] for s in part], pa.string()), pa.array([text[s : s + range_chars] for s in part], pa.string()),
                         pa.array([text[s + range_chars : s + range_chars + halo] for s in part], pa.string()), batch.column(1).take(same),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return checkpointed(numbered.mapInArrow(run, schema)).withColumnRenamed("__id", df.columns[0]).repartition("row", "range_no")
+    return written(map_arrow(numbered, run, schema))
 
 
 def file_ranges(spark: SparkSession, path: str, range_bytes: int = 1 << 20, halo: int = HALO_CHARS) -> DataFrame:
-    """The ranges of UTF-8 text files, of which no worker reads more than its range and halos.
+    """The ranges of UTF-8 text files, as of `ranges_of`, of which no worker reads more than its range and halos.
 
-    `path` may hold a pattern; the id is the file's path. A range begins with the first character
-    that starts in it. Files are listed by name and length only.
+    `path` may hold a pattern; row and id are the file's path. A range begins with the first
+    character that starts in it; empty ranges are left out. Files are listed by name and length,
+    their ranges' characters are counted by one pass and summed up, and read by another.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.expr(f"(length - 1) DIV {range_bytes}"))).alias("range_no"))
+    ranges = ranges.repartition("path", "range_no")
     margin = 4 * halo + 4
 
+    def parts(name: str, length: int, no: int, around: int) -> tuple[str, str, str]:
+        fs, inner = pafs.FileSystem.from_uri(name)
+        start, end = no * range_bytes, min(length, (no + 1) * range_bytes)
+        low = max(0, start - around)
+        with fs.open_input_file(inner) as f:
+            f.seek(low)
+            raw = f.read(min(length, end + around) - low)
+        edges = []
+        for edge in (start - low, end - low):
+            while 0 < edge < len(raw) and raw[edge] & 0xC0 == 0x80:
+                edge += 1
+            edges.append(edge)
+        head = 0
+        while head < edges[0] and raw[head] & 0xC0 == 0x80:
+            head += 1
+        before = raw[head : edges[0]].decode("utf-8", "replace")[-halo:]
+        after = raw[edges[1] :].decode("utf-8", "ignore" if end + around < length else "replace")[:halo]
+        return before, raw[edges[0] : edges[1]].decode("utf-8", "replace"), after
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [len(parts(*r, 4)[1]) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=["path", "length", "range_no", "n_chars"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length, no, char_start in zip(*(c.to_pylist() for c in batch.columns)):
+                before, body, after = parts(name, length, no, margin)
+                if body:
+                    yield pa.RecordBatch.from_pydict({"row": [name], "range_no": pa.array([no], pa.int64()), "char_start": pa.array([char_start], pa.int64()), "before": [before], "body": [body], "after": [after], "id": [name]})
+
+    counted = checkpointed(map_arrow(ranges.select("path", "length", F.col("range_no").cast("long").alias("range_no")), count, "path string, length long, range_no long, n_chars long"))
+    earlier = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    placed = counted.select("path", "length", "range_no", F.coalesce(F.sum("n_chars").over(earlier), F.lit(0)).alias("char_start"))
+    schema = "row string, range_no long, char_start long, before string, body string, after string, id string"
+    return map_arrow(placed, read, schema)
+
+
+def _portions(ranges: DataFrame, section: int) -> DataFrame:
+    """The ranges cut at the anchors in them: `grid` is the number of the anchor that a portion begins with or, if it begins with none, of the last anchor before it, should that exist."""
+    row, id_ = ranges.schema[0], ranges.schema[-1]
+    fields = [T.StructField("row", row.dataType), *(T.StructField(n, T.LongType()) for n in ("grid", "char_start")), T.StructField("anchored", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("next", T.StringType()), T.StructField("__id", id_.dataType)]
+    schema = T.StructType(fields)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for name, length, no in zip(*(c.to_pylist() for c in batch.columns)):
-                fs, inner = pafs.FileSystem.from_uri(name)
-                start, end = no * range_bytes, min(length, (no + 1) * range_bytes)
-                low = max(0, start - margin)
-                with fs.open_input_file(inner) as f:
-                    f.seek(low)
-                    raw = f.read(min(length, end + margin) - low)
-                edges = []
-                for edge in (start - low, end - low):
-                    while 0 < edge < len(raw) and raw[edge] & 0xC0 == 0x80:
-                        edge += 1
-                    edges.append(edge)
-                head = 0
-                while head < edges[0] and raw[head] & 0xC0 == 0x80:
-                    head += 1
-                before = raw[head : edges[0]].decode("utf-8", "replace")[-halo:]
-                after = raw[edges[1] :].decode("utf-8", "ignore")[:halo]
-                rows.append((name, no, end == length, before, raw[edges[0] : edges[1]].decode("utf-8", "replace"), after))
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["id", "range_no", "is_last", "before", "body", "after"])
-
-    schema = "id string, range_no long, is_last boolean, before string, body string, after string"
-    return ranges.repartition("path", "range_no").select("path", "length", "range_no").mapInArrow(run, schema)
-
-
-def _boundaries(ranges: DataFrame, halo: int, vocabulary: str | None) -> DataFrame:
-    """Of each range its length and its possible cuts, as arrays; cuts count from the range's first character."""
+            columns: list[list] = [[] for _ in range(6)]
+            starts, befores, bodies, afters = (utf8.texts(batch.column(k)) for k in (2, 3, 4, 5))
+            for k, (start, before, body, after) in enumerate(zip(starts, befores, bodies, afters)):
+                text, end = before + body + after, start + len(body)
+                cuts = anchors(text, start - len(before), start, end, section)
+                begin = [start, *(c for c in cuts if c > start)]
+                for x, y in zip(begin, [*begin[1:], end]):
+                    # The anchor of a grid point lies less than a window behind it, so it tells its grid point.
+                    anchored = x == 0 or x in cuts
+                    grid = x // section if anchored else _last_grid(x, section, text, start - len(before))
+                    new = (k, grid, x, anchored, text[x - start + len(before) : y - start + len(before)], text[y - start + len(before) : y - start + len(before) + 1])
+                    for column, value in zip(columns, new):
+                        column.append(value)
+            rows, *rest = columns
+            index = pa.array(rows, pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), *(pa.array(c, t) for c, t in zip(rest, kinds)), batch.column(batch.num_columns - 1).take(index)], names=schema.names)
+
+    return map_arrow(ranges, run, schema)
+
+
+def _last_grid(x: int, section: int, text: str, start: int) -> int:
+    """The last grid point whose anchor, if there is one, is not behind `x`."""
+    grid = x // section
+    if grid and x - grid * section < ANCHOR_CHARS:  # its anchor may lie ahead
+        return grid if anchors(text, start, grid * section, x + 1, section) else grid - 1
+    return grid
+
+
+def _stitched(portions: DataFrame) -> DataFrame:
+    """`portions` with `section`, the last grid point that has an anchor: where one is missing, the section before goes on.
+
+    One row a grid point is looked at in order; only missing anchors make a difference, and these are sent to all workers if they are few.
+    """
+    grid = portions.groupBy("row", "grid").agg(F.max("anchored").alias("anchored"))
+    before = Window.partitionBy("row").orderBy("grid")
+    grid = grid.withColumn("section", F.max(F.when(F.col("anchored"), F.col("grid"))).over(before))
+    missing = checkpointed(grid.where("NOT anchored").select("row", "grid", "section"))
+    missing = F.broadcast(missing) if missing.count() <= BROADCAST_ROWS else missing
+    return portions.join(missing, ["row", "grid"], "left").withColumn("section", F.coalesce("section", "grid")).drop("grid", "anchored")
+
+
+def _encoded(portions: DataFrame, limits: list[Limit], vocabulary: str | None) -> DataFrame:
+    """Each section with its places, and the tail that the next one needs."""
     path = bpe.vocabulary_path(vocabulary)
-    shared = bpe.share_vocabulary(ranges.sparkSession, path)
-    fields = [ranges.schema[0], ranges.schema["range_no"], ranges.schema["is_last"], T.StructField("n_chars", T.LongType())]
-    schema = T.StructType([*fields, T.StructField("cuts", T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("t", T.IntegerType()), T.StructField("l", T.IntegerType()), T.StructField("o", T.IntegerType())])))])
+    shared = bpe.share_vocabulary(portions.sparkSession, path)
+    overlap = max(x.overlap for x in limits)
+    numbers = T.ArrayType(T.IntegerType())
+    columns = [("text", T.StringType()), ("after", T.StringType()), ("pos", numbers), ("tok", numbers), ("lev", numbers), ("off", numbers), ("tail_text", T.StringType()), ("tail_pos", numbers), ("tail_tok", numbers)]
+    row, id_ = portions.schema["row"], portions.schema["__id"]
+    schema = T.StructType([row, id_, T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), *(T.StructField(n, t) for n, t in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.worker_encoder(path, shared)
         lengths = _token_lengths(encoder.tokens)
+        ints = pa.list_(pa.int32())
+
+        def done(key, id_value, start, texts, after):
+            s = Section("".join(texts), after, start)
+            (p,) = places_of(encoder, lengths, [s])
+            encoder.trim()
+            t = tail_of(s, p, overlap)
+            values = [start, start + len(s.text), s.text, after, *(pa.scalar(x.astype(np.int32).tolist(), ints) for x in (p.pos, p.tok, p.lev, p.off)), t.text, *(pa.scalar(x.astype(np.int32).tolist(), ints) for x in (t.pos, t.tok))]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), ints, ints, ints, ints, pa.string(), ints, ints]
+            return pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], key[0].type), pa.array([id_value.as_py()], id_value.type), *(pa.array([v.as_py() if isinstance(v, pa.Scalar) else v], kind) for v, kind in zip(values, kinds))], names=schema.names)
+
+        held = None
         for batch in batches:
             for k in range(len(batch)):
-                before, body, after = (batch.column(c)[k].as_py() for c in (3, 4, 5))
-                text, lo, hi = before + body + after, len(before), len(before) + len(body)
-                start, end, forced = 0, len(text), False
-                if batch.column(1)[k].as_py():
-                    found = _CERTAIN.search(text, lo, min(lo + halo, len(text)))
-                    start = found.start() if found else lo
-                    forced = not found
-                if not batch.column(2)[k].as_py():
-                    found = _CERTAIN.search(text, hi, min(hi + halo, len(text)))
-                    end = found.start() if found else hi
-                (pos, tok, _, off), = _cuts(encoder, lengths, [text[start:end]])
-                encoder.trim()
-                level = np.append(strengths(np.frombuffer(text.encode("utf-32-le"), "<u4")), 0)
-                place = pos + start
-                structs = pa.StructArray.from_arrays(
-                    [pa.array((place - lo).astype(np.int32)), pa.array((tok + (FORCED_TOKENS if forced else 0)).astype(np.int32)), pa.array(level[place].astype(np.int32)), pa.array(off.astype(np.int32))], names=["p", "t", "l", "o"]
-                )
-                cuts = pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in (0, 1, 2)), pa.array([len(body)], pa.int64()), cuts], names=schema.names)
-
-    return ranges.mapInArrow(run, schema)
-
-
-def _stitch(boundaries: DataFrame, limits: list) -> DataFrame:
-    """Pieces of each text, as parts by range: one pass over the tables of its ranges in order."""
-    id_field = boundaries.schema[0]
-    parts = [("part_no", T.IntegerType()), ("range_no", T.LongType()), ("from_char", T.IntegerType()), ("n_part", T.IntegerType())]
-    schema = T.StructType([*_piece_fields(id_field), *(T.StructField(n, t) for n, t in parts)])
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+                key = (batch.column(0)[k], batch.column(1)[k])
+                if held is None or held[0] != key:
+                    if held is not None:
+                        yield done(*held)
+                    held = [key, batch.column(2)[k], batch.column(3)[k].as_py(), [], ""]
+                held[3].append(batch.column(4)[k].as_py())
+                held[4] = batch.column(5)[k].as_py()
+        if held is not None:
+            yield done(*held)
+
+    ordered = portions.select("row", "section", "__id", "char_start", "text", "next").repartition(task_count(portions), "row", "section").sortWithinPartitions("row", "section", "char_start")
+    return map_arrow(ordered, run, schema)
+
+
+def _section_pieces(encoded: DataFrame, limits: list[Limit]) -> DataFrame:
+    """Pieces of each section, numbered within it."""
+    tails = encoded.where("after <> ''").select("row", F.col("stop").alias("start"), F.col("tail_text").alias("t_text"), F.col("tail_pos").alias("t_pos"), F.col("tail_tok").alias("t_tok"))
+    both = encoded.drop("tail_text", "tail_pos", "tail_tok").join(tails, ["row", "start"], "left")
+    both = both.select("row", "__id", "start", "text", "after", "pos", "tok", "lev", "off", "t_text", "t_pos", "t_tok")
+    schema = T.StructType([both.schema["row"], both.schema["__id"], T.StructField("section_start", T.LongType()), *_piece_fields()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cutters, tokens, starts = None, [], 0, []
         for batch in batches:
             for k in range(len(batch)):
-                if now is None or batch.column(0)[k] != now:
-                    now, tokens, starts = batch.column(0)[k], 0, [(0, 0)]  # starts: (first character, number) of the ranges still needed
-                    cutters = [(limit, Cutter(most, overlap)) for limit, most, overlap in limits]
-                no, is_last, n_chars = (batch.column(c)[k].as_py() for c in (1, 2, 3))
-                cuts = batch.column(4)
-                cuts = cuts.values.slice(cuts.offsets[k].as_py(), cuts.offsets[k + 1].as_py() - cuts.offsets[k].as_py())
-                p, t, lev, off = (cuts.field(c).to_numpy().astype(np.int64) for c in range(4))
-                offset = starts[-1][0]
-                rows = [[] for _ in kinds]
-                if not is_last:
-                    starts.append((offset + n_chars, no + 1))
-                for limit, cutter in cutters:
-                    first = cutter.pieces
-                    for i, (x, y, n, s) in enumerate(cutter.feed(p + offset, t + tokens, lev, off, is_last)):
-                        at = bisect_right(starts, (x, 1 << 62)) - 1
-                        part = 0
-                        while at < len(starts) and starts[at][0] < y:
-                            begin, number = starts[at]
-                            stop = starts[at + 1][0] if at + 1 < len(starts) else y
-                            lo, hi = max(x, begin), min(y, stop)
-                            for column, value in zip(rows, (limit, first + i, x, y, n, s, part, number, lo - begin, hi - lo)):
-                                column.append(value)
-                            part, at = part + 1, at + 1
-                tokens += int(t[-1]) if len(t) else 0
-                need = min(int(c.pos[0]) for _, c in cutters)
-                while len(starts) > 1 and starts[1][0] <= need:
-                    starts.pop(0)
-                if rows[0]:
-                    ids = batch.column(0).take(pa.array([k] * len(rows[0])))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, kind) for c, kind in zip(rows, kinds))], names=schema.names)
-
-    return boundaries.repartition(id_field.name).sortWithinPartitions(id_field.name, "range_no").mapInArrow(run, schema)
-
-
-def pieces_of_ranges(ranges: DataFrame, limits: list[tuple[int, int, int]], vocabulary: str | None = None, halo: int = HALO_CHARS) -> DataFrame:
-    """Pieces of texts given as ranges (of `ranges_of` or `file_ranges`), emitted by offset; the id is the ranges' last column if that is none of theirs, else their first."""
-    key = ranges.columns[0]
-    own = ranges.columns[6:] or [key]
-    parts = _stitch(_boundaries(ranges.select(*ranges.columns[:6]), halo, vocabulary), limits)
-    numbers = [f.name for f in _piece_fields(ranges.schema[0])[1:]]
-    texts = parts.join(ranges.select(key, "range_no", "body", *[F.col(c).alias("__id") for c in own]), [key, "range_no"])
-    texts = texts.withColumn("text", F.expr("substring(body, from_char + 1, n_part)"))
-    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part_no", "text"))), lambda x: x["text"]))
-    return texts.groupBy(key, "__id", *numbers).agg(joined.alias("piece")).select(F.col("__id").alias(own[0]), *numbers, "piece")
-
-
-def split_texts(df: DataFrame, limits: DataFrame | list[tuple[int, int, int]], id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, range_chars: int = RANGE_CHARS) -> DataFrame:
+                start, text, after = (batch.column(c)[k].as_py() for c in (2, 3, 4))
+                array = lambda c: batch.column(c)[k].values.to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+                tail = Tail(batch.column(9)[k].as_py(), array(10), array(11)) if batch.column(9)[k].is_valid else None
+                out = Pieces()
+                out.add(k, Section(text, after, start), Places(*map(array, (5, 6, 7, 8))), tail, not start and not after, limits, {})
+                index, *columns = out.arrays()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in (0, 1, 2)), *columns], names=schema.names)
+
+    return map_arrow(both, run, schema)
+
+
+def pieces_of_ranges(ranges: DataFrame, limits: list[Limit] | list[tuple[int, int, int]], vocabulary: str | None = None, section: int | None = None) -> DataFrame:
+    """Pieces of texts given as ranges (of `ranges_of` or `file_ranges`), under the name `id`."""
+    limits = _limits(limits)
+    dealt = ranges.repartition(task_count(ranges), "row", "range_no")
+    portions = _stitched(_portions(dealt, section or _section_of(limits, vocabulary)))
+    pieces = written(_section_pieces(written(_encoded(portions, limits, vocabulary)), limits))
+    counts = pieces.groupBy("row", "limit_id", "section_start").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("row", "limit_id").orderBy("section_start").rowsBetween(Window.unboundedPreceding, -1)  # a row a section
+    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("base > 0").drop("n")
+    numbered = pieces.join(bases, ["row", "limit_id", "section_start"], "left")
+    number = (F.col("piece_no") + F.coalesce("base", F.lit(0))).cast("int")
+    names = [f.name for f in _piece_fields()]
+    return numbered.withColumn("piece_no", number).select(F.col("__id").alias("id"), *names)
+
+
+def _section_of(limits: list[Limit], vocabulary: str | None) -> int:
+    return section_size(limits, max(map(len, bpe.load_vocabulary(bpe.vocabulary_path(vocabulary)).tokens)))
+
+
+def _limits(limits: DataFrame | list) -> list[Limit]:
+    """The rows of a table of limits, which is a setting of some rows. Repeated rows count once, a null overlap is 0; one id for two limits is an error."""
+    rows = limits if isinstance(limits, list) else limits.select("limit_id", "max_tokens", "overlap_tokens").collect()
+    found = list(dict.fromkeys(x if isinstance(x, Limit) else Limit(x[0], x[1], x[2] or 0) for x in rows if isinstance(x, Limit) or x[1] is not None))
+    if len({x.limit_id for x in found}) < len(found):
+        raise ValueError("two limits have one id")
+    return found
+
+
+def split_texts(df: DataFrame, limits: DataFrame | list[tuple[int, int, int]], id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, range_chars: int = RANGE_CHARS, section: int | None = None) -> DataFrame:
     """`id_col`, `limit_id`, `piece_no`, `char_start`, `char_end`, `n_tokens`, `n_shared`, `piece` of every text above a limit.
 
-    Ids may be null or repeat: every row is cut for itself.
+    Ids may be null or repeat: every row is cut for itself. `range_chars` only says which texts are
+    spread over tasks; the pieces are the same for any.
     """
-    limits = limits if isinstance(limits, list) else _limits(limits)
+    limits = _limits(limits)
     texts = df.select(F.col(id_col), F.col(text_col).alias("__text")).where(F.length("__text") > 0)
-    schema = T.StructType([*_piece_fields(df.schema[id_col]), T.StructField("piece", T.StringType())])
+    schema = T.StructType([df.schema[id_col], *_piece_fields()])
     if not limits:
         return df.sparkSession.createDataFrame([], schema)
-    short = _short_pieces(texts.where(F.length("__text") <= range_chars), limits, vocabulary)
+    section = section or _section_of(limits, vocabulary)
+    short = _short_pieces(texts.where(F.length("__text") <= range_chars), limits, section, vocabulary)
     long = ranges_of(texts.where(F.length("__text") > range_chars), range_chars)
-    return short.unionByName(pieces_of_ranges(long, limits, vocabulary))
+    if long.isEmpty():
+        return short
+    return short.unionByName(pieces_of_ranges(long, limits, vocabulary, section).withColumnRenamed("id", id_col))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from hanweave.llm import bpe, cooccur, heavy, mix, normalize, pieces, termfreq
 from hanweave.operators.dictionary import rank_rows
 from hanweave.operators.rejects import UNIGRAM, parse_counts, valid_rows
 from hanweave.plans.problems import UNIGRAM_SQL
-from hanweave.session import checkpointed, table, wide_table
+from hanweave.session import checkpointed, shared_folder, table, wide_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -205,3 +206,19 @@ def p8_shares(spark, d):
 def p9_pieces(spark, d):
     """Pieces of every document above each limit."""
     return pieces.split_texts(wide_table(spark, d, "documents", "doc_id", "text"), table(spark, d, "piece_limits"))
+
+
+@query()
+def p9_ranged(spark, d):
+    """The same pieces with every document of over 2,048 characters cut into ranges and stitched."""
+    return pieces.split_texts(wide_table(spark, d, "documents", "doc_id", "text"), table(spark, d, "piece_limits"), range_chars=2048)
+
+
+@query()
+def p9_files(spark, d):
+    """Pieces of text files of all documents, by language and the task that writes them, read by byte ranges."""
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    texts = table(spark, d, "documents").where("text IS NOT NULL").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.col("text").alias("value"))
+    texts.write.partitionBy("lang").text(folder)
+    found = pieces.pieces_of_ranges(pieces.file_ranges(spark, f"{folder}/*/*.txt"), pieces._limits(table(spark, d, "piece_limits")))
+    return found.withColumn("id", F.regexp_extract("id", "lang=(.*/part-[0-9]*)", 1))
