@@ -90,29 +90,31 @@ class Limit:
             raise ValueError(f"the overlap of {self.overlap} tokens must be under half of {self.most}")
 
 
-def _member(points: np.ndarray, of: list[int]) -> np.ndarray:
-    table = np.zeros(0x3100, dtype=bool)
-    table[[c for c in of if c < 0x3100]] = True
-    out = table[np.minimum(points, 0x30FF)]
-    for c in of:
-        if c >= 0x3100:
-            out |= points == c
-    return out
+# The marks of each character of the basic plane as bits; the last place stands for all others.
+_KINDS = (_BREAKS, _SPACES, _FINAL_WIDE, _FINAL_ASCII, _CLAUSE_WIDE, _CLAUSE_ASCII, _CLOSERS)
+_IS_BREAK, _IS_SPACE, _IS_FINAL_WIDE, _IS_FINAL_ASCII, _IS_CLAUSE_WIDE, _IS_CLAUSE_ASCII, _IS_CLOSER = (1 << k for k in range(len(_KINDS)))
+_MARKS = np.zeros(0x10000, dtype=np.uint8)
+for _bit, _points in enumerate(_KINDS):
+    _MARKS[_points] |= 1 << _bit
+
+
+def _marks(points: np.ndarray) -> np.ndarray:
+    return _MARKS[np.minimum(points, 0xFFFF)]
 
 
-def strengths(points: np.ndarray) -> np.ndarray:
+def strengths(points: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
     """Strength of a cut before each character."""
     out = np.zeros(len(points), dtype=np.int8)
     if len(points) < 2:
         return out
-    brk, space = _member(points, _BREAKS), _member(points, _SPACES)
-    final_w, final_a = _member(points, _FINAL_WIDE), _member(points, _FINAL_ASCII)
-    closer = _member(points, _CLOSERS)
+    marks = _marks(points) if marks is None else marks
+    brk, space, closer = (marks & x > 0 for x in (_IS_BREAK, _IS_SPACE, _IS_CLOSER))
+    final_w, final_a = marks & _IS_FINAL_WIDE > 0, marks & _IS_FINAL_ASCII > 0
     gap_after = np.append(space[1:], True)
     final = final_w | (final_a & gap_after)
     # A closing mark ends the sentence that ended before it.
     after_final = closer & np.append(False, (final_w | final_a)[:-1]) & (gap_after | (points > 0x7F))
-    ends_sentence, ends_clause = final | after_final, _member(points, _CLAUSE_WIDE) | (_member(points, _CLAUSE_ASCII) & gap_after)
+    ends_sentence, ends_clause = final | after_final, (marks & _IS_CLAUSE_WIDE > 0) | ((marks & _IS_CLAUSE_ASCII > 0) & gap_after)
     stays = closer | final_w | final_a  # marks that stay with what they close
     prev, here = slice(None, -1), slice(1, None)
     at = out[here]
@@ -120,6 +122,8 @@ def strengths(points: np.ndarray) -> np.ndarray:
     at[ends_clause[prev] & ~stays[here]] = CLAUSE
     at[ends_sentence[prev] & ~stays[here]] = SENTENCE
     at[brk[prev] & ~brk[here]] = LINE
+    if not brk.any():
+        return out
     lf, cr = points == 0x0A, points == 0x0D
     line_end = brk & ~(cr & np.append(lf[1:], False))  # of CR LF, the LF
     seen = np.cumsum(line_end)
@@ -226,7 +230,8 @@ def places_of(encoder: bpe.Transducer, lengths: np.ndarray, sections: list[Secti
     whole = "".join(texts)
     raw = np.frombuffer(whole.encode("utf-8"), np.uint8)
     points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
-    level = np.append(strengths(points), np.int8(0))
+    kinds = _marks(points)
+    level = np.append(strengths(points, kinds), np.int8(0))
     at = np.cumsum([0] + [len(t) for t in texts])
     for a, b in zip(at.tolist(), at[1:].tolist()):  # a text that begins so that what stands before it would count
         if 0 < a < b and points[a] in _OPENERS:
@@ -241,7 +246,7 @@ def places_of(encoder: bpe.Transducer, lengths: np.ndarray, sections: list[Secti
     tokens = np.cumsum([0] + [len(p) // 4 for p in packed])
     off = np.zeros(len(kept), dtype=np.int64)
     # Of a run of blanks before a word, the last is split off in the text but not where a piece ends after the run.
-    space = _member(points, _SPACES)
+    space = kinds & _IS_SPACE > 0
     (stops,) = np.nonzero(space[:-2] & space[1:-1] & ~space[2:]) if len(points) > 2 else (np.zeros(0, np.int64),)
     if len(stops):
         stops = stops + 2
@@ -507,16 +512,18 @@ def _encoded(portions: DataFrame, limits: list[Limit], vocabulary: str | None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.worker_encoder(path, shared)
         lengths = _token_lengths(encoder.tokens)
-        ints = pa.list_(pa.int32())
+
+        def ints(x: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int32)))
 
         def done(key, id_value, start, texts, after):
             s = Section("".join(texts), after, start)
             (p,) = places_of(encoder, lengths, [s])
             encoder.trim()
             t = tail_of(s, p, overlap)
-            values = [start, start + len(s.text), s.text, after, *(pa.scalar(x.astype(np.int32).tolist(), ints) for x in (p.pos, p.tok, p.lev, p.off)), t.text, *(pa.scalar(x.astype(np.int32).tolist(), ints) for x in (t.pos, t.tok))]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), ints, ints, ints, ints, pa.string(), ints, ints]
-            return pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], key[0].type), pa.array([id_value.as_py()], id_value.type), *(pa.array([v.as_py() if isinstance(v, pa.Scalar) else v], kind) for v, kind in zip(values, kinds))], names=schema.names)
+            own = [pa.array([x.as_py()], x.type) for x in (key[0], id_value)]
+            place = [pa.array([start], pa.int64()), pa.array([start + len(s.text)], pa.int64()), pa.array([s.text]), pa.array([after])]
+            return pa.RecordBatch.from_arrays([*own, *place, *map(ints, (p.pos, p.tok, p.lev, p.off)), pa.array([t.text]), ints(t.pos), ints(t.tok)], names=schema.names)
 
         held = None
         for batch in batches:
@@ -591,11 +598,13 @@ def split_texts(df: DataFrame, limits: DataFrame | list[tuple[int, int, int]], i
     spread over tasks; the pieces are the same for any.
     """
     limits = _limits(limits)
-    texts = df.select(F.col(id_col), F.col(text_col).alias("__text")).where(F.length("__text") > 0)
+    texts = df.select(F.col(id_col), F.col(text_col).alias("__text"))
     schema = T.StructType([df.schema[id_col], *_piece_fields()])
     if not limits:
         return df.sparkSession.createDataFrame([], schema)
     section = section or _section_of(limits, vocabulary)
+    # A text has no more tokens than bytes, where its bytes are sound.
+    texts = texts.where((F.octet_length("__text") > min(x.most for x in limits)) | ~F.is_valid_utf8("__text"))
     short = _short_pieces(texts.where(F.length("__text") <= range_chars), limits, section, vocabulary)
     long = ranges_of(texts.where(F.length("__text") > range_chars), range_chars)
     if long.isEmpty():
