@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,26 @@ class ModelError(Exception):
     """A model table is missing, too large or malformed."""
 
 
+class UnknownMethod(NotImplementedError):
+    """No such method."""
+
+
+class Shipped:
+    """A function that workers get with the models, also if it is a local one."""
+
+    def __init__(self, function: Callable):
+        self.function = function
+
+    def __call__(self, *args):
+        return self.function(*args)
+
+    def __getstate__(self):
+        return cloudpickle.dumps(self.function)
+
+    def __setstate__(self, state):
+        self.function = cloudpickle.loads(state)
+
+
 @dataclass
 class Models:
     """What the decoders need; absent parts are None."""
@@ -40,8 +61,17 @@ class Models:
     crf_seg: Crf | None = None
     crf_pos: Crf | None = None
     hmm: Hmm | None = None
+    own: dict = field(default_factory=dict)
     _taggers: dict = field(default_factory=dict)
 
+    def add_method(self, name: str, segmenter: Callable | str, tagger: Callable | str | None = None) -> None:
+        """A method of one's own for these models. A part may also be named as in METHODS.
+
+        `segmenter(tokens, types)` gives the (begin, end) of each word of a sentence, in order and without gaps;
+        `tagger(words)` the tag of each (word, word type, term id) of a sentence. Both run in the workers.
+        """
+        self.own[name] = tuple(x if x is None or isinstance(x, str) else Shipped(x) for x in (segmenter, tagger))
+
     def tagger(self, name: str) -> Hmm:
         """The HMM with or without the CRF's emissions for unknown words."""
         if (self.hmm.crf is not None) == (name == "hmm_crf"):
@@ -51,10 +81,11 @@ class Models:
         return self._taggers[name]
 
     def need(self, method: str) -> tuple[str, str | None]:
-        if method not in METHODS:
-            raise NotImplementedError(f"method {method!r}; there are {sorted(METHODS)}")
-        segmenter, tagger = METHODS[method]
-        wanted = {"mixed": ["crf_seg", "properties"], "crf": ["crf_seg"]}.get(segmenter, []) + {"crf": ["crf_pos"], "hmm": ["hmm"], "hmm_crf": ["hmm", "crf_pos"]}.get(tagger, [])
+        if method not in METHODS and method not in self.own:
+            raise UnknownMethod(f"method {method!r}; there are {sorted({*METHODS, *self.own})}")
+        segmenter, tagger = self.own.get(method) or METHODS[method]
+        needs = {"mixed": ["crf_seg", "properties"], "crf": ["crf_seg"]}, {"crf": ["crf_pos"], "hmm": ["hmm"], "hmm_crf": ["hmm", "crf_pos"]}
+        wanted = [x for part, need in zip((segmenter, tagger), needs) if isinstance(part, str) for x in need.get(part, [])]
         lacking = [x for x in wanted if getattr(self, x) is None]
         if lacking:
             raise ModelError(f"method {method!r} needs {lacking}")
@@ -102,7 +133,9 @@ def load_hmm(tags: DataFrame, trans: DataFrame, emits: DataFrame, crf: Crf | Non
 
 def words_of(models: Models, segmenter: str, sentences: list[tuple[list[str], list[int]]], parity: bool = False) -> list[list[tuple[str, int, int, int]]]:
     """Of each sentence (tokens, types) its words: (word, word type, term id, tokens)."""
-    if segmenter == "crf":
+    if callable(segmenter):
+        found = [[(a, b, ID_UNSEARCHED) for a, b in segmenter(t, k)] for t, k in sentences]
+    elif segmenter == "crf":
         cut = decode.cut_by_crf(models.crf_seg, [(decode.segment_rows(t, k), 0, len(t)) for t, k in sentences], parity)
         found = [[(a, b, ID_UNSEARCHED) for a, b in ranges] for ranges in cut]
     else:
@@ -130,6 +163,8 @@ def tag_words(models: Models, tagger: str | None, sentences: list[list]) -> list
     """Tags of the words of each sentence."""
     if tagger is None:
         return [[NO_TAG] * len(words) for words in sentences]
+    if callable(tagger):
+        return [tagger([(w, kind, t) for w, kind, t, _ in words]) for words in sentences]
     if tagger == "crf":
         jobs = [([decode.pos_row(w, kind) for w, kind, _, _ in words], 0, len(words)) for words in sentences]
         return [[models.crf_pos.tags[t] for t in tags] for tags in models.crf_pos.tag_many(jobs)]

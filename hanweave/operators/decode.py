@@ -46,11 +46,11 @@ class Dictionary:
         self.bigrams = bigrams or {}
         self.prefixes = {w[:k] for w in merged for k in range(1, len(w))}
 
-    def segment(self, tokens: list[str], bigram: bool, disabled: str | None = None) -> tuple[list[tuple[int, int, int]], float]:
-        """(begin, end, term id) of each word over the tokens, and the cost of the path."""
+    def beams(self, tokens: list[str], bigram: bool, disabled: str | None = None) -> list[list[tuple]]:
+        """The cheapest nodes of each place, the best first: (cost of the path, begin, term id, node before)."""
         n, words, prefixes, width = len(tokens), self.words, self.prefixes, BEAM if bigram else 1
         bigrams, unigrams = (self.bigrams, self.unigrams) if bigram else ({}, {})
-        # A node: (cost, begin, term id, node before); sorted, equal costs put the longer word first.
+        # Equal costs put the longer word first.
         ends: list[list] = [[] for _ in range(n + 1)]
         ends[0].append((0.0, 0, 0, None))
         for at in range(n):
@@ -75,7 +75,12 @@ class Dictionary:
                     ends[end].append((beam[0][0] + OOV_COST, at, 0, beam[0]))
                 if text not in prefixes:
                     break
-        node, out, at = ends[n][0], [], n
+        del ends[n][width:]
+        return ends
+
+    def segment(self, tokens: list[str], bigram: bool, disabled: str | None = None) -> tuple[list[tuple[int, int, int]], float]:
+        """(begin, end, term id) of each word over the tokens, and the cost of the path."""
+        node, out, at = self.beams(tokens, bigram, disabled)[-1][0], [], len(tokens)
         cost = node[0]
         while node[3] is not None:
             out.append((node[1], at, node[2] or ID_UNKNOWN))
@@ -149,31 +154,34 @@ class Crf:
             self._transitions[names] = total
         return self._transitions[names]
 
-    def tag(self, rows: list[tuple[str, ...]], begin: int = 0, end: int | None = None, begin_tag: int = -1, end_tag: int = -1, parity: bool = False) -> list[int]:
-        """Best tags of rows[begin:end]; features see the rows around. With `parity` a begin tag counts only where begin is 0."""
-        end = len(rows) if end is None else end
+    def reached(self, cost: list[float], rows: list[tuple[str, ...]], at: int) -> tuple[list[float], list[int]]:
+        """Best score of reaching each tag at a place from the scores of the place before, and from which tag."""
+        best, lefts = [], []
+        for weights in self.transitions(rows, at):
+            totals = [c + w for c, w in zip(cost, weights)]
+            top = max(totals)
+            best.append(top)
+            lefts.append(totals.index(top))
+        return best, lefts
+
+    def begin(self, rows: list[tuple[str, ...]], begin: int = 0, begin_tag: int = -1, parity: bool = False) -> list[float]:
+        """Scores of the tags at the first place, after a begin tag if there is one."""
         if begin_tag >= 0 and not (parity and begin):
             start = [w[begin_tag] for w in self.transitions(rows, begin)]
         else:
             start = [0.0] * len(self.tags)
-        cost = [a + b for a, b in zip(start, self.scores(rows, begin))]
-        back = []
-
-        def step(at: int) -> list[float]:
-            best, lefts = [], []
-            for weights in self.transitions(rows, at):
-                totals = [c + w for c, w in zip(cost, weights)]
-                top = max(totals)
-                best.append(top)
-                lefts.append(totals.index(top))
-            back.append(lefts)
-            return best
+        return [a + b for a, b in zip(start, self.scores(rows, begin))]
 
+    def tag(self, rows: list[tuple[str, ...]], begin: int = 0, end: int | None = None, begin_tag: int = -1, end_tag: int = -1, parity: bool = False) -> list[int]:
+        """Best tags of rows[begin:end]; features see the rows around. With `parity` a begin tag counts only where begin is 0."""
+        end = len(rows) if end is None else end
+        cost, back = self.begin(rows, begin, begin_tag, parity), []
         for at in range(begin + 1, end):
-            cost = [a + b for a, b in zip(step(at), self.scores(rows, at))]
+            best, lefts = self.reached(cost, rows, at)
+            back.append(lefts)
+            cost = [a + b for a, b in zip(best, self.scores(rows, at))]
         if end_tag >= 0:
-            step(end)
-            tag = back.pop()[end_tag]
+            tag = self.reached(cost, rows, end)[1][end_tag]
         else:
             tag = cost.index(max(cost))
         out = [tag]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tags that every tag set has; the first stands for the begin of a sentence.
@@ -53,6 +53,11 @@ def emissions(places: DataFrame, dictionary: DataFrame) -> DataFrame:
     return known.select("tag", "term_id", (-F.log(F.col("n") / F.col("m"))).cast("float").alias("cost"))
 
 
+def _weight(n: Column) -> Column:
+    """ln(1 + n) in single precision: sums of some hundred such numbers in double precision are exact, so equal scores are equal."""
+    return F.log1p(n).cast("float").cast("double")
+
+
 def segment_features(dictionary: DataFrame) -> DataFrame:
     """CRF weights ln(1 + n) of characters at their places in dictionary words: (feature, left_tag, tag, weight)."""
     size, at = F.size("chars"), F.col("k")
@@ -62,7 +67,7 @@ def segment_features(dictionary: DataFrame) -> DataFrame:
     left = F.when(at > 0, F.element_at("chars", at))  # the character before
     single = placed.select(F.concat(F.lit("U01:"), "char").alias("feature"), "tag")
     pair = placed.where("k > 0").select(F.concat(F.lit("U00:"), left, F.lit("/"), "char").alias("feature"), "tag")
-    unigram = single.unionByName(pair).groupBy("feature", "tag").agg(F.log1p(F.count("*")).alias("weight")).withColumn("left_tag", F.lit(None).cast("string"))
+    unigram = single.unionByName(pair).groupBy("feature", "tag").agg(_weight(F.count("*")).alias("weight")).withColumn("left_tag", F.lit(None).cast("string"))
     # Which tag may follow which, as words are built.
     follows = [("B", "B1"), ("B", "E"), ("B1", "B2"), ("B1", "E"), ("B2", "M"), ("B2", "E"), ("M", "M"), ("M", "E")] + [(a, b) for a in "ES" for b in "BS"]
     rows = [("B", a, b, 0.0 if (a, b) in follows else -30.0) for a in ("S", "B", "B1", "B2", "M", "E") for b in ("S", "B", "B1", "B2", "M", "E")]
@@ -74,9 +79,9 @@ def pos_features(places: DataFrame, dictionary: DataFrame) -> DataFrame:
     """CRF weights ln(1 + n) of dictionary words, first and last characters by tag, and of neighbouring tags."""
     known = places.where("word <> ''").join(dictionary.select("word"), "word", "left_semi")
     columns = F.array(F.concat(F.lit("U00:"), "word"), F.concat(F.lit("U01:"), F.substring("word", 1, 1)), F.concat(F.lit("U02:"), F.substring("word", -1, 1)))
-    unigram = known.select("tag", F.explode(columns).alias("feature")).groupBy("feature", "tag").agg(F.log1p(F.count("*")).alias("weight"))
+    unigram = known.select("tag", F.explode(columns).alias("feature")).groupBy("feature", "tag").agg(_weight(F.count("*")).alias("weight"))
     before = places.select("doc_id", "sent_no", (F.col("pos") + 1).alias("pos"), F.col("tag").alias("left_tag"))
-    pairs = places.join(before, ["doc_id", "sent_no", "pos"]).groupBy("left_tag", "tag").agg(F.log1p(F.count("*")).alias("weight"))
+    pairs = places.join(before, ["doc_id", "sent_no", "pos"]).groupBy("left_tag", "tag").agg(_weight(F.count("*")).alias("weight"))
     none = F.lit(None).cast("string").alias("left_tag")
     return unigram.select("feature", none, "tag", "weight").unionByName(pairs.select(F.lit("B").alias("feature"), "left_tag", "tag", "weight"))
 

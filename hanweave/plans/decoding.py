@@ -10,7 +10,8 @@ from hanweave.functions.utf8 import texts
 from hanweave.operators import analyze as an
 from hanweave.operators import crf as cf
 from hanweave.operators import decode, models as md
-from hanweave.plans.dictionaries import _PLACES, bigram_costs, lexicon, places, user_words
+from hanweave.plans import decoder_sql as ds
+from hanweave.plans.dictionaries import _PLACES, _TAGS, USER_SQL, bigram_costs, lexicon, places, user_words
 from hanweave.plans.queries import query
 from hanweave.session import checkpointed, map_arrow, table, wide_table
 
@@ -41,48 +42,80 @@ def _analyzed(method):
     return run
 
 
+_TEXTS, _LINES = ds.sentences("documents", "doc_id", "text"), ds.sentences("corpus_lines", "line_id", "buf")
+
+
+def _method_sql(method: str, of: str = _TEXTS, key: str = "doc_id") -> str:
+    segmenter, tagger = an.METHODS[method]
+    if tagger is None:
+        return ds.parts(of, ds.segmenter(segmenter)) + ds.analyzed(key)
+    return ds.parts(of, ds.segmenter(segmenter), ds.tagger(tagger, _PLACES, _TAGS)) + ds.tagged(key)
+
+
 for _name, _method in (("seg_unigram", "unigram_seg"), ("seg_bigram", "bigram_seg"), ("seg_crf", "crf_seg"), ("seg_mixed", "seg"), ("pos_crf", "crf"), ("pos_hmm", "hmm"), ("pos_mixed", "hmm_crf")):
-    query(name=_name)(_analyzed(_method))
+    query(_method_sql(_method), name=_name)(_analyzed(_method))
 
 
-@query()
+@query(_method_sql("hmm_crf"))
 def analyze(spark, d):
     """Every word of every text with type and tag, by the default method."""
     return _analyzed("hmm_crf")(spark, d)
 
 
-@query()
+@query(ds.parts(_LINES, ds.segmenter("bigram")) + f"SELECT line_id, sent_id, pos, word, term_id FROM ({ds.analyzed('line_id')})")
 def backtrace(spark, d):
     """Words of every corpus line by the lattice, in order."""
     return an.analyze(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "bigram_seg"), "bigram_seg", "line_id", "buf").select("line_id", "sent_id", "pos", "word", "term_id")
 
 
-@query()
+@query(ds.parts(_LINES, ds.lattice(ds._SYSTEM, True)) + "SELECT line_id, round(arg_max(beams[-1][1].c, sent_id), 4) AS cost FROM corpus_lines LEFT JOIN (d JOIN s USING (toks) JOIN m USING (sid)) USING (line_id) GROUP BY line_id")
 def path_cost(spark, d):
     """Cost of the last sentence of every corpus line."""
-    return an.path_costs(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "bigram_seg"), True, "line_id", "buf")
+    costs = an.path_costs(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "bigram_seg"), True, "line_id", "buf")
+    return costs.withColumn("cost", F.round("cost", 4))
+
+
+def _lists_sql(segmenter: str) -> str:
+    """Of each corpus line the list of its words; null for null, empty for empty text."""
+    word = ds.marked("word", "word_type")
+    return f"""SELECT line_id, CASE WHEN buf IS NOT NULL THEN coalesce(l, []) END AS words FROM corpus_lines
+      LEFT JOIN (SELECT line_id, list({word} ORDER BY sent_id, pos) AS l FROM ({ds.analyzed('line_id')}) GROUP BY line_id) USING (line_id)"""
+
 
+_MERGED = f"(SELECT word, coalesce(l.t, {decode.USER_ID_START}) AS t, CASE WHEN l.word IS NULL THEN u.cost WHEN u.word IS NULL OR u.cost = {decode.DEFAULT_COST} THEN l.c ELSE u.cost END::DOUBLE AS c FROM {ds._SYSTEM} l FULL JOIN {USER_SQL} u USING (word))"
 
-@query()
+
+@query(ds.parts(_LINES, ds.segmenter("bigram", "dw").replace("e AS MATERIALIZED", f"dw AS MATERIALIZED {_MERGED}, e AS MATERIALIZED", 1)) + _lists_sql("bigram"))
 def set_userdict(spark, d):
     """Corpus lines segmented with the vocabulary as user words."""
     return an.segment(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "bigram_seg", user_words(spark, d)), "bigram_seg", "line_id", "buf")
 
 
-@query()
+@query(ds.parts(_LINES, ds.segmenter("mixed")) + _lists_sql("mixed"))
 def segment_text(spark, d):
     """Words of every corpus line, those not Chinese as one mark."""
     return an.segment(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d), "seg", "line_id", "buf")
 
 
-@query()
+_TYPES = " ".join(f"WHEN {k} THEN '{n}'" for k, n in tk.TYPE_NAMES.items())
+
+
+@query(
+    ds.parts(_LINES, ds.segmenter("mixed"), ds.tagger("hmm_crf", _PLACES, _TAGS))
+    + f"""SELECT line_id, string_agg(CASE WHEN regexp_matches(word, '^[\\r\\n ]') THEN '' ELSE word || '_' || CASE word_type {_TYPES} END || '/' || tag || '  ' END, '' ORDER BY sent_id, pos) AS line
+    FROM ({ds.tagged('line_id')}) GROUP BY line_id"""
+)
 def sink_segmented(spark, d):
     """Lines of words with types and tags, as the command line prints them."""
     found = an.analyze(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "hmm_crf"), "hmm_crf", "line_id", "buf")
     return an.format_lines(found, "line_id", types=True, tags=True)
 
 
-@query()
+@query(
+    ds.parts(_LINES, ds.lattice(ds._SYSTEM, True), ds.words_of_lattice(), ds.suspicious("w"))
+    + """SELECT line_id, words FROM d JOIN s USING (toks) JOIN (SELECT sid, run, list(array_to_string(toks[b + 1 : e], '') ORDER BY pos) AS words
+      FROM z JOIN s USING (sid) WHERE flag GROUP BY sid, run HAVING count(*) > 1) USING (sid)"""
+)
 def oov_recognize(spark, d):
     """Runs of suspicious words of every corpus line that the CRF cuts anew."""
     shared = spark.sparkContext.broadcast(trained_models(spark, d))
@@ -132,7 +165,7 @@ _CHARS = "c AS (SELECT word, k - 1 AS place, word[k:k] AS ch, CASE WHEN k = 1 TH
 _MADE = f"{_CHARS}, m AS (SELECT word, place, 'U00:' || before || '/' || ch AS feature FROM c UNION ALL SELECT word, place, 'U01:' || ch FROM c)"
 _TAG = "CASE WHEN n = 1 THEN 'S' WHEN k = 1 THEN 'B' WHEN k = n THEN 'E' WHEN k = 2 THEN 'B1' WHEN k = 3 THEN 'B2' ELSE 'M' END"
 _WEIGHTS = f"""l AS (SELECT word, k, n, {_TAG} AS tag FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k, length(word) AS n FROM lexicon)),
-    w AS (SELECT feature, tag, ln(1 + count(*)) AS weight FROM (SELECT 'U01:' || word[k:k] AS feature, tag FROM l UNION ALL SELECT 'U00:' || word[k - 1 : k - 1] || '/' || word[k:k], tag FROM l WHERE k > 1) GROUP BY ALL)"""
+    w AS (SELECT feature, tag, ln(1 + count(*))::FLOAT::DOUBLE AS weight FROM (SELECT 'U01:' || word[k:k] AS feature, tag FROM l UNION ALL SELECT 'U00:' || word[k - 1 : k - 1] || '/' || word[k:k], tag FROM l WHERE k > 1) GROUP BY ALL)"""
 _SCORES = f"{_MADE}, {_WEIGHTS}, t AS (SELECT unnest({list(decode.SEGMENT_TAGS)}) AS tag), s AS (SELECT word, place, t.tag, coalesce(sum(weight), 0) AS score FROM m CROSS JOIN t LEFT JOIN w ON w.feature = m.feature AND w.tag = t.tag GROUP BY ALL)"
 
 
@@ -175,22 +208,12 @@ def crf_position_prob(spark, d):
     return cf.probabilities(_scores(spark, d), "word").withColumn("p", F.round("p", 6))
 
 
-_FOLLOWS = "(l = 'B' AND r IN ('B1', 'E')) OR (l = 'B1' AND r IN ('B2', 'E')) OR (l = 'B2' AND r IN ('M', 'E')) OR (l = 'M' AND r IN ('M', 'E')) OR (l IN ('E', 'S') AND r IN ('B', 'S'))"
-
-
-@query(f"WITH {_SCORES} SELECT word, tag, round(score + CASE WHEN tag IN ('B', 'S') THEN 0 ELSE -30 END, 6) AS score FROM s WHERE place = 0")
+@query(f"WITH {_SCORES} SELECT word, place::INT AS place, tag, round(score + CASE WHEN tag IN ('B', 'S') THEN 0 ELSE -30 END, 6) AS score FROM s WHERE place = 0 OR place = length(word) // 2")
 def crf_begin_tag(spark, d):
-    """Scores at the first place after the begin tag S."""
+    """Scores after the begin tag S at the first place of every distinct word and of its second half."""
     first = md.segment_features(lexicon(spark, d)).where("left_tag = 'S'").select("tag", "weight")
-    return _scores(spark, d).where("place = 0").join(first, "tag").select("word", "tag", F.round(F.col("score") + F.col("weight"), 6).alias("score"))
-
-
-@query(f"WITH {_SCORES} SELECT word, r AS tag, max(round(score + CASE WHEN {_FOLLOWS} THEN 0 ELSE -30 END, 6)) AS score FROM (SELECT word, tag AS l, score FROM s WHERE place = 0), (SELECT tag AS r FROM t) GROUP BY ALL")
-def crf_transition(spark, d):
-    """Best score of reaching each tag at the second place."""
-    steps = md.segment_features(lexicon(spark, d)).where("left_tag IS NOT NULL").select("left_tag", F.col("tag").alias("to"), "weight")
-    reached = _scores(spark, d).where("place = 0").join(F.broadcast(steps), F.col("tag") == F.col("left_tag"))  # 36 rows
-    return reached.groupBy("word", F.col("to").alias("tag")).agg(F.max(F.round(F.col("score") + F.col("weight"), 6)).alias("score"))
+    begins = _scores(spark, d).where("place = 0 OR place = length(word) DIV 2")
+    return begins.join(F.broadcast(first), "tag").select("word", "place", "tag", F.round(F.col("score") + F.col("weight"), 6).alias("score"))  # six rows
 
 
 def _crf_tags(begin_tag, end_tag, whole=True):
@@ -200,7 +223,7 @@ def _crf_tags(begin_tag, end_tag, whole=True):
         def tag(batches):
             for batch in batches:
                 tagged, crf = [], shared.value
-                for word in batch.column(0).to_pylist():
+                for word in texts(batch.column(0)):
                     rows = [(c,) for c in word]
                     tagged.append([crf.tags[t] for t in crf.tag(rows, 0 if whole else len(rows) // 2, None, begin_tag, end_tag)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tagged, pa.list_(pa.string()))], names=["word", "tags"])
@@ -210,9 +233,47 @@ def _crf_tags(begin_tag, end_tag, whole=True):
     return run
 
 
-query(name="crf_viterbi")(_crf_tags(-1, -1))
-query(name="crf_tag")(_crf_tags(0, 0))
-query(name="crf_tag_range")(_crf_tags(0, 0, whole=False))
+_CHARACTERS = """j AS MATERIALIZED (SELECT row_number() OVER () AS jid, word, f, 0 AS b, len(f) AS e
+  FROM (SELECT word, regexp_extract_all(word, '(?s:.)') AS f FROM (SELECT DISTINCT word FROM terms WHERE word <> '')))"""
+
+
+def _tags_sql(begin_tag: int | None, end_tag: int | None, whole: bool = True) -> str:
+    jobs = _CHARACTERS if whole else _CHARACTERS.replace("0 AS b", "len(f) // 2 AS b")
+    return ds.parts(ds.segment_weights(), jobs, ds.best_tags("j", begin_tag, end_tag)) + f"SELECT word, list_transform(tags, lambda t: ({list(decode.SEGMENT_TAGS)})[t]) AS tags FROM g JOIN j USING (jid)"
+
+
+query(_tags_sql(None, None), name="crf_viterbi")(_crf_tags(-1, -1))
+query(_tags_sql(0, 0), name="crf_tag")(_crf_tags(0, 0))
+query(_tags_sql(0, 0, False), name="crf_tag_range")(_crf_tags(0, 0, whole=False))
+
+
+def _reached_sql() -> str:
+    """Forward scores by a fold over the places of each word."""
+    return ds.parts(ds.segment_weights(), _CHARACTERS, ds.best_tags("j", None, None)) + f"""SELECT word, k::INT AS place, ({list(decode.SEGMENT_TAGS)})[i] AS tag, round(score, 6) AS score
+      FROM (SELECT word, k, unnest(r) AS score, generate_subscripts(r, 1) AS i FROM (SELECT word, unnest(rs) AS r, generate_subscripts(rs, 1) AS k FROM ({ds.reached('g_v')}) JOIN j USING (jid)))"""
+
+
+@query(_reached_sql())
+def crf_transition(spark, d):
+    """Best score of reaching each tag at every place after the first of every distinct word."""
+    shared = spark.sparkContext.broadcast(trained_models(spark, d, "crf_seg").crf_seg)
+
+    def run(batches):
+        for batch in batches:
+            out, crf = [], shared.value
+            for word in texts(batch.column(0)):
+                rows = [(c,) for c in word]
+                cost = crf.begin(rows)
+                for at in range(1, len(rows)):
+                    best, _ = crf.reached(cost, rows, at)
+                    out += [(word, at, tag, score) for tag, score in zip(crf.tags, best)]
+                    cost = [a + b for a, b in zip(best, crf.scores(rows, at))]
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=["word", "place", "tag", "score"])
+
+    words = table(spark, d, "terms").where("word <> ''").select("word").distinct()
+    return map_arrow(words, run, "word string, place int, tag string, score double").withColumn("score", F.round("score", 6))
+
 
 _KNOWN_EMITS = f"WITH {_PLACES}, e AS (SELECT DISTINCT tag, word FROM p JOIN lexicon USING (word))"
 _DEFAULTS = "(SELECT unnest(['PU', 'PU', 'PU', 'CD', 'NN', 'NR', 'VA', 'VV', 'NN']) AS tag, unnest([4, 3, 5, 2, 1, 0, 0, 0, 0]) AS word_type)"
@@ -244,7 +305,7 @@ def pos_bos(spark, d):
     return here.groupBy(F.col("tag").alias("tag3")).agg(F.count("*").alias("n")).select(F.lit("BOS").alias("tag1"), F.lit("BOS").alias("tag2"), "tag3", "n")
 
 
-@query()
+@query(ds.parts(_LINES, ds.segmenter("mixed"), ds.tagger("hmm", _PLACES, _TAGS)) + f"SELECT line_id, sent_id, list(tag ORDER BY pos) AS tags FROM ({ds.tagged('line_id')}) GROUP BY ALL")
 def pos_backtrace(spark, d):
     """Tag sequence of each sentence of every corpus line."""
     found = an.analyze(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "hmm"), "hmm", "line_id", "buf")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from hanweave.functions import tokens as tk
+from hanweave.functions import utf8
+from hanweave.operators import analyze as an
 from hanweave.operators import dictionary as dc
 from hanweave.operators import models as md
 from hanweave.operators.decode import DEFAULT_COST, OOV_COST, USER_ID_START
+from hanweave.operators.newwords import SYSTEM_ID_START
 from hanweave.operators.rejects import valid_rows
+from hanweave.plans import decoder_sql as ds
 from hanweave.plans.problems import BIGRAM_SQL, UNIGRAM_SQL, bigram_lines, unigram_lines
 from hanweave.plans.queries import query
-from hanweave.session import table
+from hanweave.session import map_arrow, table
 
 LEXICON_SQL = f"(SELECT word, term_id, coalesce(cost, {DEFAULT_COST})::FLOAT AS cost FROM lexicon)"
 #: User words: the corpora's vocabulary with the least cost of each word.
@@ -153,19 +159,18 @@ def hash_build(spark, d):
 
 
 @query(
-    f"""SELECT rec_id, round(CASE WHEN b.cost IS NOT NULL THEN b.cost - l.cost ELSE r.cost END, 4) AS cost FROM bigram_records
-    JOIN {LEXICON_SQL} l ON l.term_id = word_left JOIN {LEXICON_SQL} r ON r.term_id = word_right
-    LEFT JOIN (SELECT word_left, word_right, cost FROM {_PAIR_COST} p JOIN (SELECT word_left, word_right, count(*) AS c FROM bigram_records GROUP BY ALL) USING (word_left, word_right) WHERE c > 1) b USING (word_left, word_right)"""
+    f"""SELECT adj_id, round(CASE WHEN b.cost IS NOT NULL THEN b.cost - l.cost ELSE r.cost END, 4) AS cost FROM adjacents
+    JOIN {LEXICON_SQL} l ON l.term_id = left_id - {SYSTEM_ID_START} JOIN {LEXICON_SQL} r ON r.term_id = right_id - {SYSTEM_ID_START}
+    LEFT JOIN {_PAIR_COST} b ON word_left = l.term_id AND word_right = r.term_id"""
 )
 def bigram_cost(spark, d):
-    """Cost of going from one word to the next: by the pair where it was seen more than once, else by the right word."""
-    often = pair_counts(spark, d).where("count > 1").select(F.col("left").alias("left_id"), F.col("right").alias("right_id"))
-    pairs = bigram_costs(spark, d).join(often, ["left_id", "right_id"], "left_semi")
+    """Cost of going from each occurrence's left neighbour to its right one: by the pair where it is stored, else by the right word."""
+    pairs = bigram_costs(spark, d)
     costs = lexicon(spark, d)
-    records = table(spark, d, "bigram_records").select("rec_id", F.col("word_left").alias("left_id"), F.col("word_right").alias("right_id"))
+    records = table(spark, d, "adjacents").select("adj_id", (F.col("left_id") - SYSTEM_ID_START).alias("left_id"), (F.col("right_id") - SYSTEM_ID_START).alias("right_id"))
     joined = records.join(costs.select(F.col("term_id").alias("left_id"), F.col("cost").alias("left_cost")), "left_id").join(costs.select(F.col("term_id").alias("right_id"), F.col("cost").alias("right_cost")), "right_id")
     cost = F.coalesce(F.col("cost").cast("double") - F.col("left_cost"), F.col("right_cost").cast("double"))
-    return joined.join(pairs, ["left_id", "right_id"], "left").select("rec_id", F.round(cost, 4).alias("cost"))
+    return joined.join(pairs, ["left_id", "right_id"], "left").select("adj_id", F.round(cost, 4).alias("cost"))
 
 
 @query("SELECT word, oov_value FROM lexicon WHERE oov_value IS NOT NULL")
@@ -199,18 +204,41 @@ def lattice(words, dictionary):
     return found.select("word", (F.col("i") - 1).alias("begin_char"), (F.col("i") + F.col("k") - 1).alias("end_char"), "term_id", "cost")
 
 
-@query(f"{_LATTICE} SELECT word, e::INT AS end_char, term_id, cost FROM e QUALIFY row_number() OVER (PARTITION BY word, e ORDER BY cost, b) <= 3")
+def _beams_sql(bigram: bool) -> str:
+    words = f"s AS MATERIALIZED (SELECT row_number() OVER () AS sid, word, {tk.tokens_sql('word')} AS toks FROM (SELECT DISTINCT word FROM terms WHERE word <> ''))"
+    return ds.parts(words, ds.lattice(ds._SYSTEM, bigram)) + """SELECT word, k::INT AS place, n.b::INT AS begin, n.t::INT AS term_id, round(n.c, 4) AS cost
+      FROM (SELECT word, k, unnest(beams[k + 1]) AS n FROM (SELECT word, beams, unnest(range(1, len(beams))) AS k FROM m JOIN s USING (sid)))"""
+
+
+def _beams(spark, d, bigram):
+    """`word`, `place`, `begin`, `term_id`, `cost`: the nodes that the beam keeps at each place of every distinct word, by the cost of their paths."""
+    shared = spark.sparkContext.broadcast(an.load_dictionary(lexicon(spark, d), bigram_costs(spark, d) if bigram else None))
+
+    def run(batches):
+        for batch in batches:
+            rows = [
+                (word, place, begin, term, cost)
+                for word in utf8.texts(batch.column(0))
+                for place, nodes in enumerate(shared.value.beams(tk.split_tokens(word), bigram)) if place
+                for cost, begin, term, _ in nodes
+            ]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["word", "place", "begin", "term_id", "cost"])
+
+    words = table(spark, d, "terms").where("word <> ''").select("word").distinct()
+    return map_arrow(words, run, "word string, place int, begin int, term_id int, cost double").withColumn("cost", F.round("cost", 4))
+
+
+@query(_beams_sql(True))
 def beam_topk(spark, d):
-    """The three cheapest words that end at each place; equal costs put the longer first."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct("cost", "begin_char", "term_id"))), 1, 3)
-    return lattice_build(spark, d).groupBy("word", "end_char").agg(best.alias("b")).select("word", "end_char", F.inline("b")).select("word", "end_char", "term_id", "cost")
+    """The three nodes with the cheapest paths at each place, by bigrams; equal costs put the longer word first."""
+    return _beams(spark, d, True)
 
 
-@query(f"{_LATTICE} SELECT word, e::INT AS end_char, arg_min(term_id, cost * 1e6 + b) AS term_id, min(cost) AS cost FROM e GROUP BY word, e")
+@query(_beams_sql(False))
 def beam_min(spark, d):
-    """The cheapest word that ends at each place."""
-    best = F.min(F.struct("cost", "begin_char", "term_id"))
-    return lattice_build(spark, d).groupBy("word", "end_char").agg(best.alias("b")).select("word", "end_char", "b.term_id", "b.cost")
+    """The node with the cheapest path at each place, by unigrams."""
+    return _beams(spark, d, False)
 
 
 def unigram_costs(words, dictionary):

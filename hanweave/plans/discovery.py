@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from hanweave.functions import tokens as tk
 from hanweave.functions.tokens import NOT_CJK
 from hanweave.operators import analyze as an
+from hanweave.operators import decode
 from hanweave.operators import models as md
 from hanweave.operators import newwords as nw
+from hanweave.plans import decoder_sql as ds
 from hanweave.plans.decoding import trained_models
 from hanweave.plans.dictionaries import bigram_costs, lexicon, places, unigram_costs
 from hanweave.plans.queries import ORACLES, query
@@ -35,14 +37,19 @@ def sink_vocab(spark, d):
     return _vocab(spark, d).select(F.concat_ws(" ", "word", F.col("count").cast("string")).alias("line"))
 
 
-@query()
+def _segmented_sql(segmenter: str) -> str:
+    word = ds.marked("word", "word_type")
+    return ds.parts(ds.sentences("documents", "doc_id", "text"), ds.segmenter(segmenter)) + f'SELECT word, count(*) AS "count" FROM (SELECT {word} AS word FROM ({ds.analyzed("doc_id")})) GROUP BY word'
+
+
+@query(_segmented_sql("crf"))
 def crf_vocab(spark, d):
     """Vocabulary of all texts segmented by the CRF."""
     words = an.segment(wide_table(spark, d, "documents", "doc_id", "text"), trained_models(spark, d, "crf_seg"), "crf_seg")
     return nw.vocabulary(words.select(F.explode("words").alias("word")))
 
 
-@query()
+@query(_segmented_sql("bigram"))
 def vocab(spark, d):
     """Vocabulary of all texts segmented by the lattice."""
     words = an.segment(wide_table(spark, d, "documents", "doc_id", "text"), trained_models(spark, d, "bigram_seg"), "bigram_seg")
@@ -132,13 +139,27 @@ def bigram_analyze(spark, d):
     return words.join(entropy, "word", "full").na.fill(0, ["count"])
 
 
-@query()
-def mutual_information(spark, d):
-    """Mutual information of the candidates in the vocabulary of analyzed words."""
+def _information_sql() -> str:
+    """The lattice of each candidate over dictionary and vocabulary without the candidate itself."""
+    found = f"SELECT word, n FROM v WHERE n > {_LIMIT} AND length(word) >= 2 AND word <> '{NOT_CJK}' AND word NOT IN (SELECT word FROM lexicon)"
+    own = f"""own AS MATERIALIZED (SELECT word, coalesce(l.t, {decode.USER_ID_START}) AS t, CASE WHEN l.word IS NULL THEN u.c WHEN u.word IS NULL OR u.c = {decode.DEFAULT_COST} THEN l.c ELSE u.c END AS c
+      FROM {ds._SYSTEM} l FULL JOIN (SELECT word, round(-ln(n / (SELECT sum(n) FROM v)), 5)::FLOAT::DOUBLE AS c FROM v) u USING (word))"""
+    s = f"s AS MATERIALIZED (SELECT row_number() OVER () AS sid, word AS whole, n AS times, {tk.tokens_sql('word')} AS toks FROM ({found}))"
+    lattice = ds.lattice("own", True).replace("(SELECT sid, b, n, array_to_string", "(SELECT sid, whole, b, n, array_to_string").replace("JOIN own USING (word))", "JOIN own USING (word) WHERE word <> whole)")
+    return f"WITH {_VOCAB}, {own}, {s}, {lattice} SELECT whole AS word, round(beams[-1][1].c + ln(times / (SELECT sum(n) FROM v)), 4) AS value FROM s JOIN m USING (sid)"
+
+
+def information(spark, d):
     vocab_ = _vocab(spark, d)
     return nw.mutual_information(vocab_, nw.candidates(vocab_, lexicon(spark, d)), lexicon(spark, d), bigram_costs(spark, d))
 
 
+@query(_information_sql())
+def mutual_information(spark, d):
+    """Mutual information of the candidates in the vocabulary of analyzed words."""
+    return information(spark, d).withColumn("value", F.round("value", 4))
+
+
 def _split_gain(spark, d):
     """Cost of each candidate's unigram split minus its own cost: a list to rank by."""
     counts = table(spark, d, "adjacents").where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))

@@ -14,7 +14,7 @@ from hanweave.operators import newwords as nw
 from hanweave.operators.dictionary import prefix_states
 from hanweave.plans.dictionaries import lexicon, places
 from hanweave.operators import models as md
-from hanweave.plans.queries import query
+from hanweave.plans.queries import ORACLES, query
 from hanweave.session import shared_folder, table
 from hanweave.sources import text as src
 from hanweave.streaming import stream as st
@@ -27,7 +27,10 @@ def scan_userdict(spark, d):
     return src.parse_user_dictionary(rows.select(F.concat_ws(" ", "word", F.col("cnt").cast("string")).alias("value")))
 
 
-@query()
+@query(
+    r"""SELECT trim(CASE WHEN k > 0 THEN line[1 : k - 1] ELSE line END, e' \t\r\n') AS word, (CASE WHEN k > 0 THEN coalesce(try_cast(regexp_extract(line[k:], '^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)', 1) AS DOUBLE), 0) ELSE 16 END)::FLOAT AS cost
+    FROM (SELECT line, instr(line, ' ') AS k FROM (SELECT unnest(string_split(concat_ws(' ', word, cnt::VARCHAR), chr(10))) AS line FROM vocab_entries WHERE word <> ''))"""
+)
 def scan_userdict_lines(spark, d):
     """All vocabulary lines parsed as a user dictionary: cut at the first blank, the rest is the cost, 0 where it begins with no number."""
     rows = table(spark, d, "vocab_entries").where("word <> ''").select(F.concat_ws(" ", "word", F.col("cnt").cast("string")).alias("value"))
@@ -41,7 +44,10 @@ def scan_dict(spark, d):
     return src.parse_dictionary(rows.select(F.concat_ws("\t", "word", F.col("oov_value").cast("string")).alias("value")))
 
 
-@query()
+@query(
+    f"""SELECT 'trans' AS part, concat_ws(' ', tag1, tag2, tag3) AS name, cost FROM ({ORACLES['hmm']})
+    UNION ALL SELECT 'emit', concat_ws(' ', tag, term_id::VARCHAR), cost FROM ({ORACLES['scan_hmm_emits']})"""
+)
 def scan_hmm_text(spark, d):
     """Trained tables written as lines and parsed again: tag set, transitions and emissions."""
     p = places(spark, d)
@@ -51,14 +57,16 @@ def scan_hmm_text(spark, d):
     trans = src.parse_transitions(line(md.tag_trigrams(p, tags), "tag1", "tag2", "tag3", "cost"))
     emits = line(md.emissions(p, lexicon(spark, d)).join(lexicon(spark, d).select("term_id", "word"), "term_id"), "tag", "word", "cost")
     emits = src.resolve_emissions(src.parse_emissions(emits), parsed_tags, lexicon(spark, d))
-    return trans.select(F.lit("trans").alias("part"), F.concat_ws(" ", "tag1", "tag2", "tag3").alias("name"), "cost").unionByName(emits.select(F.lit("emit").alias("part"), F.concat_ws(" ", "tag", F.col("term_id").cast("string")).alias("name"), "cost"))
+    both = trans.select(F.lit("trans").alias("part"), F.concat_ws(" ", "tag1", "tag2", "tag3").alias("name"), "cost").unionByName(emits.select(F.lit("emit").alias("part"), F.concat_ws(" ", "tag", F.col("term_id").cast("string")).alias("name"), "cost"))
+    return both.withColumn("cost", F.round(F.col("cost").cast("double"), 4))
 
 
-@query()
+@query(ORACLES["maxent"])
 def scan_maxent_text(spark, d):
     """Classifier weights written as lines and parsed again."""
     w = md.name_weights(places(spark, d))
-    return src.parse_weights(w.select(F.concat_ws(" ", "y", "feature", F.col("weight").cast("string")).alias("value")))
+    parsed = src.parse_weights(w.select(F.concat_ws(" ", "y", "feature", F.col("weight").cast("string")).alias("value")))
+    return parsed.withColumn("weight", F.round(F.col("weight").cast("double"), 4))
 
 
 @query("SELECT line_id, buf || chr(10) AS value FROM corpus_lines")
@@ -84,14 +92,14 @@ def scan_stdin(spark, d):
 @query()
 def candidate_files(spark, d):
     """Candidates, entropies, vocabulary costs and mutual information as the lines that a discovery run leaves."""
-    from hanweave.plans.discovery import _adjacent, _vocab, mutual_information
+    from hanweave.plans.discovery import _adjacent, _vocab, information
 
     v = _vocab(spark, d)
     parts = [
         ("candidate", src.cost_lines(nw.candidates(v, lexicon(spark, d)))),
         ("entropy", src.cost_lines(nw.adjacency_entropy(_adjacent(spark, d)), "entropy", 3)),
         ("vocabulary", src.cost_lines(nw.vocabulary_costs(v))),
-        ("mutual information", src.cost_lines(mutual_information(spark, d), "value", 3)),
+        ("mutual information", src.cost_lines(information(spark, d), "value", 3)),
     ]
     return reduce(DataFrame.unionByName, [lines.select(F.lit(name).alias("part"), "line") for name, lines in parts])
 

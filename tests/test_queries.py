@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from hanweave.plans.discovery import information
 from hanweave.plans.queries import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
@@ -51,7 +52,7 @@ def test_candidate_files(spark, data):
     """The mutual information of each candidate is a line too."""
     rows = QUERIES["candidate_files"](spark, data).collect()
     lines = {r.line for r in rows if r.part == "mutual information"}
-    assert lines == {f"{r.word} {r.value:.3f}" for r in QUERIES["mutual_information"](spark, data).collect()} and lines
+    assert lines == {f"{r.word} {r.value:.3f}" for r in information(spark, data).collect()} and lines
 
 
 def test_scan_binary(spark, data):
