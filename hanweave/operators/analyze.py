@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from hanweave.functions import utf8
 from hanweave.functions.tokens import NOT_CJK, TYPE_NAMES, WORD_TYPE_OF, WORD_TYPES, split_sentences
 from hanweave.operators import decode
 from hanweave.operators.decode import ID_UNSEARCHED, Crf, Dictionary, Hmm
-from hanweave.session import map_arrow
+from hanweave.session import checkpointed, map_arrow
 
 # Methods with their segmenter and tagger.
 METHODS = {
@@ -24,8 +24,9 @@ METHODS = {
     "bigram_seg": ("bigram", None), "unigram_seg": ("unigram", None), "hmm": ("mixed", "hmm"),
 }
 NO_TAG = "NONE"
-#: Rows of a model table that may be sent to all workers.
-MODEL_ROWS = 20_000_000
+#: Rows of a model table that may be sent to all workers, some 200 bytes each, and of user words found in a corpus; of more, workers get those that occur in a text.
+MODEL_ROWS = 4_000_000
+USER_ROWS = 500_000
 
 
 class ModelError(Exception):
@@ -255,6 +256,39 @@ def segment(df: DataFrame, models: Models, method: str = "seg", id_col: str = "d
     return map_arrow(df.select(id_col, text_col), run, schema)
 
 
+def segment_with_words(df: DataFrame, dictionary: Dictionary, user: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `segment` by bigrams with any number of user words (`word`, `cost`): a worker sees those that occur in a text.
+
+    They are found by an equi-join of the texts' parts that are as long as a user word. A text's list is
+    no longer than the text has parts. User words of one character count too; a word is not repeated in `user`.
+    """
+    lengths = sorted(r[0] for r in user.where("word <> ''").select(F.length("word").alias("n")).distinct().collect())  # some dozens
+    texts = checkpointed(df.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text")))
+    n = F.length("__text")
+
+    def parts_of(k: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(F.col("__text"), i, F.lit(k)))
+        return F.when(n >= k, found).otherwise(F.array().cast("array<string>"))
+
+    parts = [parts_of(k) for k in lengths]
+    placed = texts.where("__text <> ''").select("__row", F.explode(F.array_distinct(F.concat(*parts))).alias("word")) if parts else texts.limit(0).select("__row", F.col("__text").alias("word"))
+    own = placed.join(user.select("word", "cost"), "word").groupBy("__row").agg(F.collect_list(F.struct("word", F.col("cost").cast("double").alias("cost"))).alias("__words"))
+    both = texts.join(own, "__row", "left").select(F.col("__id").alias(id_col), "__text", "__words")
+    shared = df.sparkSession.sparkContext.broadcast(dictionary)
+    schema = T.StructType([both.schema[id_col], T.StructField("words", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for text, words in zip(utf8.texts(batch.column(1), "ignore"), batch.column(2).to_pylist()):
+                models = Models(shared.value.with_words({w["word"]: w["cost"] for w in words or ()}))
+                found = words_of(models, "bigram", list(split_sentences(text or "")))
+                lists.append(None if text is None else [w[0] if w[1] == WORD_TYPES["chinese"] else NOT_CJK for s in found for w in s])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], names=schema.names)
+
+    return map_arrow(both, run, schema)
+
+
 def path_costs(df: DataFrame, models: Models, bigram: bool = True, id_col: str = "doc_id", text_col: str = "text", without_self: bool = False) -> DataFrame:
     """`id_col`, `cost` of the last sentence of each text; with `without_self` the text itself is no word. Null for null and empty texts."""
     shared = df.sparkSession.sparkContext.broadcast(models)
@@ -273,16 +307,31 @@ def path_costs(df: DataFrame, models: Models, bigram: bool = True, id_col: str =
     return map_arrow(df.select(id_col, text_col), run, schema)
 
 
-def format_lines(analyzed: DataFrame, id_col: str = "doc_id", types: bool = False, tags: bool = False) -> DataFrame:
-    """`id_col`, `line`: `word[_TYPE][/TAG]` and two blanks each; words that begin with CR, LF or a blank are left out."""
-    name = F.col("word")
-    if types:
-        name = F.concat(name, F.lit("_"), F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_NAMES.items() for x in kv]), F.col("word_type")))
-    if tags:
-        name = F.concat(name, F.lit("/"), F.col("tag"))
-    kept = F.when(~F.col("word").rlike("^[\r\n ]"), F.concat(name, F.lit("  ")))
-    parts = F.array_sort(F.collect_list(F.struct("sent_id", "pos", kept.alias("text"))))
-    return analyzed.groupBy(id_col).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("line"))
+def format_words(rows: list[tuple], types: bool = False, tags: bool = False) -> str:
+    """`word[_TYPE][/TAG]` and two blanks each of rows of `analyze_texts`; words that begin with CR, LF or a blank are left out."""
+    parts = []
+    for _, _, word, kind, _, tag in rows:
+        if word[0] not in "\r\n ":
+            parts.append(word + (f"_{TYPE_NAMES[kind]}" if types else "") + (f"/{tag}" if tags else "") + "  ")
+    return "".join(parts)
+
+
+def analyze_lines(df: DataFrame, models: Models, method: str = "hmm_crf", id_col: str = "doc_id", text_col: str = "text", types: bool = False, tags: bool = False, parity: bool = False) -> DataFrame:
+    """`id_col`, `line`: the words of each text as one line, made where the text is read, in the order of the texts; null and empty texts give none."""
+    models.need(method)
+    shared = df.sparkSession.sparkContext.broadcast(models)
+    schema = T.StructType([df.schema[id_col], T.StructField("line", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8.texts(batch.column(1), "ignore")
+            for a, b in portions(texts):
+                found = analyze_texts(shared.value, texts[a:b], method, parity)
+                kept = [k for k, rows in enumerate(found) if rows]
+                lines = pa.array([format_words(found[k], types, tags) for k in kept], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + k for k in kept], pa.int64())), lines], names=schema.names)
+
+    return map_arrow(df.select(id_col, text_col), run, schema)
 
 
 def seg(models: Models, text: str, method: str = "seg") -> list[str]:

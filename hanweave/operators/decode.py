@@ -30,6 +30,20 @@ OOV_TAGS = ("NR", "VA", "VV", "NN")
 _UNKNOWN = [(tag, 0.0) for tag in OOV_TAGS]
 
 
+class _Both:
+    """Two dictionaries or sets, the first one first."""
+
+    def __init__(self, first, second):
+        self.first, self.second = first, second
+
+    def get(self, key):
+        found = self.first.get(key)
+        return self.second.get(key) if found is None else found
+
+    def __contains__(self, key):
+        return key in self.first or key in self.second
+
+
 class Dictionary:
     """Words with ids and costs, user words merged in, and all their prefixes, so that a walk stops where no word goes on."""
 
@@ -46,6 +60,14 @@ class Dictionary:
         self.bigrams = bigrams or {}
         self.prefixes = {w[:k] for w in merged for k in range(1, len(w))}
 
+    def with_words(self, user: dict[str, float]) -> Dictionary:
+        """This dictionary with user words besides, which are looked up first; nothing of this one is copied."""
+        out = Dictionary.__new__(Dictionary)
+        own = Dictionary({w: self.words[w] for w in user if w in self.words}, user)
+        out.words, out.prefixes = _Both(own.words, self.words), _Both(own.prefixes, self.prefixes)
+        out.unigrams, out.bigrams = self.unigrams, self.bigrams
+        return out
+
     def beams(self, tokens: list[str], bigram: bool, disabled: str | None = None) -> list[list[tuple]]:
         """The cheapest nodes of each place, the best first: (cost of the path, begin, term id, node before)."""
         n, words, prefixes, width = len(tokens), self.words, self.prefixes, BEAM if bigram else 1

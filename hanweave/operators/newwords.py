@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hanweave.functions.tokens import NOT_CJK, split_tokens
 from hanweave.operators import models as md
-from hanweave.operators.analyze import Models, load_dictionary, segment
+from hanweave.operators.analyze import USER_ROWS, Models, load_dictionary, segment, segment_with_words
 from hanweave.operators.decode import Dictionary
 from hanweave.operators.dictionary import rank_rows
 from hanweave.session import checkpointed, map_arrow
@@ -74,14 +74,19 @@ def adjacency_entropy(counts: DataFrame) -> DataFrame:
     return sides.select("word", F.least(entropy("left"), entropy("right")).alias("entropy"))
 
 
-def bigram_analyze(df: DataFrame, found: DataFrame, dictionary: DataFrame, bigrams: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def bigram_analyze(df: DataFrame, found: DataFrame, dictionary: DataFrame, bigrams: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = USER_ROWS) -> tuple[DataFrame, DataFrame]:
     """The second pass, by bigrams with the candidates `found` (`word`, `cost`) as user words: its vocabulary, and `word`, `entropy` of every candidate.
 
     Neighbours that are neither candidates nor in the dictionary are one; a candidate never seen has 0.
-    `found` should be checkpointed: it is used several times.
+    `found` should be checkpointed: it is used several times. Up to USER_ROWS candidates are sent to all
+    workers, of more each text gets those that occur in it.
     """
     own = found.select("word", F.round("cost", 5).cast("float").alias("cost"))
-    second = checkpointed(segment(df, Models(load_dictionary(dictionary, bigrams, own)), "bigram_seg", id_col, text_col))
+    if own.count() <= most:
+        second = segment(df, Models(load_dictionary(dictionary, bigrams, own)), "bigram_seg", id_col, text_col)
+    else:
+        second = segment_with_words(df, load_dictionary(dictionary, bigrams), own, id_col, text_col)
+    second = checkpointed(second)
     vocab = checkpointed(vocabulary(second.select(F.explode("words").alias("word"))))
     rows = neighbours(second).join(found.select("word"), "word", "left_semi")
     ids = rows.select("side", F.col("word").alias("__word"), F.col("neighbour").alias("word"))
@@ -137,7 +142,8 @@ def vocabulary_costs(vocab: DataFrame) -> DataFrame:
 def trimmed(values: DataFrame, value: str, ratio: float = REMOVE_RATIO, parity: bool = False) -> DataFrame:
     """The list without its lowest part, scaled by its maximum (cut to a whole number with `parity`); a maximum of 0 leaves nothing to scale."""
     ranked = rank_rows(values, F.col(value).desc(), F.col("word"))
-    n, top = values.agg(F.count("*")).scalar(), values.agg(F.max(value)).scalar()
+    n, top = ranked.agg(F.count("*"), F.max(value)).first()  # of the written ranks
+    top = F.lit(top).cast("double")
     top = F.nullif(F.floor(top).cast("double") if parity else top, F.lit(0.0))
     kept = ranked.where(F.col("rank") <= n - F.floor(n * F.lit(ratio)))
     return kept.select("word", (F.col(value) / top).alias(value))

@@ -16,8 +16,24 @@ from hanweave.plans.queries import query
 from hanweave.session import checkpointed, map_arrow, table, wide_table
 
 
+#: Models that a session has trained, by folder and method; a few at most.
+_TRAINED: dict[tuple, an.Models] = {}
+MOST_TRAINED = 8
+
+
 def trained_models(spark, d, method="seg", user=None):
-    """Models trained from the tables, as far as the method needs them."""
+    """Models trained from the tables, as far as the method needs them: once a session for each folder and method, unless there are user words."""
+    if user is not None:
+        return train_models(spark, d, method, user)
+    key = (spark.sparkContext.applicationId, d, method)
+    if key not in _TRAINED:
+        while len(_TRAINED) >= MOST_TRAINED:
+            _TRAINED.pop(next(iter(_TRAINED)))
+        _TRAINED[key] = train_models(spark, d, method)
+    return _TRAINED[key]
+
+
+def train_models(spark, d, method="seg", user=None):
     segmenter, tagger = an.METHODS[method]
     words = lexicon(spark, d)
     models = an.Models(an.load_dictionary(words, bigram_costs(spark, d), user))
@@ -107,8 +123,8 @@ _TYPES = " ".join(f"WHEN {k} THEN '{n}'" for k, n in tk.TYPE_NAMES.items())
 )
 def sink_segmented(spark, d):
     """Lines of words with types and tags, as the command line prints them."""
-    found = an.analyze(wide_table(spark, d, "corpus_lines", "line_id", "buf"), trained_models(spark, d, "hmm_crf"), "hmm_crf", "line_id", "buf")
-    return an.format_lines(found, "line_id", types=True, tags=True)
+    lines = wide_table(spark, d, "corpus_lines", "line_id", "buf")
+    return an.analyze_lines(lines, trained_models(spark, d, "hmm_crf"), "hmm_crf", "line_id", "buf", types=True, tags=True)
 
 
 @query(

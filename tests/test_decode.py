@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hanweave.functions import tokens as tk
 from hanweave.functions.tokens import split_sentences, split_tokens, type_of
 from hanweave.operators import decode
-from hanweave.operators.analyze import Models, analyze, analyze_text, bounded_rows, format_lines, load_dictionary, path_costs, seg, segment, words_of
+from hanweave.operators.analyze import Models, analyze, analyze_text, analyze_lines, bounded_rows, load_dictionary, path_costs, seg, segment, words_of
 from hanweave.operators.decode import OOV_COST, UNSEEN_TRANSITION, Crf, Dictionary, Hmm
 
 
@@ -183,8 +183,15 @@ def test_dataframes(spark):
     assert lists.count(None) == 1 and [] in lists and ["例子", "-NOT-CJK-"] in lists
     costs = {r.doc_id: r.cost for r in path_costs(df.where("doc_id > 1 OR text = '的'"), m).collect()}
     assert costs == {2: None, 3: None, None: 1.0}
-    lines = {r.doc_id: r.line for r in format_lines(analyze(df.where("text LIKE '张%'"), m, "seg"), types=True, tags=True).collect()}
+    lines = {r.doc_id: r.line for r in analyze_lines(df.where("text LIKE '张%' OR text IS NULL OR text = ''"), m, "seg", types=True, tags=True).collect()}
     assert lines == {1: "张三丰_ZH/NONE  说_ZH/NONE  这个_ZH/NONE  。_PU/NONE  的_ZH/NONE  "}
+    one = 7  # a method of one's own, whose functions come from here
+    m.add_method("chars", lambda tokens, types: [(k, k + 1) for k in range(len(tokens))], lambda words: [f"T{len(w) + one}" for w, _, _ in words])
+    m.add_method("bigrams", "bigram")
+    assert [(r.word, r.tag) for r in analyze(df.where("text = '例子\n'"), m, "chars").orderBy("pos").collect()] == [("例", "T8"), ("子", "T8"), ("\n", "T8")]
+    assert analyze(df, m, "bigrams").count() == analyze(df, m, "bigram_seg").count()
+    with pytest.raises(NotImplementedError):
+        analyze(df, m, "none")
     with pytest.raises(Exception, match="more than"):
         bounded_rows(spark.range(3), 2)
     assert len(load_dictionary(spark.range(3).selectExpr("cast(id as string) word", "int(id) term_id", "1.0 cost")).words) == 3

@@ -256,10 +256,33 @@ def test_model_folder_and_command_line(spark, data, tmp_path):
     assert "新词组_ZH  在_ZH" in out
     main(["vocab", str(tmp_path / "model"), str(tmp_path / "corpus.txt"), str(tmp_path / "vocab"), "-m", "bigram_seg"], spark)
     assert "-NOT-CJK- " in "".join(p.read_text() for p in (tmp_path / "vocab").glob("part*"))
+    with pytest.raises(SystemExit):
+        main(["vocab", str(tmp_path / "model"), str(tmp_path / "corpus.txt"), str(tmp_path / "v2"), "-m", "hmm_crf"], spark)
+    with pytest.raises(SystemExit):
+        main(["segment", str(tmp_path / "model")], spark)
     main(["discover", str(tmp_path / "model"), str(tmp_path / "corpus.txt"), str(tmp_path / "found")], spark)
     assert (tmp_path / "found" / "_SUCCESS").exists()
 
 
+def test_commands_that_make_models(spark, tmp_path, monkeypatch, capsys):
+    files = {"u": '新词 6\n组 3\n"好的 1\n', "b": "新词 组 2\n组 新词 x\n", "d": "组 2\n", "t": "NN 1\nBOS 2\nPU 1\nCD 1\nVV 1\nVA 1\nAD 1\nNR 1\n", "tr": "BOS BOS NN 0.5\n", "e": "NN 新词 1.5\nNN 外 2\n", "w": "T B:张 1\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    model, at = str(tmp_path / "model"), lambda n: str(tmp_path / n)
+    main(["gram", model, at("u"), at("b")], spark)
+    assert "quoting" in capsys.readouterr().err
+    for args in (["dict", model, at("d")], ["hmm", model, at("t"), at("tr"), at("e")], ["maxent", model, at("w")]):
+        main(args, spark)
+    tables = api.ModelTables.load(spark, model)
+    assert [(r.word, r.term_id, round(r.cost, 4)) for r in tables.dictionary.orderBy("term_id").collect()] == [("新词", 1, 0.4055), ("组", 2, 1.0986)]
+    assert [tuple(r) for r in tables.bigrams.collect()] == [(1, 2, 0.0)]
+    assert [tuple(r) for r in tables.properties.collect()] == [("组", 2)] and [tuple(r) for r in tables.emissions.collect()] == [("NN", 1, 1.5)]
+    assert tables.transitions.count() == 1 and tables.names.count() == 1
+    monkeypatch.setattr("sys.stdin", ["新词组好\n", "\n"])
+    main(["segment", model, "-i", "-m", "bigram_seg", "-t"], spark)
+    assert capsys.readouterr().out.split("\n")[:2] == ["新词_ZH  组_ZH  好_ZH  ", ""]
+
+
 def test_random_text_through_all_methods(spark, data):
     tables = api.train(spark.read.parquet(f"{data}/terms.parquet"), spark.read.parquet(f"{data}/lexicon.parquet"))
     rng = np.random.default_rng(3)
@@ -268,3 +291,17 @@ def test_random_text_through_all_methods(spark, data):
         for _ in range(5):
             text = "".join(chr(c) for c in rng.choice([0x4E00, 0x7684, 0x4E2D, 0x20, 0x61, 0x31, 0x0A, 0x3002, 0xFF0C, 0x1F600, 0xE9], 300))
             assert "".join(r[2] for r in an.analyze_text(m, text, method)) == text
+
+
+def test_second_pass_with_any_number_of_candidates(spark, data):
+    """Candidates sent to all workers, or joined to the texts they occur in."""
+    read = lambda t: spark.read.parquet(f"{data}/{t}.parquet")
+    lines = read("corpus_lines").select("line_id", "buf")
+    words = read("lexicon").select("word", "term_id", F.coalesce("cost", F.lit(16.0)).alias("cost"))
+    bigrams = spark.createDataFrame([(1, 2, 3.0)], "left_id int, right_id int, cost float")
+    found = spark.createDataFrame([("的人", 4.0), ("了一", 5.0), ("在这里", 3.0), ("房东", 2.0), ("水", 1.0), ("没有的词", 1.0)], "word string, cost double")
+    results = [nw.bigram_analyze(lines, found, words, bigrams, "line_id", "buf", most=m) for m in (100, 0)]
+    for a, b in zip(*results):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count()
+    empty = nw.bigram_analyze(lines.limit(0), found, words, bigrams, "line_id", "buf", most=0)
+    assert empty[0].count() == 0 and {r.entropy for r in empty[1].collect()} == {0.0}
