@@ -16,6 +16,8 @@ from hanweave.session import checkpointed, map_arrow
 # Where ids of system words begin, the one id of all other words, part dropped from each list, weight of the entropy.
 SYSTEM_ID_START, OTHER_ID = 0x20000000, 0x30000000
 REMOVE_RATIO, ALPHA = 0.1, 0.6
+#: Decimals of the values that words are ranked by, so that what is equal ranks equal in whatever order it was summed up.
+DECIMALS = 9
 
 
 def vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
@@ -92,7 +94,7 @@ def bigram_analyze(df: DataFrame, found: DataFrame, dictionary: DataFrame, bigra
     ids = rows.select("side", F.col("word").alias("__word"), F.col("neighbour").alias("word"))
     names = found.select("word").unionByName(dictionary.select("word")).distinct().withColumn("__known", F.lit(True))
     merged = ids.join(names, "word", "left").select(F.col("__word").alias("word"), "side", F.when(F.col("__known"), F.col("word")).otherwise(NOT_CJK).alias("neighbour"))
-    entropy = adjacency_entropy(adjacency_counts(merged))
+    entropy = adjacency_entropy(adjacency_counts(merged)).withColumn("entropy", F.round("entropy", DECIMALS))
     return vocab, found.select("word").join(entropy, "word", "left").na.fill(0.0, ["entropy"])
 
 
@@ -130,7 +132,7 @@ def mutual_information(vocab: DataFrame, candidate_words: DataFrame, dictionary:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(costs, pa.float64())], names=["word", "cost"])
 
     costs = map_arrow(lists, run, "word string, cost double")
-    return costs.join(own, "word").select("word", (F.col("cost") + F.log(F.col("count") / total)).alias("value"))
+    return costs.join(own, "word").select("word", F.round(F.col("cost") + F.log(F.col("count") / total), DECIMALS).alias("value"))
 
 
 def vocabulary_costs(vocab: DataFrame) -> DataFrame:

@@ -24,25 +24,25 @@ def sentences(table: str, key: str, text: str) -> str:
     s AS MATERIALIZED (SELECT row_number() OVER () AS sid, toks, list_transform(toks, lambda x: {tk.type_sql('x')}) AS types FROM (SELECT DISTINCT toks FROM d))"""
 
 
-def lattice(words: str, bigram: bool) -> str:
+def lattice(words: str, bigram: bool, p: str = "", where: str = "") -> str:
     """`e`: every dictionary word of each sentence; `x`: of each sentence the list, by place, of the words that end there; `m`: its beams.
 
-    A node is its cost, where its word begins, the word's id, and its predecessor's number in the beam there.
+    The names end in `p`, as that of the sentences; `where`: which words count, by the sentence's `whole`. A node is its cost, where its word begins, the word's id, and its predecessor's number in the beam there.
     """
     gain = "coalesce(list_filter(w.ds, lambda y: y.l = n.t)[1].d, w.c)" if bigram else "w.c"
     best = f"list_min(list_transform(acc[w.b + 1], lambda n, i: {{'v': n.c + {gain}, 'i': i}}))"
     step = f"list_sort(list_transform(ws, lambda w: list_transform([{best}], lambda r: {{'c': r.v, 'b': w.b, 't': w.t, 'p': r.i}})[1]))[1:{decode.BEAM if bigram else 1}]"
     unknown = f"[{{'c': acc[-1][1].c + {decode.OOV_COST}::DOUBLE, 'b': len(acc) - 1, 't': 0, 'p': 1::BIGINT}}]"
-    deltas = f"""q AS (SELECT r.sid, r.b, r.e, list({{'l': l.t, 'd': g.c - u.c}}) AS ds FROM e r JOIN e l ON l.sid = r.sid AND l.e = r.b
+    deltas = f"""q{p} AS (SELECT r.sid, r.b, r.e, list({{'l': l.t, 'd': g.c - u.c}}) AS ds FROM e{p} r JOIN e{p} l ON l.sid = r.sid AND l.e = r.b
       JOIN {_PAIRS} g ON g.l = l.t AND g.r = r.t JOIN {_SYSTEM} u ON u.t = l.t GROUP BY ALL),""" if bigram else ""
-    ends = "e LEFT JOIN q USING (sid, b, e)" if bigram else "e"
+    ends = f"e{p} LEFT JOIN q{p} USING (sid, b, e)" if bigram else f"e{p}"
     word = "{'b': b, 't': t, 'c': c, 'ds': ds}" if bigram else "{'b': b, 't': t, 'c': c}"
-    return f"""e AS MATERIALIZED (SELECT sid, b, b + n AS e, t, c FROM (SELECT sid, b, n, array_to_string(toks[b + 1 : b + n], '') AS word
-      FROM s, unnest(range(0, len(toks))) AS u(b), unnest(range(1, least(len(toks) - b, (SELECT max(length(word)) FROM {words})) + 1)) AS v(n)) JOIN {words} USING (word)),
-    {deltas} x AS MATERIALIZED (SELECT sid, list(coalesce(ws, []) ORDER BY k) AS ws FROM (SELECT sid, k FROM s, unnest(range(1, len(toks) + 1)) AS u(k))
+    return f"""e{p} AS MATERIALIZED (SELECT sid, b, b + n AS e, t, c FROM (SELECT sid, {'whole, ' if where else ''}b, n, array_to_string(toks[b + 1 : b + n], '') AS word
+      FROM s{p}, unnest(range(0, len(toks))) AS u(b), unnest(range(1, least(len(toks) - b, (SELECT max(length(word)) FROM {words})) + 1)) AS v(n)) JOIN {words} USING (word) {where}),
+    {deltas} x{p} AS MATERIALIZED (SELECT sid, list(coalesce(ws, []) ORDER BY k) AS ws FROM (SELECT sid, k FROM s{p}, unnest(range(1, len(toks) + 1)) AS u(k))
       LEFT JOIN (SELECT sid, e AS k, list({word}) AS ws FROM {ends} GROUP BY ALL) USING (sid, k) GROUP BY sid),
-    m AS MATERIALIZED (SELECT sid, list_reduce(ws, lambda acc, ws: list_append(acc, CASE WHEN len(ws) = 0 THEN {unknown} ELSE {step} END),
-      [[{{'c': 0::DOUBLE, 'b': 0::BIGINT, 't': 0, 'p': 0::BIGINT}}]]) AS beams FROM x)"""
+    m{p} AS MATERIALIZED (SELECT sid, list_reduce(ws, lambda acc, ws: list_append(acc, CASE WHEN len(ws) = 0 THEN {unknown} ELSE {step} END),
+      [[{{'c': 0::DOUBLE, 'b': 0::BIGINT, 't': 0, 'p': 0::BIGINT}}]]) AS beams FROM x{p})"""
 
 
 def words_of_lattice(name: str = "w") -> str:

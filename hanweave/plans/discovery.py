@@ -129,14 +129,32 @@ def line_neighbours(spark, d):
     return nw.adjacency_counts(nw.neighbours(lines))
 
 
-@query()
+def _discovery_sql(names: bool) -> str:
+    """Both passes over the corpus lines: `k1` the first vocabulary, `f` the candidates, `k2` the second vocabulary, `en` their entropies."""
+    unnamed = "SELECT word FROM k1 WHERE length(word) >= 2"
+    no_name = f"AND word IN (SELECT word FROM ({_NAMES.replace('SELECT DISTINCT word FROM terms WHERE length(word) >= 2', unnamed)}) WHERE y = 'F')" if names else ""
+    limit = "(floor(atan(1e-7 * (SELECT sum(n) FROM k1)) * 50) + 2)"
+    counted = lambda name, words: f"{name} AS MATERIALIZED (SELECT {ds.marked('word', 'word_type')} AS word, count(*) AS n FROM ({ds.analyzed('line_id', words)}) GROUP BY ALL)"
+    found = f"""f AS MATERIALIZED (SELECT word, (-ln(n::FLOAT::DOUBLE / (SELECT sum(n) FROM k1)))::FLOAT AS cost FROM k1
+      WHERE n > {limit} AND length(word) >= 2 AND word <> '{NOT_CJK}' AND word NOT IN (SELECT word FROM lexicon) {no_name}),
+    dw AS MATERIALIZED (FROM {ds._SYSTEM} UNION ALL SELECT word, {decode.USER_ID_START}, round(cost, 5)::FLOAT::DOUBLE FROM f)"""
+    sides = f"""o AS (SELECT word, lag(word) OVER z AS l, lead(word) OVER z AS r FROM (SELECT line_id, sent_id, pos, {ds.marked('word', 'word_type')} AS word FROM ({ds.analyzed('line_id', 'w2')})) WINDOW z AS (PARTITION BY line_id ORDER BY sent_id, pos)),
+    nb AS (SELECT word, side, CASE WHEN neighbour IN (SELECT word FROM dw) THEN neighbour ELSE '{NOT_CJK}' END AS neighbour, count(*) AS n FROM (SELECT word, 'l' AS side, l AS neighbour FROM o UNION ALL SELECT word, 'r', r FROM o)
+      WHERE neighbour IS NOT NULL AND word IN (SELECT word FROM f) GROUP BY ALL),
+    en AS MATERIALIZED (SELECT word, round(coalesce(h, 0), {nw.DECIMALS}) + 0.0 AS entropy FROM f LEFT JOIN (SELECT word, least(coalesce(max(h) FILTER (side = 'l'), 0), coalesce(max(h) FILTER (side = 'r'), 0)) AS h
+      FROM (SELECT word, side, -sum(n / t * ln(n / t)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY word, side) AS t FROM nb) GROUP BY ALL) GROUP BY word) USING (word))"""
+    lines = ds.sentences("corpus_lines", "line_id", "buf")
+    return ds.parts(lines, ds.crf_words(), counted("k1", "w"), found, ds.lattice("dw", True), ds.words_of_lattice("w2"), counted("k2", "w2"), sides)
+
+
+@query(_discovery_sql(False) + ' SELECT word, coalesce(n, 0) AS "count", round(entropy, 6) AS entropy FROM k2 FULL JOIN en USING (word)')
 def bigram_analyze(spark, d):
     """Corpus lines segmented with candidates as user words: every word with its count, candidates (also those not found again, count 0) with the entropy of their neighbours."""
     df = wide_table(spark, d, "corpus_lines", "line_id", "buf")
     first = an.segment(df, trained_models(spark, d, "crf_seg"), "crf_seg", "line_id", "buf")
     found = checkpointed(nw.candidates(checkpointed(nw.vocabulary(first.select(F.explode("words").alias("word")))), lexicon(spark, d)))
     words, entropy = nw.bigram_analyze(df, found, lexicon(spark, d), bigram_costs(spark, d), "line_id", "buf")
-    return words.join(entropy, "word", "full").na.fill(0, ["count"])
+    return words.join(entropy, "word", "full").na.fill(0, ["count"]).withColumn("entropy", F.round("entropy", 6))
 
 
 def _information_sql() -> str:
@@ -145,8 +163,7 @@ def _information_sql() -> str:
     own = f"""own AS MATERIALIZED (SELECT word, coalesce(l.t, {decode.USER_ID_START}) AS t, CASE WHEN l.word IS NULL THEN u.c WHEN u.word IS NULL OR u.c = {decode.DEFAULT_COST} THEN l.c ELSE u.c END AS c
       FROM {ds._SYSTEM} l FULL JOIN (SELECT word, round(-ln(n / (SELECT sum(n) FROM v)), 5)::FLOAT::DOUBLE AS c FROM v) u USING (word))"""
     s = f"s AS MATERIALIZED (SELECT row_number() OVER () AS sid, word AS whole, n AS times, {tk.tokens_sql('word')} AS toks FROM ({found}))"
-    lattice = ds.lattice("own", True).replace("(SELECT sid, b, n, array_to_string", "(SELECT sid, whole, b, n, array_to_string").replace("JOIN own USING (word))", "JOIN own USING (word) WHERE word <> whole)")
-    return f"WITH {_VOCAB}, {own}, {s}, {lattice} SELECT whole AS word, round(beams[-1][1].c + ln(times / (SELECT sum(n) FROM v)), 4) AS value FROM s JOIN m USING (sid)"
+    return f"WITH {_VOCAB}, {own}, {s}, {ds.lattice('own', True, where='WHERE word <> whole')} SELECT whole AS word, round(beams[-1][1].c + ln(times / (SELECT sum(n) FROM v)), 4) AS value FROM s JOIN m USING (sid)"
 
 
 def information(spark, d):
@@ -180,14 +197,28 @@ def final_rank(spark, d):
     return nw.final_rank(adjacency_entropy(spark, d), _split_gain(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@query()
+def _new_words_sql() -> str:
+    own = f"""own AS MATERIALIZED (SELECT word, coalesce(l.t, {decode.USER_ID_START}) AS t, CASE WHEN l.word IS NULL THEN u.c WHEN u.word IS NULL OR u.c = {decode.DEFAULT_COST} THEN l.c ELSE u.c END AS c
+      FROM {ds._SYSTEM} l FULL JOIN (SELECT word, round(-ln(n / (SELECT sum(n) FROM k2)), 5)::FLOAT::DOUBLE AS c FROM k2) u USING (word)),
+    s3 AS MATERIALIZED (SELECT row_number() OVER () AS sid, word AS whole, n AS times, {tk.tokens_sql('word')} AS toks FROM k2 WHERE word IN (SELECT word FROM f))"""
+    kept = lambda value, of: f"SELECT word, {value} / nullif(max({value}) OVER (), 0) AS {value} FROM {of} QUALIFY row_number() OVER (ORDER BY {value} DESC, encode(word)) <= count(*) OVER () - floor(count(*) OVER () * {nw.REMOVE_RATIO})"
+    mi = f"mi AS MATERIALIZED (SELECT whole AS word, round(beams[-1][1].c + ln(times / (SELECT sum(n) FROM k2)), {nw.DECIMALS}) AS value FROM s3 JOIN m3 USING (sid))"
+    ranks = f"ra AS ({kept('entropy', 'en')}), rb AS ({kept('value', 'mi')})"
+    return f"{_discovery_sql(True)}, {own}, {ds.lattice('own', True, '3', 'WHERE word <> whole')}, {mi}, {ranks} SELECT word, {nw.ALPHA} * entropy + {1 - nw.ALPHA} * value AS value FROM ra JOIN rb USING (word)"
+
+
+@query(f"SELECT word, round(value, 6) AS value FROM ({_new_words_sql()})")
 def new_words(spark, d):
     """The whole pipeline over the corpus lines."""
+    return _new_words(spark, d).withColumn("value", F.round("value", 6))
+
+
+def _new_words(spark, d):
     models = trained_models(spark, d, "crf_seg")
     return nw.new_words(wide_table(spark, d, "corpus_lines", "line_id", "buf"), models, lexicon(spark, d), bigram_costs(spark, d), md.name_weights(places(spark, d)), id_col="line_id", text_col="buf")
 
 
-@query()
+@query(f"SELECT word || ' ' || printf('%.3f', value) AS line FROM ({_new_words_sql()})")
 def sink_new_words(spark, d):
     """The found words as lines with three decimals."""
-    return new_words(spark, d).select(F.format_string("%s %.3f", "word", "value").alias("line"))
+    return _new_words(spark, d).select(F.format_string("%s %.3f", "word", "value").alias("line"))
