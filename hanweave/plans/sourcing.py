@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from hanweave.api import ModelTables
 from hanweave.functions import tokens as tk
+from hanweave.operators import decode
 from hanweave.operators import newwords as nw
 from hanweave.operators.dictionary import prefix_states
+from hanweave.plans import decoder_sql as ds
 from hanweave.plans.dictionaries import lexicon, places
 from hanweave.operators import models as md
 from hanweave.plans.queries import ORACLES, query
 from hanweave.session import shared_folder, table
+from hanweave.sources import crf_binary
 from hanweave.sources import text as src
 from hanweave.streaming import stream as st
 
@@ -61,6 +64,18 @@ def scan_hmm_text(spark, d):
     return both.withColumn("cost", F.round(F.col("cost").cast("double"), 4))
 
 
+@query(
+    ds.parts(ds.segment_weights(), f"t AS (SELECT unnest({list(decode.SEGMENT_TAGS)}) AS tag, unnest(range(1, 7)) AS k)")
+    + f"""SELECT feature, NULL::VARCHAR AS left_tag, tag, round(v[k], 4) AS weight FROM fv, t
+    UNION ALL SELECT 'B', l.tag, r.tag, {ds._MOVES}[r.k][l.k]::DOUBLE FROM t l, t r"""
+)
+def scan_crf(spark, d):
+    """The segmenting CRF written as a binary model file and read again."""
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}.crf"
+    crf_binary.write_crf(spark, path, list(decode.SEGMENT_TAGS), md.SEGMENT_TEMPLATES, md.segment_features(lexicon(spark, d)))
+    return crf_binary.read_crf(spark, path).table(spark).withColumn("weight", F.round("weight", 4))
+
+
 @query(ORACLES["maxent"])
 def scan_maxent_text(spark, d):
     """Classifier weights written as lines and parsed again."""

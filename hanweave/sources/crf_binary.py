@@ -1,4 +1,4 @@
-"""Reader of binary CRF model files (version 100) into the tables that the engine uses."""
+"""Reader and writer of binary CRF model files (version 100), as tables that the engine uses."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from hanweave.operators.analyze import bounded_rows
+
 VERSION = 100
 
 
@@ -59,6 +61,62 @@ def trie_items(raw: bytes) -> dict[bytes, int]:
     return out
 
 
+def trie_units(items: dict[bytes, int]) -> bytes:
+    """The double-array trie of some keys, none empty and without zero bytes, as `trie_items` reads it."""
+    base, check, bases, free = {0: 0}, {0: 0}, set(), 1
+    waiting = [(0, sorted(items.items()), 0)]  # a unit, its keys and how much of them is spelled there
+    while waiting:
+        unit, keys, depth = waiting.pop()
+        groups: dict[int, list] = {}
+        for key in keys:
+            groups.setdefault(key[0][depth] + 1 if len(key[0]) > depth else 0, []).append(key)
+        least = min(groups)
+        while free in check:
+            free += 1
+        at = max(1, free - least)
+        while at in bases or any(at + step in check for step in groups):
+            at += 1
+        bases.add(at)
+        base[unit] = at
+        for step, group in groups.items():
+            check[at + step] = at
+            if step:
+                waiting.append((at + step, group, depth + 1))
+            else:
+                base[at] = -1 - group[0][1]
+    units = np.zeros(max(check) + 1, dtype=[("base", "<i4"), ("check", "<u4")])
+    for p, c in check.items():
+        units[p] = (base[p], c)
+    return units.tobytes()
+
+
+def crf_bytes(tags: list[str], templates: list[str], rows: list[tuple[str, str | None, str, float]]) -> bytes:
+    """The model file of rows (feature, left_tag, tag, weight); weights not given are 0. Its size is the model's."""
+    n, at = len(tags), {t: k for k, t in enumerate(tags)}
+    first, size = {}, 0
+    for name in sorted({r[0] for r in rows}):
+        first[name] = size
+        size += n * n if name[0] == "B" else n
+    weights = np.zeros(size, dtype="<f4")
+    for name, left, tag, weight in rows:
+        weights[first[name] + (at[tag] if left is None else at[left] * n + at[tag])] = weight
+    units = trie_units({k.encode(): v for k, v in first.items()}) if first else b""
+    texts = [b"".join(t.encode() + b"\0" for t in part) for part in (tags, templates)]
+    head = struct.pack("<iidiii", VERSION, 0, 1.0, size, 1, len(units))
+    return head + b"".join(struct.pack("<i", len(t)) + t for t in texts) + units + weights.tobytes()
+
+
+def write_crf(spark: SparkSession, path: str, tags: list[str], templates: list[str], features: DataFrame) -> None:
+    """A table (feature, left_tag, tag, weight) as one model file, on any file system that Spark writes."""
+    rows = [tuple(r) for r in bounded_rows(features.select("feature", "left_tag", "tag", "weight"))]
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        out.write(crf_bytes(tags, templates, rows))
+    finally:
+        out.close()
+
+
 def parse_crf(raw: bytes) -> CrfFile:
     """Raises ValueError if the bytes are no whole model of the known version."""
     try:

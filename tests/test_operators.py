@@ -151,6 +151,11 @@ def test_crf_file(spark, tmp_path):
     assert rows["U0:文", None, "E"] == 3.0 and rows["B", "E", "S"] == 6.0 and len(rows) == 10
     crf = an.load_crf(tags, templates, model.table(spark))
     assert crf.scores([("中",)], 0) == [0.0, 1.0]
+    again = crf_binary.parse_crf(crf_binary.crf_bytes(tags, templates, list(model.rows())))
+    assert set(again.rows()) == set(model.rows()) and (again.tags, again.templates) == (tags, templates)
+    rng = random.Random(7)
+    keys = {bytes(rng.randrange(1, 256) for _ in range(rng.randint(1, 5))): k for k in range(3000)}
+    assert crf_binary.trie_items(crf_binary.trie_units(keys)) == keys
     for bad in (raw + b"x", raw[:20], b"\x01" + raw[1:]):
         with pytest.raises(ValueError):
             crf_binary.parse_crf(bad)
