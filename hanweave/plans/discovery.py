@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanweave.functions import tokens as tk
@@ -15,6 +18,7 @@ from hanweave.plans.decoding import trained_models
 from hanweave.plans.dictionaries import bigram_costs, lexicon, places, unigram_costs
 from hanweave.plans.queries import ORACLES, query
 from hanweave.session import checkpointed, table, wide_table
+from hanweave.sources import text as src
 
 _WORDS = f"(SELECT doc_id, pos, CASE WHEN word_type = 0 THEN word ELSE '{NOT_CJK}' END AS word FROM terms WHERE word <> '')"
 _VOCAB = f"v AS (SELECT word, count(*) AS n FROM {_WORDS} GROUP BY word)"
@@ -163,7 +167,7 @@ def _information_sql() -> str:
     own = f"""own AS MATERIALIZED (SELECT word, coalesce(l.t, {decode.USER_ID_START}) AS t, CASE WHEN l.word IS NULL THEN u.c WHEN u.word IS NULL OR u.c = {decode.DEFAULT_COST} THEN l.c ELSE u.c END AS c
       FROM {ds._SYSTEM} l FULL JOIN (SELECT word, round(-ln(n / (SELECT sum(n) FROM v)), 5)::FLOAT::DOUBLE AS c FROM v) u USING (word))"""
     s = f"s AS MATERIALIZED (SELECT row_number() OVER () AS sid, word AS whole, n AS times, {tk.tokens_sql('word')} AS toks FROM ({found}))"
-    return f"WITH {_VOCAB}, {own}, {s}, {ds.lattice('own', True, where='WHERE word <> whole')} SELECT whole AS word, round(beams[-1][1].c + ln(times / (SELECT sum(n) FROM v)), 4) AS value FROM s JOIN m USING (sid)"
+    return f"WITH {_VOCAB}, {own}, {s}, {ds.lattice('own', True, where='WHERE word <> whole')} SELECT whole AS word, round(beams[-1][1].c + ln(times / (SELECT sum(n) FROM v)), {nw.DECIMALS}) AS value FROM s JOIN m USING (sid)"
 
 
 def information(spark, d):
@@ -171,7 +175,7 @@ def information(spark, d):
     return nw.mutual_information(vocab_, nw.candidates(vocab_, lexicon(spark, d)), lexicon(spark, d), bigram_costs(spark, d))
 
 
-@query(_information_sql())
+@query(f"SELECT word, round(value, 4) AS value FROM ({_information_sql()})")
 def mutual_information(spark, d):
     """Mutual information of the candidates in the vocabulary of analyzed words."""
     return information(spark, d).withColumn("value", F.round("value", 4))
@@ -222,3 +226,24 @@ def _new_words(spark, d):
 def sink_new_words(spark, d):
     """The found words as lines with three decimals."""
     return _new_words(spark, d).select(F.format_string("%s %.3f", "word", "value").alias("line"))
+
+
+def _files_sql() -> str:
+    line = lambda part, value, decimals, source: f"SELECT '{part}' AS part, word || ' ' || printf('%.{decimals}f', ({value})::DOUBLE) AS line FROM ({source})"
+    found = f"WITH {_VOCAB} SELECT word, (-ln(n::FLOAT::DOUBLE / (SELECT sum(n) FROM v)))::FLOAT AS cost FROM v WHERE n > {_LIMIT} AND length(word) >= 2 AND word <> '{NOT_CJK}' AND word NOT IN (SELECT word FROM lexicon)"
+    costs = f"WITH {_VOCAB} SELECT word, round(-ln(n / (SELECT sum(n) FROM v)), 5)::FLOAT AS cost FROM v"
+    parts = [line("candidate", "cost", 5, found), line("entropy", "entropy + 0.0", 3, f"WITH {_ENTROPY} SELECT word, entropy FROM e"), line("vocabulary", "cost", 5, costs), line("mutual information", "value", 3, _information_sql())]
+    return " UNION ALL ".join(parts)
+
+
+@query(_files_sql())
+def candidate_files(spark, d):
+    """Candidates, entropies, vocabulary costs and mutual information as the lines that a discovery run leaves."""
+    v = _vocab(spark, d)
+    parts = [
+        ("candidate", src.cost_lines(nw.candidates(v, lexicon(spark, d)))),
+        ("entropy", src.cost_lines(nw.adjacency_entropy(_adjacent(spark, d)), "entropy", 3)),
+        ("vocabulary", src.cost_lines(nw.vocabulary_costs(v))),
+        ("mutual information", src.cost_lines(information(spark, d), "value", 3)),
+    ]
+    return reduce(DataFrame.unionByName, [lines.select(F.lit(name).alias("part"), "line") for name, lines in parts])
