@@ -10,12 +10,13 @@ from hanweave.api import ModelTables
 from hanweave.functions import tokens as tk
 from hanweave.operators import decode
 from hanweave.operators import models as md
+from hanweave.operators.analyze import bounded_rows
 from hanweave.operators.dictionary import prefix_states
 from hanweave.plans import decoder_sql as ds
 from hanweave.plans.dictionaries import lexicon, places
 from hanweave.plans.queries import ORACLES, query
 from hanweave.session import shared_folder, table
-from hanweave.sources import crf_binary
+from hanweave.sources import binary_models, crf_binary
 from hanweave.sources import text as src
 from hanweave.streaming import stream as st
 
@@ -73,6 +74,28 @@ def scan_crf(spark, d):
     return crf_binary.read_crf(spark, path).table(spark).withColumn("weight", F.round("weight", 4))
 
 
+@query(ORACLES["scan_hmm_text"])
+def scan_hmm(spark, d):
+    """The trained tag tables written as a binary model file and read again."""
+    p, path = places(spark, d), f"{shared_folder(spark)}/model-{uuid.uuid4().hex}.hmm"
+    tags = md.tag_set(p)
+    tables = tags, md.tag_trigrams(p, tags), md.emissions(p, lexicon(spark, d)).select("tag", "term_id", "cost")
+    crf_binary.write_bytes(spark, path, binary_models.tag_model_bytes(*map(bounded_rows, tables)))
+    _, trans, emits = binary_models.read_tag_model(spark, path)
+    trans = trans.where("tag3 <> 'BOS'").select(F.lit("trans").alias("part"), F.concat_ws(" ", "tag1", "tag2", "tag3").alias("name"), "cost")
+    both = trans.unionByName(emits.select(F.lit("emit").alias("part"), F.concat_ws(" ", "tag", F.col("term_id").cast("string")).alias("name"), "cost"))
+    return both.withColumn("cost", F.round(F.col("cost").cast("double"), 4))
+
+
+@query(f"SELECT y, feature, coalesce(weight, 0) AS weight FROM (SELECT y, feature FROM (SELECT DISTINCT y FROM ({ORACLES['maxent']})), (SELECT DISTINCT feature FROM ({ORACLES['maxent']}))) LEFT JOIN ({ORACLES['maxent']}) USING (y, feature)")
+def scan_maxent(spark, d):
+    """The classifier's weights written as a binary model file and read again: all features of all classes."""
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}.maxent"
+    rows = bounded_rows(md.name_weights(places(spark, d)).select("y", "feature", "weight"))
+    crf_binary.write_bytes(spark, path, binary_models.classifier_bytes(rows))
+    return binary_models.read_classifier(spark, path).withColumn("weight", F.round(F.col("weight").cast("double"), 4))
+
+
 @query(ORACLES["maxent"])
 def scan_maxent_text(spark, d):
     """Classifier weights written as lines and parsed again."""
