@@ -47,13 +47,13 @@ from hanweave.session import checkpointed, map_arrow, task_count, written
 
 #: Characters of a range, of a halo, of the window in which an anchor is looked for, and of the context that tells its strength.
 RANGE_CHARS = 1 << 15
-HALO_CHARS = 1 << 10
 ANCHOR_CHARS = 1 << 9
 _CONTEXT = 8
+HALO_CHARS = ANCHOR_CHARS + _CONTEXT
 #: Characters of a section at least; sections have more tokens than any limit, whatever the text.
 SECTION_CHARS = 1 << 16
-#: Rows of missing anchors that are sent to all workers.
-BROADCAST_ROWS = 1 << 20
+#: Rows of missing anchors and of giant texts, and tails of sections, that are sent to all workers, of some 100 bytes and some kilobytes.
+BROADCAST_ROWS, BROADCAST_TAILS = 1 << 18, 1 << 12
 _BATCH_CHARS = 1 << 20
 
 BLANK_LINE, LINE, SENTENCE, CLAUSE, BLANK, NONE = 5, 4, 3, 2, 1, 0
@@ -371,14 +371,17 @@ def _short_pieces(df: DataFrame, limits: list[Limit], section: int, vocabulary:
 _RANGE = ("row", "range_no", "char_start", "before", "body", "after")
 
 
-def ranges_of(df: DataFrame, range_chars: int = RANGE_CHARS, halo: int = HALO_CHARS) -> DataFrame:
+def _has_anchor(lo: int, hi: int, section: int) -> bool:
+    """Whether an anchor may be in [lo, hi), or its context."""
+    return hi + _CONTEXT > section and (hi + _CONTEXT) // section > (lo - HALO_CHARS - 1) // section
+
+
+def ranges_of(df: DataFrame, range_chars: int, section: int) -> DataFrame:
     """`row`, `range_no`, `char_start`, `before`, `body`, `after` of each text of (id, text), in ranges of `range_chars` characters, and the id.
 
     `row` tells rows apart, so ids may be null or repeat. The ranges are written once, so that
-    `row` stays what it is.
+    `row` stays what it is, and dealt out to tasks. Halos are kept where an anchor may be.
     """
-    if halo < ANCHOR_CHARS + _CONTEXT:
-        raise ValueError(f"a halo of {halo} characters does not hold the window of an anchor")
     numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(df.columns[0]).alias("__id"), F.col(df.columns[1]).alias("__text"))
     texts = [T.StructField(n, T.StringType()) for n in _RANGE[3:]]
     schema = T.StructType([*(T.StructField(n, T.LongType()) for n in _RANGE[:3]), *texts, numbered.schema["__id"]])
@@ -389,17 +392,19 @@ def ranges_of(df: DataFrame, range_chars: int = RANGE_CHARS, halo: int = HALO_CH
                 at = range(0, len(text), range_chars)
                 for lo in range(0, len(at), 64):  # some ranges a batch
                     part, same = at[lo : lo + 64], pa.array([k] * len(at[lo : lo + 64]))
+                    halo = [HALO_CHARS if _has_anchor(s, s + range_chars, section) else 0 for s in part]
                     columns = [
                         batch.column(0).take(same), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array(part, pa.int64()),
-                        pa.array([text[max(0, s - halo) : s] for s in part], pa.string()), pa.array([text[s : s + range_chars] for s in part], pa.string()),
-                        pa.array([text[s + range_chars : s + range_chars + halo] for s in part], pa.string()), batch.column(1).take(same),
+                        pa.array([text[max(0, s - h) : s] for s, h in zip(part, halo)], pa.string()), pa.array([text[s : s + range_chars] for s in part], pa.string()),
+                        pa.array([text[s + range_chars : s + range_chars + max(1, h)] for s, h in zip(part, halo)], pa.string()), batch.column(1).take(same),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return written(map_arrow(numbered, run, schema))
+    ranges = written(map_arrow(numbered, run, schema))
+    return ranges.repartition(task_count(ranges), "row", "range_no")
 
 
-def file_ranges(spark: SparkSession, path: str, range_bytes: int = 1 << 20, halo: int = HALO_CHARS) -> DataFrame:
+def file_ranges(spark: SparkSession, path: str, section: int, range_bytes: int = 1 << 20) -> DataFrame:
     """The ranges of UTF-8 text files, as of `ranges_of`, of which no worker reads more than its range and halos.
 
     `path` may hold a pattern; row and id are the file's path. A range begins with the first
@@ -407,9 +412,8 @@ def file_ranges(spark: SparkSession, path: str, range_bytes: int = 1 << 20, halo
     their ranges' characters are counted by one pass and summed up, and read by another.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.expr(f"(length - 1) DIV {range_bytes}"))).alias("range_no"))
-    ranges = ranges.repartition("path", "range_no")
-    margin = 4 * halo + 4
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) DIV {range_bytes}"))).alias("range_no"))
+    margin = 4 * HALO_CHARS + 4
 
     def parts(name: str, length: int, no: int, around: int) -> tuple[str, str, str]:
         fs, inner = pafs.FileSystem.from_uri(name)
@@ -426,8 +430,8 @@ def file_ranges(spark: SparkSession, path: str, range_bytes: int = 1 << 20, halo
         head = 0
         while head < edges[0] and raw[head] & 0xC0 == 0x80:
             head += 1
-        before = raw[head : edges[0]].decode("utf-8", "replace")[-halo:]
-        after = raw[edges[1] :].decode("utf-8", "ignore" if end + around < length else "replace")[:halo]
+        before = raw[head : edges[0]].decode("utf-8", "replace")[-HALO_CHARS:]
+        after = raw[edges[1] :].decode("utf-8", "ignore" if end + around < length else "replace")[:HALO_CHARS]
         return before, raw[edges[0] : edges[1]].decode("utf-8", "replace"), after
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,14 +443,18 @@ def file_ranges(spark: SparkSession, path: str, range_bytes: int = 1 << 20, halo
         for batch in batches:
             for name, length, no, char_start in zip(*(c.to_pylist() for c in batch.columns)):
                 before, body, after = parts(name, length, no, margin)
-                if body:
-                    yield pa.RecordBatch.from_pydict({"row": [name], "range_no": pa.array([no], pa.int64()), "char_start": pa.array([char_start], pa.int64()), "before": [before], "body": [body], "after": [after], "id": [name]})
+                if not body:
+                    continue
+                if not _has_anchor(char_start, char_start + len(body), section):
+                    before, after = "", after[:1]
+                yield pa.RecordBatch.from_pydict({"row": [name], "range_no": pa.array([no], pa.int64()), "char_start": pa.array([char_start], pa.int64()), "before": [before], "body": [body], "after": [after], "id": [name]})
 
-    counted = checkpointed(map_arrow(ranges.select("path", "length", F.col("range_no").cast("long").alias("range_no")), count, "path string, length long, range_no long, n_chars long"))
+    counted = checkpointed(map_arrow(ranges.repartition("path", "range_no"), count, "path string, length long, range_no long, n_chars long"))
     earlier = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     placed = counted.select("path", "length", "range_no", F.coalesce(F.sum("n_chars").over(earlier), F.lit(0)).alias("char_start"))
     schema = "row string, range_no long, char_start long, before string, body string, after string, id string"
-    return map_arrow(placed, read, schema)
+    # The rows that tell where ranges are go to the tasks that read them.
+    return map_arrow(placed.repartition(task_count(counted), "path", "range_no"), read, schema)
 
 
 def _portions(ranges: DataFrame, section: int) -> DataFrame:
@@ -486,103 +494,152 @@ def _last_grid(x: int, section: int, text: str, start: int) -> int:
     return grid
 
 
-def _stitched(portions: DataFrame) -> DataFrame:
-    """`portions` with `section`, the last grid point that has an anchor: where one is missing, the section before goes on.
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """A written table, sent to all workers if it has few rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _stitched(portions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`portions` with `section`, the last grid point that has an anchor: where one is missing, the section before goes on; and the rows of several sections.
 
-    One row a grid point is looked at in order; only missing anchors make a difference, and these are sent to all workers if they are few.
+    One row a grid point is looked at in order; only missing anchors make a difference.
     """
     grid = portions.groupBy("row", "grid").agg(F.max("anchored").alias("anchored"))
     before = Window.partitionBy("row").orderBy("grid")
-    grid = grid.withColumn("section", F.max(F.when(F.col("anchored"), F.col("grid"))).over(before))
-    missing = checkpointed(grid.where("NOT anchored").select("row", "grid", "section"))
-    missing = F.broadcast(missing) if missing.count() <= BROADCAST_ROWS else missing
-    return portions.join(missing, ["row", "grid"], "left").withColumn("section", F.coalesce("section", "grid")).drop("grid", "anchored")
+    grid = checkpointed(grid.withColumn("section", F.max(F.when(F.col("anchored"), F.col("grid"))).over(before)))
+    missing = _few(checkpointed(grid.where("NOT anchored").select("row", "grid", "section")), BROADCAST_ROWS)
+    placed = portions.join(missing, ["row", "grid"], "left").withColumn("section", F.coalesce("section", "grid")).drop("grid", "anchored")
+    return placed, checkpointed(grid.where("section > 0").select("row").distinct())
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, Section]]:
+    """Puts sections together from (row, section, id, char_start, text, next) in order; yields row and id, one each, and the section."""
+    key, held = None, None
+    for batch in batches:
+        for k in range(len(batch)):
+            now = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+            if key != now:
+                if held is not None:
+                    yield held[0], held[1], Section("".join(held[3]), held[4], held[2])
+                key, held = now, [batch.column(0).slice(k, 1), batch.column(2).slice(k, 1), batch.column(3)[k].as_py(), [], ""]
+            held[3].append(batch.column(4)[k].as_py())
+            held[4] = batch.column(5)[k].as_py()
+    if held is not None:
+        yield held[0], held[1], Section("".join(held[3]), held[4], held[2])
+
+
+def _in_order(portions: DataFrame) -> DataFrame:
+    chosen = portions.select("row", "section", "__id", "char_start", "text", "next")
+    return chosen.repartition(task_count(portions), "row", "section").sortWithinPartitions("row", "section", "char_start")
+
+
+def _pieces_of_whole(portions: DataFrame, limits: list[Limit], vocabulary: str | None) -> DataFrame:
+    """Pieces of texts that are one section."""
+    path = bpe.vocabulary_path(vocabulary)
+    shared = bpe.share_vocabulary(portions.sparkSession, path)
+    schema = T.StructType([portions.schema["__id"], *_piece_fields()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = bpe.worker_encoder(path, shared)
+        lengths = _token_lengths(encoder.tokens)
+        for _, id_, s in _whole(batches):
+            (p,) = places_of(encoder, lengths, [s])
+            encoder.trim()
+            out = Pieces()
+            out.add(0, s, p, None, True, limits, {})
+            index, *columns = out.arrays()
+            yield pa.RecordBatch.from_arrays([id_.take(index), *columns], names=schema.names)
+
+    return map_arrow(_in_order(portions), run, schema)
+
+
+_PLACES = ("pos", "tok", "lev", "off")
 
 
 def _encoded(portions: DataFrame, limits: list[Limit], vocabulary: str | None) -> DataFrame:
-    """Each section with its places, and the tail that the next one needs."""
+    """Each section with its places, as steps from one to the next, and the tail that the section after it needs."""
     path = bpe.vocabulary_path(vocabulary)
     shared = bpe.share_vocabulary(portions.sparkSession, path)
     overlap = max(x.overlap for x in limits)
     numbers = T.ArrayType(T.IntegerType())
-    columns = [("text", T.StringType()), ("after", T.StringType()), ("pos", numbers), ("tok", numbers), ("lev", numbers), ("off", numbers), ("tail_text", T.StringType()), ("tail_pos", numbers), ("tail_tok", numbers)]
-    row, id_ = portions.schema["row"], portions.schema["__id"]
-    schema = T.StructType([row, id_, T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), *(T.StructField(n, t) for n, t in columns)])
+    columns = [("text", T.StringType()), ("after", T.StringType()), *((n, numbers) for n in _PLACES), ("tail_text", T.StringType()), ("tail_pos", numbers), ("tail_tok", numbers)]
+    schema = T.StructType([portions.schema["row"], portions.schema["__id"], T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), *(T.StructField(n, t) for n, t in columns)])
+
+    def ints(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.worker_encoder(path, shared)
         lengths = _token_lengths(encoder.tokens)
-
-        def ints(x: np.ndarray) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int32)))
-
-        def done(key, id_value, start, texts, after):
-            s = Section("".join(texts), after, start)
+        for row, id_, s in _whole(batches):
             (p,) = places_of(encoder, lengths, [s])
             encoder.trim()
             t = tail_of(s, p, overlap)
-            own = [pa.array([x.as_py()], x.type) for x in (key[0], id_value)]
-            place = [pa.array([start], pa.int64()), pa.array([start + len(s.text)], pa.int64()), pa.array([s.text]), pa.array([after])]
-            return pa.RecordBatch.from_arrays([*own, *place, *map(ints, (p.pos, p.tok, p.lev, p.off)), pa.array([t.text]), ints(t.pos), ints(t.tok)], names=schema.names)
+            place = [pa.array([s.start], pa.int64()), pa.array([s.start + len(s.text)], pa.int64()), pa.array([s.text]), pa.array([s.after])]
+            steps = [ints(np.diff(x, prepend=0)) for x in (p.pos, p.tok)]
+            yield pa.RecordBatch.from_arrays([row, id_, *place, *steps, ints(p.lev), ints(p.off), pa.array([t.text]), ints(t.pos), ints(t.tok)], names=schema.names)
 
-        held = None
-        for batch in batches:
-            for k in range(len(batch)):
-                key = (batch.column(0)[k], batch.column(1)[k])
-                if held is None or held[0] != key:
-                    if held is not None:
-                        yield done(*held)
-                    held = [key, batch.column(2)[k], batch.column(3)[k].as_py(), [], ""]
-                held[3].append(batch.column(4)[k].as_py())
-                held[4] = batch.column(5)[k].as_py()
-        if held is not None:
-            yield done(*held)
-
-    ordered = portions.select("row", "section", "__id", "char_start", "text", "next").repartition(task_count(portions), "row", "section").sortWithinPartitions("row", "section", "char_start")
-    return map_arrow(ordered, run, schema)
+    return map_arrow(_in_order(portions), run, schema)
 
 
 def _section_pieces(encoded: DataFrame, limits: list[Limit]) -> DataFrame:
-    """Pieces of each section, numbered within it."""
+    """Pieces of texts of several sections: counted first by section, then numbered and emitted."""
     tails = encoded.where("after <> ''").select("row", F.col("stop").alias("start"), F.col("tail_text").alias("t_text"), F.col("tail_pos").alias("t_pos"), F.col("tail_tok").alias("t_tok"))
-    both = encoded.drop("tail_text", "tail_pos", "tail_tok").join(tails, ["row", "start"], "left")
-    both = both.select("row", "__id", "start", "text", "after", "pos", "tok", "lev", "off", "t_text", "t_pos", "t_tok")
-    schema = T.StructType([both.schema["row"], both.schema["__id"], T.StructField("section_start", T.LongType()), *_piece_fields()])
+    tails = _few(tails, BROADCAST_TAILS)
+    both = encoded.drop("tail_text", "tail_pos", "tail_tok", "stop").join(tails, ["row", "start"], "left")
+
+    def found(batch: pa.RecordBatch, k: int, text: str, numbers: dict) -> Pieces:
+        array = lambda name: batch.column(name)[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
+        tail = Tail(batch.column("t_text")[k].as_py(), array("t_pos"), array("t_tok")) if batch.column("t_tok")[k].is_valid else None
+        pos, tok, lev, off = map(array, _PLACES)
+        out = Pieces()
+        out.add(k, Section(text, "", batch.column("start")[k].as_py()), Places(np.cumsum(pos), np.cumsum(tok), lev, off), tail, False, limits, numbers)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for k in range(len(batch)):
+                numbers: dict[Limit, int] = {}
+                found(batch, k, "", numbers)
+                lists.append([numbers.get(x, 0) for x in limits])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("start"), pa.array(lists, pa.list_(pa.int64()))], names=["row", "start", "n"])
+
+    row = both.schema["row"]
+    counts = map_arrow(both.select("row", "start", *_PLACES, F.lit("").alias("t_text"), "t_pos", "t_tok"), count, T.StructType([row, T.StructField("start", T.LongType()), T.StructField("n", T.ArrayType(T.LongType()))]))
+    earlier = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a section
+    base = F.array(*[F.coalesce(F.sum(F.col("n")[k]).over(earlier), F.lit(0)) for k in range(len(limits))])
+    bases = _few(checkpointed(counts.select("row", "start", base.alias("base"))), BROADCAST_TAILS)
+    schema = T.StructType([both.schema["__id"], *_piece_fields()])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                start, text, after = (batch.column(c)[k].as_py() for c in (2, 3, 4))
-                array = lambda c: batch.column(c)[k].values.to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
-                tail = Tail(batch.column(9)[k].as_py(), array(10), array(11)) if batch.column(9)[k].is_valid else None
-                out = Pieces()
-                out.add(k, Section(text, after, start), Places(*map(array, (5, 6, 7, 8))), tail, not start and not after, limits, {})
+                out = found(batch, k, batch.column("text")[k].as_py(), dict(zip(limits, batch.column("base")[k].as_py())))
                 index, *columns = out.arrays()
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in (0, 1, 2)), *columns], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("__id").take(index), *columns], names=schema.names)
 
-    return map_arrow(both, run, schema)
+    return map_arrow(both.join(bases, ["row", "start"]), emit, schema)
 
 
 def pieces_of_ranges(ranges: DataFrame, limits: list[Limit] | list[tuple[int, int, int]], vocabulary: str | None = None, section: int | None = None) -> DataFrame:
-    """Pieces of texts given as ranges (of `ranges_of` or `file_ranges`), under the name `id`."""
-    limits = _limits(limits)
-    dealt = ranges.repartition(task_count(ranges), "row", "range_no")
-    portions = _stitched(_portions(dealt, section or _section_of(limits, vocabulary)))
-    pieces = written(_section_pieces(written(_encoded(portions, limits, vocabulary)), limits))
-    counts = pieces.groupBy("row", "limit_id", "section_start").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("row", "limit_id").orderBy("section_start").rowsBetween(Window.unboundedPreceding, -1)  # a row a section
-    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("base > 0").drop("n")
-    numbered = pieces.join(bases, ["row", "limit_id", "section_start"], "left")
-    number = (F.col("piece_no") + F.coalesce("base", F.lit(0))).cast("int")
-    names = [f.name for f in _piece_fields()]
-    return numbered.withColumn("piece_no", number).select(F.col("__id").alias("id"), *names)
-
-
-def _section_of(limits: list[Limit], vocabulary: str | None) -> int:
+    """Pieces of texts given as ranges (of `ranges_of` or `file_ranges`) with the same `section`, under the name `id`."""
+    limits = limits_of(limits)
+    portions, several = _stitched(written(_portions(ranges, section or section_of(limits, vocabulary))))
+    n = several.count()
+    several = F.broadcast(several) if n <= BROADCAST_ROWS else several
+    pieces = _pieces_of_whole(portions.join(several, "row", "left_anti") if n else portions, limits, vocabulary)
+    if n:
+        pieces = pieces.unionByName(_section_pieces(written(_encoded(portions.join(several, "row", "left_semi"), limits, vocabulary)), limits))
+    return pieces.withColumnRenamed("__id", "id")
+
+
+def section_of(limits: list[Limit], vocabulary: str | None = None) -> int:
+    """The size of sections for some limits and a vocabulary."""
     return section_size(limits, max(map(len, bpe.load_vocabulary(bpe.vocabulary_path(vocabulary)).tokens)))
 
 
-def _limits(limits: DataFrame | list) -> list[Limit]:
+def limits_of(limits: DataFrame | list) -> list[Limit]:
     """The rows of a table of limits, which is a setting of some rows. Repeated rows count once, a null overlap is 0; one id for two limits is an error."""
     rows = limits if isinstance(limits, list) else limits.select("limit_id", "max_tokens", "overlap_tokens").collect()
     found = list(dict.fromkeys(x if isinstance(x, Limit) else Limit(x[0], x[1], x[2] or 0) for x in rows if isinstance(x, Limit) or x[1] is not None))
@@ -597,16 +654,16 @@ def split_texts(df: DataFrame, limits: DataFrame | list[tuple[int, int, int]], i
     Ids may be null or repeat: every row is cut for itself. `range_chars` only says which texts are
     spread over tasks; the pieces are the same for any.
     """
-    limits = _limits(limits)
+    limits = limits_of(limits)
     texts = df.select(F.col(id_col), F.col(text_col).alias("__text"))
     schema = T.StructType([df.schema[id_col], *_piece_fields()])
     if not limits:
         return df.sparkSession.createDataFrame([], schema)
-    section = section or _section_of(limits, vocabulary)
+    section = section or section_of(limits, vocabulary)
     # A text has no more tokens than bytes, where its bytes are sound.
     texts = texts.where((F.octet_length("__text") > min(x.most for x in limits)) | ~F.is_valid_utf8("__text"))
     short = _short_pieces(texts.where(F.length("__text") <= range_chars), limits, section, vocabulary)
-    long = ranges_of(texts.where(F.length("__text") > range_chars), range_chars)
+    long = ranges_of(texts.where(F.length("__text") > range_chars), range_chars, section)
     if long.isEmpty():
         return short
     return short.unionByName(pieces_of_ranges(long, limits, vocabulary, section).withColumnRenamed("id", id_col))

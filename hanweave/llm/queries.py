@@ -220,5 +220,6 @@ def p9_files(spark, d):
     folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
     texts = table(spark, d, "documents").where("text IS NOT NULL").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.col("text").alias("value"))
     texts.write.partitionBy("lang").text(folder)
-    found = pieces.pieces_of_ranges(pieces.file_ranges(spark, f"{folder}/*/*.txt"), pieces._limits(table(spark, d, "piece_limits")))
+    limits = pieces.limits_of(table(spark, d, "piece_limits"))
+    found = pieces.pieces_of_ranges(pieces.file_ranges(spark, f"{folder}/*/*.txt", pieces.section_of(limits)), limits)
     return found.withColumn("id", F.regexp_extract("id", "lang=(.*/part-[0-9]*)", 1))
