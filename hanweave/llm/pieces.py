@@ -29,6 +29,7 @@ that fits. Anchors are cuts too. Broken encodings count as U+FFFD.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,6 +56,8 @@ SECTION_CHARS = 1 << 16
 #: Rows of missing anchors and of giant texts, and tails of sections, that are sent to all workers, of some 100 bytes and some kilobytes.
 BROADCAST_ROWS, BROADCAST_TAILS = 1 << 18, 1 << 12
 _BATCH_CHARS = 1 << 20
+#: Places of a text that are held as a list.
+LISTED = 1 << 16
 
 BLANK_LINE, LINE, SENTENCE, CLAUSE, BLANK, NONE = 5, 4, 3, 2, 1, 0
 
@@ -189,10 +192,15 @@ def choose(tok: list[int], marks: list[list[int]], off: list[int], limit: Limit,
     return out
 
 
-def marks_of(lev: np.ndarray) -> list[list[int]]:
+def _sequence(x: np.ndarray) -> list[int] | array:
+    """Numbers to look up one by one: a list, which is faster, of few, and eight bytes each of many."""
+    return x.tolist() if len(x) < LISTED else array("q", x.astype(np.int64).tobytes())
+
+
+def marks_of(lev: np.ndarray) -> list[list[int] | array]:
     """Indices of the places of each strength or more, the strongest first."""
     (some,) = np.nonzero(lev)
-    return [some[lev[some] >= k].tolist() for k in range(BLANK_LINE, NONE, -1)]
+    return [_sequence(some[lev[some] >= k]) for k in range(BLANK_LINE, NONE, -1)]
 
 
 @dataclass
@@ -305,7 +313,7 @@ class Pieces:
             none = np.zeros(end, dtype=np.int64)
             pos, tok = (np.concatenate([x[:-1], y + x[-1]]) for x, y in ((tail.pos, pos), (tail.tok, tok)))
             lev, off = np.concatenate([none, lev]), np.concatenate([none, off])
-        at, sums, offs, marks = pos.tolist(), tok.tolist(), off.tolist(), marks_of(lev)
+        at, sums, offs, marks = _sequence(pos), _sequence(tok), _sequence(off), marks_of(lev)
         for x in limits:
             start = max(0, bisect_right(sums, sums[end] - x.overlap) - 1) if tail is not None else 0
             found = choose(sums, marks, offs, x, start, end)
@@ -553,16 +561,34 @@ def _pieces_of_whole(portions: DataFrame, limits: list[Limit], vocabulary: str |
     return map_arrow(_in_order(portions), run, schema)
 
 
-_PLACES = ("pos", "tok", "lev", "off")
+_WIDTHS = (np.dtype("u1"), np.dtype("<u2"), np.dtype("<u4"))
+
+
+def packed(places: Places) -> bytes:
+    """Places as steps from one to the next, each column with the fewest bytes that hold it."""
+    out = []
+    for column in (np.diff(places.pos, prepend=0), np.diff(places.tok, prepend=0), places.lev, -places.off):
+        width = next(k for k, dtype in enumerate(_WIDTHS) if int(column.max()) <= np.iinfo(dtype).max)
+        out.append(bytes([width]) + column.astype(_WIDTHS[width]).tobytes())
+    return len(places.pos).to_bytes(4, "little") + b"".join(out)
+
+
+def unpacked(raw: bytes) -> Places:
+    n, at, columns = int.from_bytes(raw[:4], "little"), 4, []
+    for _ in range(4):
+        dtype = _WIDTHS[raw[at]]
+        columns.append(np.frombuffer(raw, dtype, n, at + 1).astype(np.int64))
+        at += 1 + n * dtype.itemsize
+    return Places(np.cumsum(columns[0]), np.cumsum(columns[1]), columns[2], -columns[3])
 
 
 def _encoded(portions: DataFrame, limits: list[Limit], vocabulary: str | None) -> DataFrame:
-    """Each section with its places, as steps from one to the next, and the tail that the section after it needs."""
+    """Each section with its places, and the tail that the section after it needs."""
     path = bpe.vocabulary_path(vocabulary)
     shared = bpe.share_vocabulary(portions.sparkSession, path)
     overlap = max(x.overlap for x in limits)
     numbers = T.ArrayType(T.IntegerType())
-    columns = [("text", T.StringType()), ("after", T.StringType()), *((n, numbers) for n in _PLACES), ("tail_text", T.StringType()), ("tail_pos", numbers), ("tail_tok", numbers)]
+    columns = [("text", T.StringType()), ("after", T.StringType()), ("places", T.BinaryType()), ("tail_text", T.StringType()), ("tail_pos", numbers), ("tail_tok", numbers)]
     schema = T.StructType([portions.schema["row"], portions.schema["__id"], T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), *(T.StructField(n, t) for n, t in columns)])
 
     def ints(x: np.ndarray) -> pa.Array:
@@ -576,8 +602,7 @@ def _encoded(portions: DataFrame, limits: list[Limit], vocabulary: str | None) -
             encoder.trim()
             t = tail_of(s, p, overlap)
             place = [pa.array([s.start], pa.int64()), pa.array([s.start + len(s.text)], pa.int64()), pa.array([s.text]), pa.array([s.after])]
-            steps = [ints(np.diff(x, prepend=0)) for x in (p.pos, p.tok)]
-            yield pa.RecordBatch.from_arrays([row, id_, *place, *steps, ints(p.lev), ints(p.off), pa.array([t.text]), ints(t.pos), ints(t.tok)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([row, id_, *place, pa.array([packed(p)], pa.binary()), pa.array([t.text]), ints(t.pos), ints(t.tok)], names=schema.names)
 
     return map_arrow(_in_order(portions), run, schema)
 
@@ -589,11 +614,10 @@ def _section_pieces(encoded: DataFrame, limits: list[Limit]) -> DataFrame:
     both = encoded.drop("tail_text", "tail_pos", "tail_tok", "stop").join(tails, ["row", "start"], "left")
 
     def found(batch: pa.RecordBatch, k: int, text: str, numbers: dict) -> Pieces:
-        array = lambda name: batch.column(name)[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
-        tail = Tail(batch.column("t_text")[k].as_py(), array("t_pos"), array("t_tok")) if batch.column("t_tok")[k].is_valid else None
-        pos, tok, lev, off = map(array, _PLACES)
+        numbers_of = lambda name: batch.column(name)[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
+        tail = Tail(batch.column("t_text")[k].as_py(), numbers_of("t_pos"), numbers_of("t_tok")) if batch.column("t_tok")[k].is_valid else None
         out = Pieces()
-        out.add(k, Section(text, "", batch.column("start")[k].as_py()), Places(np.cumsum(pos), np.cumsum(tok), lev, off), tail, False, limits, numbers)
+        out.add(k, Section(text, "", batch.column("start")[k].as_py()), unpacked(batch.column("places")[k].as_py()), tail, False, limits, numbers)
         return out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -606,7 +630,7 @@ def _section_pieces(encoded: DataFrame, limits: list[Limit]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("start"), pa.array(lists, pa.list_(pa.int64()))], names=["row", "start", "n"])
 
     row = both.schema["row"]
-    counts = map_arrow(both.select("row", "start", *_PLACES, F.lit("").alias("t_text"), "t_pos", "t_tok"), count, T.StructType([row, T.StructField("start", T.LongType()), T.StructField("n", T.ArrayType(T.LongType()))]))
+    counts = map_arrow(both.select("row", "start", "places", F.lit("").alias("t_text"), "t_pos", "t_tok"), count, T.StructType([row, T.StructField("start", T.LongType()), T.StructField("n", T.ArrayType(T.LongType()))]))
     earlier = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a section
     base = F.array(*[F.coalesce(F.sum(F.col("n")[k]).over(earlier), F.lit(0)) for k in range(len(limits))])
     bases = _few(checkpointed(counts.select("row", "start", base.alias("base"))), BROADCAST_TAILS)

@@ -152,3 +152,10 @@ def test_boundary_in_the_first_half(spark, encoder):
         got = [r for r in rows if r.limit_id == limit]
         assert "".join(r.piece[max(0, e - r.char_start):] for r, e in zip(got, [0, *[r.char_end for r in got]])) == text
         assert all(r.n_tokens <= 64 and r.n_shared >= (overlap if r.piece_no else 0) for r in got)
+
+
+def test_packed_places():
+    rng = np.random.default_rng(2)
+    for most in (3, 300, 70_000):
+        p = pieces.Places(np.cumsum(rng.integers(0, most, 500)), np.cumsum(rng.integers(0, 9, 500)), rng.integers(0, 6, 500), -rng.integers(0, most, 500))
+        assert all((a == b).all() for a, b in zip(vars(p).values(), vars(pieces.unpacked(pieces.packed(p))).values()))
