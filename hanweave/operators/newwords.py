@@ -109,7 +109,8 @@ def mutual_information(vocab: DataFrame, candidate_words: DataFrame, dictionary:
     total = vocab.agg(F.sum("count")).scalar()
     own = vocab.join(candidate_words.select("word"), "word", "left_semi").select("word", "count")
     n = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("word"), i, k))))
+    longest = max(df.agg(F.max(F.length("word"))).first()[0] or 1 for df in (dictionary, vocab))  # no part is longer
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(longest))), lambda k: F.substring(F.col("word"), i, k))))
     parts = own.select(F.col("word").alias("whole"), F.explode(F.array_distinct(spans)).alias("word"))
     parts = parts.join(dictionary.select("word", "term_id", "cost"), "word", "left").join(vocabulary_costs(vocab).withColumnRenamed("cost", "user_cost"), "word", "left")
     parts = checkpointed(parts)

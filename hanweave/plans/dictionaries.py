@@ -197,8 +197,8 @@ def lattice_build(spark, d):
 
 
 def lattice(words, dictionary):
-    n = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.struct(i.alias("i"), k.alias("k")))))
+    n, longest = F.length("word"), dictionary.agg(F.max(F.length("word"))).first()[0] or 1
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(longest))), lambda k: F.struct(i.alias("i"), k.alias("k")))))
     parts = words.select("word", F.explode(spans).alias("s")).select("word", "s.*", F.substring(F.col("word"), F.col("s.i"), F.col("s.k")).alias("part"))
     found = parts.join(dictionary.select(F.col("word").alias("part"), "term_id", "cost"), "part")
     return found.select("word", (F.col("i") - 1).alias("begin_char"), (F.col("i") + F.col("k") - 1).alias("end_char"), "term_id", "cost")
