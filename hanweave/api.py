@@ -58,7 +58,7 @@ class ModelTables:
         if segmenter in ("mixed", "crf") and self.crf_seg is not None:
             out.crf_seg = an.load_crf(list(decode.SEGMENT_TAGS), md.SEGMENT_TEMPLATES, self.crf_seg)
         if segmenter == "mixed" and self.properties is not None:
-            out.properties = {r["word"]: r["value"] for r in an.bounded_rows(self.properties.select("word", "value"))}
+            out.properties = dict(an.bounded_rows(self.properties.select("word", "value")))
         if tagger in ("crf", "hmm_crf") and self.crf_pos is not None:
             names = sorted(r["tag"] for r in self.crf_pos.select("tag").distinct().collect())
             out.crf_pos = an.load_crf(names, md.POS_TEMPLATES, self.crf_pos)

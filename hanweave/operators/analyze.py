@@ -93,21 +93,26 @@ class Models:
         return segmenter, tagger
 
 
-def bounded_rows(df: DataFrame, limit: int = MODEL_ROWS) -> list:
-    """The rows of a model table; an error if it is no model's size."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+def bounded_rows(df: DataFrame, limit: int = MODEL_ROWS) -> Iterator[tuple]:
+    """The rows of a model table, in its order; an error if it is no model's size. They arrive as columns, which take a fraction of rows' memory."""
+    table = df.limit(limit + 1).toArrow()
+    if len(table) > limit:
         raise ModelError(f"a model table of more than {limit} rows")
-    return rows
+
+    def rows() -> Iterator[tuple]:
+        for batch in table.to_batches(max_chunksize=1 << 16):
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    return rows()
 
 
 def load_dictionary(dictionary: DataFrame, bigrams: DataFrame | None = None, user: DataFrame | None = None) -> Dictionary:
-    """From (word, term_id, cost), (left_id, right_id, cost) and the user's (word, cost): of repeated user words the first in order of cost counts."""
-    words = {r["word"]: (r["term_id"], r["cost"]) for r in bounded_rows(dictionary.select("word", "term_id", "cost"))}
-    pairs = {r["left_id"] << 32 | r["right_id"]: r["cost"] for r in bounded_rows(bigrams.select("left_id", "right_id", "cost"))} if bigrams is not None else None
-    own = {}
-    for r in bounded_rows(user.select("word", "cost").orderBy("word", "cost")) if user is not None else []:
-        own.setdefault(r["word"], r["cost"])
+    """From (word, term_id, cost), (left_id, right_id, cost) and the user's (word, cost): of repeated user words the least cost counts."""
+    words = {word: (term, cost) for word, term, cost in bounded_rows(dictionary.select("word", "term_id", "cost"))}
+    pairs = {left << 32 | right: cost for left, right, cost in bounded_rows(bigrams.select("left_id", "right_id", "cost"))} if bigrams is not None else None
+    own: dict[str, float] = {}
+    for word, cost in bounded_rows(user.groupBy("word").agg(F.min("cost").alias("cost"))) if user is not None else ():
+        own[word] = cost
     return Dictionary(words, own, pairs)
 
 
@@ -115,21 +120,21 @@ def load_crf(tags: list[str], templates: list[str], features: DataFrame) -> Crf:
     """From (feature, left_tag, tag, weight): left_tag is null for features of one tag. Features not given weigh 0."""
     at, n = {t: k for k, t in enumerate(tags)}, len(tags)
     unigram, bigram = {}, {}
-    for r in bounded_rows(features.select("feature", "left_tag", "tag", "weight")):
-        if r["left_tag"] is None:
-            unigram.setdefault(r["feature"], [0.0] * n)[at[r["tag"]]] = r["weight"]
+    for feature, left, tag, weight in bounded_rows(features.select("feature", "left_tag", "tag", "weight")):
+        if left is None:
+            unigram.setdefault(feature, [0.0] * n)[at[tag]] = weight
         else:
-            bigram.setdefault(r["feature"], [0.0] * (n * n))[at[r["left_tag"]] * n + at[r["tag"]]] = r["weight"]
+            bigram.setdefault(feature, [0.0] * (n * n))[at[left] * n + at[tag]] = weight
     return Crf(tags, templates, unigram, bigram)
 
 
 def load_hmm(tags: DataFrame, trans: DataFrame, emits: DataFrame, crf: Crf | None = None) -> Hmm:
     """From (tag, cost), (tag1, tag2, tag3, cost), (tag, term_id, cost); emissions are tried by falling tag, the order that is fixed here."""
     by_term: dict = {}
-    for r in sorted(bounded_rows(emits.select("tag", "term_id", "cost")), key=lambda r: r["tag"], reverse=True):
-        by_term.setdefault(r["term_id"], []).append((r["tag"], r["cost"]))
-    costs = {r["tag"]: r["cost"] for r in bounded_rows(tags.select("tag", "cost"))}
-    return Hmm(costs, {(r["tag1"], r["tag2"], r["tag3"]): r["cost"] for r in bounded_rows(trans.select("tag1", "tag2", "tag3", "cost"))}, by_term, crf)
+    for tag, term, cost in sorted(bounded_rows(emits.select("tag", "term_id", "cost")), key=lambda r: r[0], reverse=True):
+        by_term.setdefault(term, []).append((tag, cost))
+    costs = dict(bounded_rows(tags.select("tag", "cost")))
+    return Hmm(costs, {moves[:3]: moves[3] for moves in bounded_rows(trans.select("tag1", "tag2", "tag3", "cost"))}, by_term, crf)
 
 
 def words_of(models: Models, segmenter: str, sentences: list[tuple[list[str], list[int]]], parity: bool = False) -> list[list[tuple[str, int, int, int]]]:

@@ -39,7 +39,7 @@ def train_models(spark, d, method="seg", user=None):
     models = an.Models(an.load_dictionary(words, bigram_costs(spark, d), user))
     if segmenter in ("mixed", "crf"):
         models.crf_seg = an.load_crf(list(decode.SEGMENT_TAGS), md.SEGMENT_TEMPLATES, md.segment_features(words))
-        models.properties = {r["word"]: r["oov_value"] for r in an.bounded_rows(table(spark, d, "lexicon").where("oov_value IS NOT NULL").select("word", "oov_value"))}
+        models.properties = dict(an.bounded_rows(table(spark, d, "lexicon").where("oov_value IS NOT NULL").select("word", "oov_value")))
     if tagger:
         p = checkpointed(places(spark, d))  # each table is trained from it
         tags = checkpointed(md.tag_set(p))

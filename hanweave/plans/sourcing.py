@@ -91,7 +91,7 @@ def scan_hmm(spark, d):
 def scan_maxent(spark, d):
     """The classifier's weights written as a binary model file and read again: all features of all classes."""
     path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}.maxent"
-    rows = bounded_rows(md.name_weights(places(spark, d)).select("y", "feature", "weight"))
+    rows = list(bounded_rows(md.name_weights(places(spark, d)).select("y", "feature", "weight")))
     crf_binary.write_bytes(spark, path, binary_models.classifier_bytes(rows))
     return binary_models.read_classifier(spark, path).withColumn("weight", F.round(F.col("weight").cast("double"), 4))
 

@@ -108,7 +108,7 @@ def crf_bytes(tags: list[str], templates: list[str], rows: list[tuple[str, str |
 
 def write_crf(spark: SparkSession, path: str, tags: list[str], templates: list[str], features: DataFrame) -> None:
     """A table (feature, left_tag, tag, weight) as one model file, on any file system that Spark writes."""
-    rows = [tuple(r) for r in bounded_rows(features.select("feature", "left_tag", "tag", "weight"))]
+    rows = list(bounded_rows(features.select("feature", "left_tag", "tag", "weight")))
     write_bytes(spark, path, crf_bytes(tags, templates, rows))
 
 
