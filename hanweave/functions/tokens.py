@@ -123,16 +123,14 @@ split_tokens = _TOKEN.findall
 
 def split_sentences(text: str):
     """Lists of (tokens, types), as `sentences`."""
-    texts, kinds = [], []
-    for token in split_tokens(text):
-        kind = type_of[token]
-        texts.append(token)
-        kinds.append(kind)
-        if kind == 3 or kind == 4 or len(texts) == MAX_SENTENCE_TOKENS:
-            yield texts, kinds
-            texts, kinds = [], []
-    if texts:
-        yield texts, kinds
+    texts = split_tokens(text)
+    kinds = list(map(type_of.__getitem__, texts))
+    start = 0
+    for stop in [k for k, kind in enumerate(kinds, 1) if kind == 3 or kind == 4] + [len(texts)]:
+        while start < stop:
+            end = min(stop, start + MAX_SENTENCE_TOKENS)
+            yield texts[start:end], kinds[start:end]
+            start = end
 
 
 # The same rules for SQL.

@@ -92,7 +92,7 @@ class Dictionary:
                         total = node[0] + (cost if pair is None else pair - unigrams[node[2]])
                         if best is None or total < best[0]:
                             best = (total, node)
-                    insort(ends[end], (best[0], at, term, best[1]), key=lambda x: (x[0], x[1]))
+                    insort(ends[end], (best[0], at, term, best[1]))  # no two words of a place have one begin
                 elif end == at + 1 and not ends[end]:
                     ends[end].append((beam[0][0] + OOV_COST, at, 0, beam[0]))
                 if text not in prefixes:
@@ -102,6 +102,8 @@ class Dictionary:
 
     def segment(self, tokens: list[str], bigram: bool, disabled: str | None = None) -> tuple[list[tuple[int, int, int]], float]:
         """(begin, end, term id) of each word over the tokens, and the cost of the path."""
+        if not bigram:
+            return self._cheapest(tokens, disabled)
         node, out, at = self.beams(tokens, bigram, disabled)[-1][0], [], len(tokens)
         cost = node[0]
         while node[3] is not None:
@@ -110,6 +112,32 @@ class Dictionary:
         out.reverse()
         return out, cost
 
+    def _cheapest(self, tokens: list[str], disabled: str | None) -> tuple[list[tuple[int, int, int]], float]:
+        """As `beams` of one node, as arrays: by unigrams a place's best node is all that counts."""
+        n, words, prefixes = len(tokens), self.words, self.prefixes
+        costs, begins, terms = [0.0] + [None] * n, [0] * (n + 1), [0] * (n + 1)
+        for at, text in enumerate(tokens):
+            reached, end = costs[at], at + 1
+            while True:
+                known = words.get(text) if text != disabled else None
+                if known is not None:
+                    cost = reached + known[1]
+                    if costs[end] is None or cost < costs[end]:
+                        costs[end], begins[end], terms[end] = cost, at, known[0]
+                elif end == at + 1 and costs[end] is None:
+                    costs[end], begins[end] = reached + OOV_COST, at
+                if end == n or text not in prefixes:
+                    break
+                text += tokens[end]
+                end += 1
+        out, at = [], n
+        while at:
+            begin = begins[at]
+            out.append((begin, at, terms[at] or ID_UNKNOWN))
+            at = begin
+        out.reverse()
+        return out, costs[n]
+
 
 class Crf:
     """Linear-chain CRF: templates over columns of features, weights by feature string.

@@ -33,6 +33,8 @@ def test_unigram_is_the_cheapest_split():
                 known = words.get("".join(tokens[a:b]))
                 total += known[1] if known else OOV_COST if b == a + 1 and b not in ends else math.inf
             best = min(best, total)
+        nodes = Dictionary(words).beams(tokens, bigram=False)
+        assert all(len(x) <= 1 for x in nodes) and nodes[-1][0][0] == cost and nodes[-1][0][1] == got[-1][0]
         # Words that end where only an unknown token leads on are still found, so the brute force holds.
         assert cost == pytest.approx(best)
         assert [a for a, _, _ in got] == [0] + [b for _, b, _ in got][:-1] and got[-1][1] == len(tokens)
